@@ -161,36 +161,37 @@ def circular_distance(left: Column, right: Column) -> Column:
     return F.least(direct, F.lit(366) - direct)
 
 
-def solar_columns(ts: Column, latitude: float, longitude: float) -> dict[str, Column]:
-    """Solar elevation and azimuth in degrees (published NOAA general formulas)."""
-    minute_of_day = F.hour(ts) * 60 + F.minute(ts) + F.second(ts) / 60.0
-    gamma = (F.dayofyear(ts) - 1 + (minute_of_day / 60.0 - 12.0) / 24.0) * F.lit(2.0 * pi / 365.0)
+def with_solar_position(df: DataFrame, ts: str, latitude: float, longitude: float) -> DataFrame:
+    """Add solar elevation and azimuth in degrees (published NOAA general formulas).
+
+    Built in stages so each intermediate angle is computed once per row.
+    """
+    t = F.col(ts)
+    staged = df.withColumn("_minute", F.hour(t) * 60 + F.minute(t) + F.second(t) / 60.0)
+    year_angle = (F.dayofyear(t) - 1 + (F.col("_minute") / 60.0 - 12.0) / 24.0) * F.lit(2.0 * pi / 365.0)
+    staged = staged.withColumn("_gamma", year_angle)
+    g = F.col("_gamma")
     equation = (
-        F.lit(0.000075)
-        + F.cos(gamma) * 0.001868
-        - F.sin(gamma) * 0.032077
-        - F.cos(gamma * 2) * 0.014615
-        - F.sin(gamma * 2) * 0.040849
+        F.lit(0.000075) + F.cos(g) * 0.001868 - F.sin(g) * 0.032077 - F.cos(g * 2) * 0.014615 - F.sin(g * 2) * 0.040849
     ) * 229.18
     declination = (
-        F.lit(0.006918)
-        - F.cos(gamma) * 0.399912
-        + F.sin(gamma) * 0.070257
-        - F.cos(gamma * 2) * 0.006758
-        + F.sin(gamma * 2) * 0.000907
-        - F.cos(gamma * 3) * 0.002697
-        + F.sin(gamma * 3) * 0.00148
+        F.lit(0.006918) - F.cos(g) * 0.399912 + F.sin(g) * 0.070257 - F.cos(g * 2) * 0.006758
+        + F.sin(g * 2) * 0.000907 - F.cos(g * 3) * 0.002697 + F.sin(g * 3) * 0.00148
+    )
+    staged = staged.withColumns({"_eq": equation, "_dec": declination})
+    hour_angle = F.radians((F.col("_minute") + F.col("_eq") + 4.0 * longitude) / 4.0 - 180.0)
+    staged = staged.withColumns(
+        {"_cha": F.cos(hour_angle), "_sha": F.sin(hour_angle), "_sd": F.sin("_dec"), "_cd": F.cos("_dec")}
+    )
+    sin_lat, cos_lat = F.sin(F.radians(F.lit(latitude))), F.cos(F.radians(F.lit(latitude)))
+    up = sin_lat * F.col("_sd") + cos_lat * F.col("_cd") * F.col("_cha")
+    east = -F.col("_cd") * F.col("_sha")
+    north = cos_lat * F.col("_sd") - sin_lat * F.col("_cd") * F.col("_cha")
+    staged = staged.withColumns({"solar_elevation_deg": F.degrees(F.asin(up)), "_az": F.degrees(F.atan2(east, north))})
+    azimuth = F.when(F.col("_az") < 0, F.col("_az") + 360.0).otherwise(F.col("_az"))
+    return staged.withColumn("solar_azimuth_deg", azimuth).drop(
+        "_minute", "_gamma", "_eq", "_dec", "_cha", "_sha", "_sd", "_cd", "_az"
     )
-    hour_angle = F.radians((minute_of_day + equation + 4.0 * longitude) / 4.0 - 180.0)
-    lat = F.radians(F.lit(latitude))
-    sin_elevation = F.sin(lat) * F.sin(declination) + F.cos(lat) * F.cos(declination) * F.cos(hour_angle)
-    east = -F.cos(declination) * F.sin(hour_angle)
-    north = F.cos(lat) * F.sin(declination) - F.sin(lat) * F.cos(declination) * F.cos(hour_angle)
-    azimuth = F.degrees(F.atan2(east, north))
-    return {
-        "solar_elevation_deg": F.degrees(F.asin(sin_elevation)),
-        "solar_azimuth_deg": F.when(azimuth < 0, azimuth + 360.0).otherwise(azimuth),
-    }
 
 
 def haurwitz_ghi(elevation_deg: Column) -> Column:

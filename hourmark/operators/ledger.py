@@ -115,11 +115,10 @@ def paired_days(daily: DataFrame, strategy: str, baseline: str, day: Sequence[st
     return other.join(base, list(day)).withColumn("saving", F.col("baseline_cost") - F.col("candidate_cost"))
 
 
-def unmatched_days(daily: DataFrame, strategy: str, baseline: str, day: Sequence[str]) -> DataFrame:
-    """Days on which a candidate lacks the baseline or the reverse (must be empty)."""
-    names = daily.select(strategy).distinct()
+def unmatched_days(daily: DataFrame, strategy: str, names: Sequence[str], baseline: str, day: Sequence[str]) -> DataFrame:
+    """Days on which a named candidate lacks the baseline or the reverse (must be empty)."""
     days = daily.filter(F.col(strategy) == baseline).select(*day).distinct()
-    expected = days.join(F.broadcast(names), F.lit(True))  # strategies are a handful of names
+    expected = days.withColumn(strategy, F.explode(F.array(*[F.lit(n) for n in names])))
     have = daily.select(*day, strategy).distinct()
     keys = [*day, strategy]
     return expected.join(have, keys, "left_anti").unionByName(have.join(days, list(day), "left_anti"))

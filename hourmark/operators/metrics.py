@@ -221,7 +221,10 @@ def best_variant(metrics: DataFrame, groups: Sequence[str], variant: str, baseli
     best = metrics.filter(F.col(variant) != baseline)
     chosen = best.groupBy(*groups).agg(F.min_by(F.struct(variant, "mae"), order).alias("_best"))
     base = metrics.filter(F.col(variant) == baseline).select(*groups, F.col("mae").alias("baseline_mae"))
-    joined = chosen.join(base, list(groups)) if groups else chosen.crossJoin(base)  # one row each
+    if groups:
+        joined = chosen.join(base, list(groups))
+    else:
+        joined = chosen.withColumn("baseline_mae", base.scalar())
     keep = F.col("baseline_mae") <= F.col("_best.mae")
     return joined.select(
         *groups, F.when(keep, F.lit(baseline)).otherwise(F.col(f"_best.{variant}")).alias("selected"),

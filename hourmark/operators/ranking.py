@@ -34,7 +34,7 @@ def _bucketed(df: DataFrame, groups: Sequence[str], order: str, buckets: int) ->
         .groupBy(*groups)
         .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
     )
-    joined = df.join(cuts, list(groups)) if groups else df.crossJoin(F.broadcast(cuts))
+    joined = df.join(cuts, list(groups)) if groups else df.withColumn("_cuts", cuts.select("_cuts").scalar())
     below = F.size(F.filter("_cuts", lambda cut: cut < F.col(order)))
     return joined.withColumn("_bucket", below).drop("_cuts")
 

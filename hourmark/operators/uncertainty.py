@@ -55,12 +55,19 @@ def seasonal_weights(
 ) -> DataFrame:
     """Gaussian kernel on circular calendar distance, mixed with a uniform floor.
 
-    Pairs are target days times library days (both daily grain and each pair is
-    a real output row); ``strict`` keeps library days before the target.
+    The output lists every library day a target may draw (daily grain). Pairs
+    come from an equi-join on library positions ``0 .. n - 1``; ``strict``
+    keeps library days before the target, otherwise all of them.
     """
-    t = targets.select(day).distinct()
-    s = library_days.select(source).distinct()
-    pairs = t.join(s, F.col(source) < F.col(day)) if strict else t.join(s, F.lit(True))
+    marks = eligible_positions(targets, library_days, day, source)
+    positions = marks.filter(F.col("_lib") == 1).select(F.col("_d").alias(source), F.col("n_eligible").alias("_pos"))
+    if strict:
+        counted = marks.select(F.col("_d").alias(day), F.col("n_eligible").alias("_n"))
+    else:
+        total = library_days.agg(F.count_distinct(source)).scalar()
+        counted = marks.select(F.col("_d").alias(day), total.alias("_n"))
+    wanted = targets.select(day).distinct().join(counted.filter(F.col("_n") > 0), day)
+    pairs = wanted.withColumn("_pos", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).join(positions, "_pos")
     distance = circular_distance(calendar_ordinal(F.col(source)), calendar_ordinal(F.col(day)))
     z = distance / F.lit(float(bandwidth))
     pairs = pairs.withColumn("_k", F.exp(z * z * -0.5))
@@ -172,9 +179,10 @@ def bootstrap_scenarios(
     rows = draws.join(points, day).join(library.select(source, hour, *residuals), [source, hour])
     shift = {r: F.lit(0.0) for r in residuals}
     if centre:
-        last = library.select(source).distinct()
-        newest = (
-            points.select(day).distinct().join(last, F.col(source) < F.col(day)).groupBy(day).agg(F.max(source).alias("_last"))
+        marks = eligible_positions(points, library, day, source)
+        latest = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+        newest = marks.select(
+            F.col("_d").alias(day), F.last(F.when(F.col("_lib") == 1, F.col("_d")), ignorenulls=True).over(latest).alias("_last")
         )
         centres = running_centre(library, source, hour, residuals).withColumnRenamed(source, "_last")
         rows = rows.join(newest, day).join(centres, ["_last", hour])

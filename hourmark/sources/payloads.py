@@ -109,7 +109,7 @@ def series_rows(items: DataFrame, names: Mapping[str, str], payload: Sequence[st
     keys = list(payload)
     axis = items.filter(F.col("position") == 0).select(*keys, F.col("xAxisValues").alias("_axis"))
     wanted = items.withColumn("_name", F.col("name")[0]["en"]).filter(F.col("_name").isin(list(names)))
-    joined = wanted.join(axis, keys) if keys else wanted.crossJoin(F.broadcast(axis))
+    joined = wanted.join(axis, keys) if keys else wanted.withColumn("_axis", axis.scalar())
     aligned = F.when(F.size("data") == F.size("_axis"), F.arrays_zip(F.col("_axis").alias("t"), F.col("data").alias("v"))).otherwise(
         F.raise_error(F.lit("a series is not aligned to the time axis"))
     )
