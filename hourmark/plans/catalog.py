@@ -50,7 +50,13 @@ SQL_KINDS = {
 class Entry:
     name: str
     run: Runner
-    sql: str | None
+    spec: str
+    body: str | None
+
+    @property
+    def sql(self) -> str | None:
+        """The full statement; composed on use, when all named subqueries exist."""
+        return statement(self.spec, self.body) if self.body else None
 
 
 ENTRIES: dict[str, Entry] = {}
@@ -99,7 +105,7 @@ def query(name: str, spec: str, sql: str | None = None) -> Callable[[Runner], Ru
             return out.select(*[SPARK_KINDS[k](F.col(c)).alias(c) for c, k in _columns(spec)])
 
         run.__doc__ = fn.__doc__
-        ENTRIES[name] = Entry(name, run, statement(spec, sql) if sql else None)
+        ENTRIES[name] = Entry(name, run, spec, sql)
         return fn
 
     return register

@@ -186,7 +186,8 @@ _ACTIVE_SQL = f"SELECT o_orderkey % 50 AS plant, t AS valid_time_utc, CAST({berl
 def solar_active_days(spark: SparkSession, path: str) -> DataFrame:
     """Active hours of days whose active hours form one run."""
     rows, stamps = _solar(spark, path)
-    active = rows.join(stamps.filter(F.col("clear_sky_ghi") >= 20.0), "valid_time_utc")
+    sunny = S.settle(stamps).filter(F.col("clear_sky_ghi") >= 20.0)  # settled: the filter must not repeat the solar terms
+    active = rows.join(sunny, "valid_time_utc")
     hours = active.select(
         (F.col("o_orderkey") % 50).alias("plant"), C.local_date(F.col("valid_time_utc")).alias("d"), C.local_hour(F.col("valid_time_utc")).alias("h")
     ).distinct()
