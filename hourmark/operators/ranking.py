@@ -173,3 +173,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     rest = [c for c in df.columns if c not in keys]
     newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def small_group_tail_mean(df: DataFrame, groups: Sequence[str], value: str, alpha: float, out: str) -> DataFrame:
+    """Upper-tail mean for many groups of known small size (days of one resample): one window."""
+    w = Window.partitionBy(*groups)
+    ranked = df.select(*groups, value).withColumns(
+        {"_rn": F.row_number().over(w.orderBy(F.col(value).desc())), "_n": F.count(F.lit(1)).over(w)}
+    )
+    tail = F.greatest(F.lit(1), F.ceil(F.round((1.0 - alpha) * F.col("_n"), 9)))
+    return ranked.filter(F.col("_rn") <= tail).groupBy(*groups).agg(F.avg(value).alias(out))

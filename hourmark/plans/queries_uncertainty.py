@@ -49,12 +49,19 @@ sql_view("centred_scenarios", scenario_sql(True))
 
 def _inputs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Settled working-hour points of the target days and the residual library."""
-    all_points = S.settle(pts(spark, path))
+    return working_inputs(S.settle(pts(spark, path)))
+
+
+def working_inputs(all_points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _working(all_points), S.settle(S.residuals(all_points))
 
 
 def scenarios(spark: SparkSession, path: str, centre: bool) -> DataFrame:
-    points, library = _inputs(spark, path)
+    return scenarios_from(S.settle(pts(spark, path)), centre)
+
+
+def scenarios_from(all_points: DataFrame, centre: bool) -> DataFrame:
+    points, library = working_inputs(all_points)
     draws = uncertainty.sample_source_days(points, library, DAY, N_SCENARIOS, SEED)
     return uncertainty.bootstrap_scenarios(points, library, draws, DAY, HOUR, TARGETS, centre, {"pv": (0.0, 8.0)})
 
