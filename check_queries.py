@@ -38,6 +38,8 @@ def compare(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
         return f"columns {sorted(spark_df.columns)} vs {sorted(sql_df.columns)}"
     if len(spark_df) != len(sql_df):
         return f"rows {len(spark_df)} vs {len(sql_df)}"
+    if not len(sql_df):
+        return None
     for c in sql_df.columns:
         if str(sql_df[c].dtype).startswith("datetime"):
             sql_df[c] = sql_df[c].astype("datetime64[us]")

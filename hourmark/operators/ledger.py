@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark.functions.numeric import percentage_or_null
-from hourmark.operators.ranking import exact_quantiles, upper_tail_means
+from hourmark.operators.ranking import exact_quantiles, quantile_and_tail
 from hourmark.params import MWH_TO_KWH, NO_TARIFF, Scenario, Tariff
 
 
@@ -103,9 +103,7 @@ def strategy_summary(daily: DataFrame, strategy: Sequence[str], cost: str, alpha
         F.count(F.lit(1)).alias("days"), F.sum(cost).alias("total_cost"), F.avg(cost).alias("mean_daily_cost"),
         F.stddev_samp(cost).alias("std_daily_cost"), F.max(cost).alias("max_daily_cost"), *[F.sum(c).alias(f"total_{c}") for c in sums],
     )
-    p95 = exact_quantiles(daily, strategy, cost, [alpha], ["p95_daily_cost"])
-    tail = upper_tail_means(daily, strategy, cost, alpha, "cvar_daily_cost").drop("tail_count")
-    return base.join(p95, strategy).join(tail, strategy)
+    return base.join(quantile_and_tail(daily, strategy, cost, alpha, "p95_daily_cost", "cvar_daily_cost"), strategy)
 
 
 def paired_days(daily: DataFrame, strategy: str, baseline: str, day: Sequence[str], cost: str) -> DataFrame:

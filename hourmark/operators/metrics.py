@@ -46,13 +46,16 @@ def metrics_over_sets(df: DataFrame, sets: Sequence[Sequence[str]], actual: str,
     )
 
 
-def period_metrics(df: DataFrame, periods: DataFrame, day: str, groups: Sequence[str], actual: str, prediction: str) -> DataFrame:
+def period_metrics(
+    df: DataFrame, periods: Sequence[tuple[str, str, str]], day: str, groups: Sequence[str], actual: str, prediction: str
+) -> DataFrame:
     """Bias and exact p95 absolute error per (possibly overlapping) named period.
 
-    ``periods`` has ``(period, first_day, last_day)``; it is a short list, so
-    the range condition is a broadcast join.
+    ``periods`` lists ``(name, first day, last day)``: each row is repeated for
+    the periods it falls in by a row-wise filter, with no join.
     """
-    inside = df.join(F.broadcast(periods), F.col(day).between(F.col("first_day"), F.col("last_day")))
+    names = [F.when(F.col(day).between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(n)) for n, a, b in periods]
+    inside = df.withColumn("period", F.explode(F.filter(F.array(*names), lambda p: p.isNotNull())))
     errors = inside.withColumn("abs_error", F.abs(F.col(prediction) - F.col(actual)))
     keys = ["period", *groups]
     base = errors.groupBy(*keys).agg(
@@ -80,7 +83,8 @@ def paired_improvement(df: DataFrame, variant: str, baseline: str, challenger: s
 
 def daily_spearman(df: DataFrame, day: Sequence[str], actual: str, prediction: str) -> DataFrame:
     """Spearman correlation per day (at most 24 rows a day, so day windows are small)."""
-    ranked = rank_window_average(df, day, actual, "_ra")
+    pairs = df.filter(F.col(actual).isNotNull() & F.col(prediction).isNotNull())
+    ranked = rank_window_average(pairs, day, actual, "_ra")
     ranked = rank_window_average(ranked, day, prediction, "_rp")
     spread = (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rp") > 0)
     return ranked.groupBy(*day).agg(F.when(spread, F.corr("_ra", "_rp")).alias("spearman"))
@@ -91,7 +95,8 @@ def extreme_overlap(df: DataFrame, day: Sequence[str], hour: str, actual: str, p
     def rank(order: list[Column]) -> Column:
         return F.row_number().over(Window.partitionBy(*day).orderBy(*order))
 
-    flagged = df.withColumns(
+    pairs = df.filter(F.col(actual).isNotNull() & F.col(prediction).isNotNull())
+    flagged = pairs.withColumns(
         {
             "_ta": rank([F.col(actual).desc(), F.col(hour)]), "_tp": rank([F.col(prediction).desc(), F.col(hour)]),
             "_ba": rank([F.col(actual), F.col(hour)]), "_bp": rank([F.col(prediction), F.col(hour)]),

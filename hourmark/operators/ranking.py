@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def _bucketed(df: DataFrame, groups: Sequence[str], order: str, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, groups: Sequence[str], order: str, count: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: how many of the group's cut points lie below ``order``.
 
+    ``count`` is an exact (integer) column; hashing it too makes this branch
+    read the same columns as the others, so all share one shuffle.
+
     The sample is bounded to ``buckets`` values per group by a windowed limit
     that Spark applies before the shuffle as well (WindowGroupLimit).
     """
-    pick = Window.partitionBy(*groups).orderBy(F.xxhash64(order), order)
+    pick = Window.partitionBy(*groups).orderBy(F.xxhash64(order, count), order)
     cuts = (
-        df.select(*groups, order)
+        df.select(*groups, order, count)
         .withColumn("_pick", F.row_number().over(pick))
         .filter(F.col("_pick") <= buckets)
         .groupBy(*groups)
@@ -49,10 +52,11 @@ def running_sums(
     """Inclusive running sum and group total of each column.
 
     ``df`` must hold one row per ``(groups, order)``. ``sums`` maps a source
-    column to a prefix ``p``; the result gains ``p_cum`` and ``p_total``.
+    column to a prefix ``p``; the result gains ``p_cum`` and ``p_total``. The
+    first summed column must be an exact count.
     """
     groups = list(groups)
-    rows = _bucketed(df, groups, order, buckets)
+    rows = _bucketed(df, groups, order, next(iter(sums)), buckets)
     keys = groups + ["_bucket"]
     totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_{p}") for c, p in sums.items()])
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,6 +98,36 @@ def rank_window_average(df: DataFrame, groups: Sequence[str], value: str, out: s
     return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+def _first_last() -> tuple[Column, Column]:
+    """Zero-based positions a distinct value occupies."""
+    return F.col("n_cum") - F.col("n"), F.col("n_cum") - 1
+
+
+def _quantile_parts(value: str, level: float) -> tuple[Column, Column]:
+    """Aggregate giving one linear quantile over ranked values, and the rows it needs."""
+    first, last = _first_last()
+    position = (F.col("n_total") - 1) * F.lit(float(level))
+    lo, hi = F.floor(position), F.ceil(position)
+    at_lo, at_hi = (first <= lo) & (lo <= last), (first <= hi) & (hi <= last)
+    v_lo, v_hi = F.max(F.when(at_lo, F.col(value))), F.max(F.when(at_hi, F.col(value)))
+    return v_lo + (v_hi - v_lo) * F.max(position - lo), at_lo | at_hi
+
+
+def _tail_taken(alpha: float) -> Column:
+    """How many copies of a ranked value belong to the upper tail."""
+    tail = F.greatest(F.lit(1), F.ceil(F.round((1.0 - alpha) * F.col("n_total"), 9)))
+    return F.greatest(F.lit(0), F.least(F.col("n"), tail - (F.col("n_total") - F.col("n_cum"))))
+
+
+def quantile_and_tail(df: DataFrame, groups: Sequence[str], value: str, alpha: float, quantile: str, tail: str) -> DataFrame:
+    """One quantile and the mean beyond it from a single ranking."""
+    taken = _tail_taken(alpha)
+    at, _ = _quantile_parts(value, alpha)
+    return value_ranks(df, groups, value).groupBy(*groups).agg(
+        at.alias(quantile), (F.sum(F.col(value) * taken) / F.sum(taken)).alias(tail)
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],
@@ -107,20 +141,12 @@ def exact_quantiles(
     Only the two neighbours of each requested position survive to the final
     aggregation, so no task ever holds a group's values.
     """
-    ranked = value_ranks(df, groups, value, buckets)
-    first, last = F.col("n_cum") - F.col("n"), F.col("n_cum") - 1  # zero-based positions held
-
-    aggs: list[Column] = []
+    parts = [_quantile_parts(value, level) for level in levels]
     wanted = F.lit(False)
-    for level, name in zip(levels, names, strict=True):
-        position = (F.col("n_total") - 1) * F.lit(float(level))
-        lo, hi = F.floor(position), F.ceil(position)
-        at_lo, at_hi = (first <= lo) & (lo <= last), (first <= hi) & (hi <= last)
-        wanted = wanted | at_lo | at_hi
-        v_lo, v_hi = F.max(F.when(at_lo, F.col(value))), F.max(F.when(at_hi, F.col(value)))
-        weight = F.max(position - lo)
-        aggs.append((v_lo + (v_hi - v_lo) * weight).alias(name))
-    return ranked.filter(wanted).groupBy(*groups).agg(*aggs)
+    for _, rows in parts:
+        wanted = wanted | rows
+    ranked = value_ranks(df, groups, value, buckets).filter(wanted)
+    return ranked.groupBy(*groups).agg(*[agg.alias(name) for (agg, _), name in zip(parts, names, strict=True)])
 
 
 def order_statistic(
@@ -136,11 +162,8 @@ def upper_tail_means(
     df: DataFrame, groups: Sequence[str], value: str, alpha: float, out: str = "cvar"
 ) -> DataFrame:
     """Mean of the largest ``max(1, ceil((1 - alpha) * n))`` values per group."""
-    ranked = value_ranks(df, groups, value)
-    tail = F.greatest(F.lit(1), F.ceil(F.round((1.0 - alpha) * F.col("n_total"), 9)))
-    above = F.col("n_total") - F.col("n_cum")  # rows strictly larger
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), tail - above))
-    return ranked.groupBy(*groups).agg(
+    taken = _tail_taken(alpha)
+    return value_ranks(df, groups, value).groupBy(*groups).agg(
         (F.sum(F.col(value) * taken) / F.sum(taken)).alias(out), F.sum(taken).alias("tail_count")
     )
 

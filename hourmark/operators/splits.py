@@ -87,18 +87,21 @@ def rolling_origin(days: DataFrame, day: str, initial: int, block: int) -> DataF
 def rolling_origin_rows(df: DataFrame, folds: DataFrame, day: str) -> DataFrame:
     """Train rows (strictly before the cutoff) and test rows of every fold.
 
-    Folds are few: the cutoff comparison is a broadcast of the fold list.
+    A training row is repeated for each fold it precedes; the fold list (days
+    divided by block length) is one array, so no join is needed for that.
     """
-    cutoffs = F.broadcast(folds.select("fold", "cutoff").distinct())
-    train = df.join(cutoffs, F.col(day) < F.col("cutoff")).withColumn("part", F.lit("train"))
+    cutoffs = folds.agg(F.collect_set(F.struct("fold", "cutoff"))).scalar()
+    later = F.filter(F.col("_folds"), lambda f: f["cutoff"] > F.col(day))
+    train = df.withColumn("_folds", cutoffs).select("*", F.inline(later)).drop("_folds").withColumn("part", F.lit("train"))
     test = df.join(folds.select(day, "fold", "cutoff"), day).withColumn("part", F.lit("test"))
     return train.unionByName(test)
 
 
-def expanding_months(df: DataFrame, day: str, months: DataFrame) -> DataFrame:
-    """Rows before each refit month (train) and inside it (test); ``months`` is a short list."""
-    spans = F.broadcast(months.select("refit_month"))
-    joined = df.join(spans, F.col(day) < F.add_months("refit_month", 1))
+def expanding_months(df: DataFrame, day: str, first: str, last: str) -> DataFrame:
+    """Rows before each refit month (train) and inside it (test), months ``first`` to ``last``."""
+    months = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))
+    reached = F.filter(months, lambda m: F.col(day) < F.add_months(m, 1))
+    joined = df.withColumn("refit_month", F.explode(reached))
     return joined.withColumn("part", F.when(F.col(day) < F.col("refit_month"), "train").otherwise("test"))
 
 

@@ -230,10 +230,7 @@ PERIODS = [("january", "2024-01-01", "2024-01-31"), ("first_half", "2024-01-01",
 )
 def period_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Bias and p95 error over overlapping named periods."""
-    periods = spark.createDataFrame(PERIODS, "period string, a string, b string").select(
-        "period", F.to_date("a").alias("first_day"), F.to_date("b").alias("last_day")
-    )
-    return metrics.period_metrics(S.settle(_scored(spark, path)), periods, "day", ["variant"], "da_price", "prediction")
+    return metrics.period_metrics(S.settle(_scored(spark, path)), PERIODS, "day", ["variant"], "da_price", "prediction")
 
 
 @query("e17_metrics_over_sets", "variant:s hour_local:i rows:i mae:f rmse:f",

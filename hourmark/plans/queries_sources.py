@@ -190,9 +190,9 @@ def run_status_counts(spark: SparkSession, path: str) -> DataFrame:
     requested = sinks.requested_runs("2024-01-05", "2024-02-10", (0, 12), spark)
     have = S.pooled_hours(spark, path).select(F.col("valid_time_utc").alias("run_init_utc"), F.lit("cached").alias("status"))
     labelled = requested.join(have, "run_init_utc", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    windows = F.broadcast(sinks.month_windows("2024-01-05", "2024-02-10", spark))  # one row per month
-    inside = F.to_date("run_init_utc").between(F.col("window_start"), F.col("window_end"))
-    return labelled.join(windows, inside).groupBy("window_start", "window_end", "status").agg(F.count(F.lit(1)).alias("runs"))
+    windows = sinks.month_windows("2024-01-05", "2024-02-10", spark).withColumn("month", F.trunc("window_start", "month"))
+    monthly = labelled.withColumn("month", F.trunc(F.to_date("run_init_utc"), "month")).join(windows, "month")
+    return monthly.groupBy("window_start", "window_end", "status").agg(F.count(F.lit(1)).alias("runs"))
 
 
 @query(

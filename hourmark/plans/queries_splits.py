@@ -79,10 +79,9 @@ def rolling_rows(spark: SparkSession, path: str) -> DataFrame:
 )
 def expanding_months(spark: SparkSession, path: str) -> DataFrame:
     """Refit every month on everything before it, test on the month."""
-    months = spark.range(1).select(F.explode(F.sequence(F.lit("1996-01-01").cast("date"), F.lit("1996-06-01").cast("date"), F.expr("interval 1 month"))).alias("refit_month"))
     rows = S.table(spark, path, "orders", "o_orderdate", "o_totalprice").withColumn("day", F.to_date("o_orderdate"))
     daily = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
-    parts = splits.expanding_months(daily, "day", months)
+    parts = splits.expanding_months(daily, "day", "1996-01-01", "1996-06-01")
     return parts.groupBy("refit_month", "part").agg(F.sum("n").alias("rows"), (F.sum("s") / F.sum("n")).alias("value"))
 
 

@@ -299,7 +299,7 @@ def quantile_frames(spark: SparkSession, path: str) -> DataFrame:
 
 _EVAL_SQL = """SELECT '{g}' AS generator, count(*) AS rows, avg(abs(mean - da_price)) AS scenario_mean_mae, avg((da_price BETWEEN p10 AND p90)::INT) AS coverage, avg(p90 - p10) AS mean_width, avg(crps) AS crps FROM (
   SELECT delivery_date_local, hour_local, max(da_price) AS da_price, avg(price) AS mean, quantile_cont(price, 0.1) AS p10, quantile_cont(price, 0.9) AS p90, avg(abs(price - da_price)) - sum((2 * i - n + 1) * price) / (max(n) * max(n)) AS crps
-  FROM (SELECT s.*, p.da_price, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s.delivery_date_local, s.hour_local) AS n FROM {t} s JOIN working_points p USING (delivery_date_local, hour_local) WINDOW w AS (PARTITION BY s.delivery_date_local, s.hour_local ORDER BY price)) GROUP BY 1, 2)"""
+  FROM (SELECT s.*, p.da_price, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s.delivery_date_local, s.hour_local) AS n FROM {t} s JOIN working_points p USING (delivery_date_local, hour_local) WINDOW w AS (PARTITION BY s.delivery_date_local, s.hour_local ORDER BY price)) GROUP BY 1, 2) HAVING count(*) > 0"""
 
 
 @query("j12_scenario_evaluation", "generator:s rows:i scenario_mean_mae:f coverage:f mean_width:f crps:f",

@@ -92,6 +92,7 @@ def market(spark: SparkSession, path: str) -> DataFrame:
     hourly = readings(spark, path).groupBy(hour).agg(
         (mean_of(PRICE_TYPES) - 40.0).alias("da_price"), (F.avg("value") - 40.0).alias("id_price"), mean_of(PV_TYPES).alias("_pv")
     )
+    hourly = hourly.dropna(subset=["da_price", "_pv"])  # an hour without every price is a gap, not a null
     local = hourly.withColumns(
         {"delivery_date_local": local_date(F.col("valid_time_utc")), "hour_local": local_hour(F.col("valid_time_utc"))}
     )
@@ -111,7 +112,7 @@ sql_view(
               avg(value) FILTER (WHERE event_type IN ('purchase', 'click', 'error')) - 40.0 AS da_price,
               avg(value) - 40.0 AS id_price,
               avg(value) FILTER (WHERE event_type IN ('view', 'signup', 'click')) AS pv
-            FROM events GROUP BY 1))""",
+            FROM events GROUP BY 1) WHERE da_price IS NOT NULL AND pv IS NOT NULL)""",
 )
 
 VALUES = ("da_price", "id_price", "spread", "pv_kwh")
