@@ -17,7 +17,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 256
+
+
+def _count_below(cuts: Column, value: Column, size: int) -> Column:
+    """How many entries of a sorted array lie below ``value``: binary search in log2 steps."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        open_ = acc["lo"] < acc["hi"]
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = open_ & (F.get(cuts, mid) < value)
+        return F.struct(
+            F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(acc["hi"]).alias("hi")
+        )
+
+    steps = F.array(*[F.lit(i) for i in range(size.bit_length())])
+    return F.aggregate(steps, start, halve)["lo"]
 
 
 def _bucketed(df: DataFrame, groups: Sequence[str], order: str, count: str, buckets: int) -> DataFrame:
@@ -38,8 +54,7 @@ def _bucketed(df: DataFrame, groups: Sequence[str], order: str, count: str, buck
         .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
     )
     joined = df.join(cuts, list(groups)) if groups else df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(order)))
-    return joined.withColumn("_bucket", below).drop("_cuts")
+    return joined.withColumn("_bucket", _count_below(F.col("_cuts"), F.col(order), buckets)).drop("_cuts")
 
 
 def running_sums(
