@@ -45,15 +45,15 @@ def monthly_coverage(df: DataFrame, source: str, ts: str, sources: Sequence[str]
 def step_histogram(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Histogram of steps between consecutive distinct stamps of a series.
 
-    The lag runs inside (series, month); a month's first stamp takes the last
-    stamp of an earlier month from a one-row-per-month window.
+    The lag runs inside (series, hour); an hour's first stamp takes the last
+    stamp of an earlier hour from a window with one row per hour, so a busy
+    series is spread over its hours.
     """
-    month = F.trunc(F.to_date(ts), "month")
-    rows = df.select(*keys, F.col(ts).alias("_t")).distinct().withColumn("_m", F.trunc(F.to_date("_t"), "month"))
-    inside = rows.withColumn("_p", F.lag("_t").over(Window.partitionBy(*keys, "_m").orderBy("_t")))
-    ends = rows.groupBy(*keys, "_m").agg(F.max("_t").alias("_end"))
-    edges = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_m"))).drop("_end")
-    stepped = inside.join(edges, [*keys, "_m"]).withColumn(
+    rows = df.select(*keys, F.col(ts).alias("_t")).distinct().withColumn("_h", F.date_trunc("hour", "_t"))
+    inside = rows.withColumn("_p", F.lag("_t").over(Window.partitionBy(*keys, "_h").orderBy("_t")))
+    ends = rows.groupBy(*keys, "_h").agg(F.max("_t").alias("_end"))
+    edges = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_h"))).drop("_end")
+    stepped = inside.join(edges, [*keys, "_h"]).withColumn(
         "step_seconds", F.unix_timestamp("_t") - F.unix_timestamp(F.coalesce("_p", "_before"))
     )
     return stepped.filter(F.col("step_seconds").isNotNull()).groupBy(*keys, "step_seconds").agg(F.count(F.lit(1)).alias("rows"))

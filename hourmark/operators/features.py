@@ -45,20 +45,29 @@ def same_clock_history(
     lags: Sequence[int],
     names: str = "{value}_d{lag}",
     required: bool = True,
+    instant: str | None = None,
 ) -> DataFrame:
-    """Same clock hour of earlier local days as columns; ``required`` drops rows missing any."""
+    """Same clock hour of earlier local days as columns; ``required`` drops rows missing any.
+
+    Where a clock hour occurs twice, ``instant`` picks its later occurrence.
+    """
+
+    def value_at(v: str, k: int) -> Column:
+        here = F.col("_lag") == k
+        if instant is None:
+            return F.max(F.when(here, F.col(v)))
+        return F.max_by(F.when(here, F.col(v)), F.when(here, F.col(instant)))
+
+    wanted = F.array(*[F.lit(k) for k in lags])
+    found = sum((F.max((F.col("_lag") == k).cast("int")) for k in lags), F.lit(0))
     shifted = (
-        history.select(*keys, day, hour, *values)
-        .withColumn("_lag", F.explode(F.array(*[F.lit(k) for k in lags])))
+        history.select(*keys, day, hour, *values, *([instant] if instant else []))
+        .withColumn("_lag", F.explode(wanted))
         .withColumn(day, F.date_add(day, F.col("_lag")))
         .groupBy(*keys, day, hour)
         .agg(
-            F.count_distinct("_lag").alias("_found"),
-            *[
-                F.max(F.when(F.col("_lag") == k, F.col(v))).alias(names.format(value=v, lag=k))
-                for v in values
-                for k in lags
-            ],
+            found.alias("_found"),
+            *[value_at(v, k).alias(names.format(value=v, lag=k)) for v in values for k in lags],
         )
     )
     if required:
@@ -80,41 +89,59 @@ def strict_mean(columns: Sequence[str]) -> Column:
     return total / float(len(columns))
 
 
-def recent_window(
+def recent_windows(
     decisions: DataFrame,
     series: DataFrame,
     keys: Sequence[str],
     ts: str,
     values: Sequence[str],
     n: int = 6,
+    backs: Sequence[int] = (),
     as_of: str = "as_of_utc",
-    offset_hours: int = 0,
-    local_days_back: int = 0,
     day: str = "delivery_date_local",
     hour: str = "hour_local",
 ) -> DataFrame:
-    """The ``n`` completed hours before a decision as arrays ordered old to new.
+    """The ``n`` completed hours before a decision, and the same clock hours of earlier days.
 
-    Only contiguous windows survive (all ``n`` keys must match). With
-    ``local_days_back`` the same clock hours of an earlier local day are taken.
+    Arrays run old to new: ``{value}_window`` and, per entry of ``backs``,
+    ``{value}_d{back}w``. A decision missing any hour of any window is dropped.
+    All windows share one join on the hour, one on (day, hour) and one
+    aggregation of ``n * (1 + len(backs))`` rows per decision.
     """
+    packed = F.struct(*values).alias("_v")
     probe = decisions.select(*keys, as_of).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    probe = probe.withColumn(
-        ts, F.col(as_of) - F.make_dt_interval(F.lit(0), F.col("_i") + F.lit(offset_hours))
-    )
-    rows = probe.join(series.select(*keys, ts, day, hour, *values), [*keys, ts])
-    if local_days_back:
-        earlier = series.select(*keys, day, hour, *values)
-        rows = (
-            rows.select(*keys, as_of, "_i", F.date_sub(day, local_days_back).alias(day), hour)
-            .join(earlier, [*keys, day, hour])
-        )
-    grouped = rows.groupBy(*keys, as_of).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.collect_list(F.struct((-F.col("_i")).alias("o"), *values))).alias("_w"),  # n items
-    )
-    full = grouped.filter(F.col("_n") == n)
-    return full.select(*keys, as_of, *[F.col("_w")[v].alias(f"{v}_window") for v in values])
+    probe = probe.withColumn(ts, F.col(as_of) - F.make_dt_interval(F.lit(0), F.col("_i")))
+    rows = probe.join(series.select(*keys, ts, day, hour, packed), [*keys, ts])
+    recent = rows.select(*keys, as_of, F.lit(0).alias("_back"), "_i", "_v")
+    if backs:
+        # an hour repeated at the end of summer time counts once, by its later instant
+        earlier = series.groupBy(*keys, day, hour).agg(F.max_by(F.struct(*values), F.col(ts)).alias("_v"))
+        asked = rows.select(*keys, as_of, "_i", day, hour, F.explode(F.array(*[F.lit(b) for b in backs])).alias("_back"))
+        asked = asked.withColumn(day, F.date_sub(day, F.col("_back")))
+        recent = recent.unionByName(asked.join(earlier, [*keys, day, hour]).select(*keys, as_of, "_back", "_i", "_v"))
+    items = F.array_sort(F.collect_list(F.struct("_back", (-F.col("_i")).alias("o"), "_v")))
+    grouped = recent.groupBy(*keys, as_of).agg(items.alias("_w"))
+    windows = [F.slice("_w", 1 + k * n, n).alias(f"_w{k}") for k in range(1 + len(backs))]
+    whole = grouped.filter(F.size("_w") == n * (1 + len(backs))).select(*keys, as_of, *windows)
+    names = ["window", *[f"d{b}w" for b in sorted(backs)]]
+    return whole.select(*keys, as_of, *[F.col(f"_w{k}._v")[v].alias(f"{v}_{name}") for k, name in enumerate(names) for v in values])
+
+
+def recent_window(
+    decisions: DataFrame,
+    series: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    values: Sequence[str],
+    n: int = 6,
+    local_days_back: int = 0,
+    **columns: str,
+) -> DataFrame:
+    """One window: the recent hours, or their clock hours ``local_days_back`` days earlier."""
+    if not local_days_back:
+        return recent_windows(decisions, series, keys, ts, values, n, **columns)
+    both = recent_windows(decisions, series, keys, ts, values, n, (local_days_back,), **columns)
+    return both.drop(*[f"{v}_window" for v in values]).withColumnsRenamed({f"{v}_d{local_days_back}w": f"{v}_window" for v in values})
 
 
 def array_stats(window: Column, prefix: str) -> dict[str, Column]:
@@ -318,13 +345,7 @@ def intraday_features(hourly: DataFrame, keys: Sequence[str], version: str = "v2
         F.col(hour).alias("decision_hour_local"), F.col("da_price").alias("decision_da_price"),
     )
     values = ["id_price", "spread"]
-    recent = recent_window(decisions, series, keys, "valid_time_utc", values)
-    week = recent_window(decisions, series, keys, "valid_time_utc", values, local_days_back=7)
-    fortnight = recent_window(decisions, series, keys, "valid_time_utc", values, local_days_back=14)
-    windows = (
-        recent.join(week.select(*keys, "as_of_utc", *[F.col(f"{v}_window").alias(f"{v}_d7w") for v in values]), [*keys, "as_of_utc"])
-        .join(fortnight.select(*keys, "as_of_utc", *[F.col(f"{v}_window").alias(f"{v}_d14w") for v in values]), [*keys, "as_of_utc"])
-    )
+    windows = recent_windows(decisions, series, keys, "valid_time_utc", values, 6, (7, 14))
     stats: dict[str, Column] = {}
     for v, name in (("id_price", "intraday_last6"), ("spread", "spread_last6")):
         stats |= array_stats(F.col(f"{v}_window"), name)
@@ -351,9 +372,10 @@ def intraday_features(hourly: DataFrame, keys: Sequence[str], version: str = "v2
         F.avg("da_price").alias("day_mean"), F.stddev_pop("da_price").alias("day_std"),
         F.min("da_price").alias("day_min"), F.max("da_price").alias("day_max"),
     )
-    history = series.select(*keys, day, hour, *values)
+    history = series.select(*keys, day, hour, "valid_time_utc", *values)
     lagged = same_clock_history(
-        regular.select(*keys, day, hour, "valid_time_utc", "da_price", *values), history, keys, day, hour, values, (1, 7, 14)
+        regular.select(*keys, day, hour, "valid_time_utc", "da_price", *values), history, keys, day, hour, values, (1, 7, 14),
+        instant="valid_time_utc",
     )
     targets = lagged.join(da_day, [*keys, day]).select(
         *keys, day, F.col(hour).alias("target_hour_local"), F.col("valid_time_utc").alias("target_valid_time_utc"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark.functions.numeric import percentage_or_null
-from hourmark.operators.ranking import exact_quantiles, quantile_and_tail
+from hourmark.operators.ranking import exact_quantiles, quantile_and_tail, value_ranks
 from hourmark.params import MWH_TO_KWH, NO_TARIFF, Scenario, Tariff
 
 
@@ -125,10 +125,11 @@ def unmatched_days(daily: DataFrame, strategy: str, names: Sequence[str], baseli
 def paired_savings(pairs: DataFrame, strategy: Sequence[str], day: str, alpha: float = 0.95, tol: float = 1e-9) -> DataFrame:
     """Saving statistics per candidate, including the baseline's worst days."""
     strategy = list(strategy)
-    worst = Window.partitionBy(*strategy).orderBy(F.col("baseline_cost").desc(), F.col(day))
-    sized = pairs.join(pairs.groupBy(*strategy).agg(F.count(F.lit(1)).alias("_n")), strategy)
-    tail = F.greatest(F.lit(1), F.ceil(F.round((1.0 - alpha) * F.col("_n"), 9)))
-    flagged = sized.withColumn("_worst", F.row_number().over(worst) <= tail)  # daily rows of one strategy
+    keys = [*strategy, "baseline_cost"]
+    ranks = value_ranks(pairs, strategy, "baseline_cost").select(*keys, "n_total", (F.col("n_total") - F.col("n_cum")).alias("_above"))
+    tail = F.greatest(F.lit(1), F.ceil(F.round((1.0 - alpha) * F.col("n_total"), 9)))
+    among_ties = F.row_number().over(Window.partitionBy(*keys).orderBy(day))  # equal costs only
+    flagged = pairs.join(ranks, keys).withColumn("_worst", F.col("_above") + among_ties <= tail)
     saving = F.col("saving")
     base = flagged.groupBy(*strategy).agg(
         F.count(F.lit(1)).alias("days"), F.sum(saving).alias("total_saving"), F.avg(saving).alias("mean_saving"),

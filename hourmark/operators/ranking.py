@@ -43,7 +43,8 @@ def _bucketed(df: DataFrame, groups: Sequence[str], order: str, count: str, buck
     read the same columns as the others, so all share one shuffle.
 
     The sample is bounded to ``buckets`` values per group by a windowed limit
-    that Spark applies before the shuffle as well (WindowGroupLimit).
+    that Spark applies before the shuffle as well (WindowGroupLimit). A group
+    with fewer values is one bucket and carries no cut points.
     """
     pick = Window.partitionBy(*groups).orderBy(F.xxhash64(order, count), order)
     cuts = (
@@ -52,9 +53,11 @@ def _bucketed(df: DataFrame, groups: Sequence[str], order: str, count: str, buck
         .filter(F.col("_pick") <= buckets)
         .groupBy(*groups)
         .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
+        .filter(F.size("_cuts") >= buckets)
     )
-    joined = df.join(cuts, list(groups)) if groups else df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    return joined.withColumn("_bucket", _count_below(F.col("_cuts"), F.col(order), buckets)).drop("_cuts")
+    joined = df.join(cuts, list(groups), "left") if groups else df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(_count_below(F.col("_cuts"), F.col(order), buckets))
+    return joined.withColumn("_bucket", bucket).drop("_cuts")
 
 
 def running_sums(

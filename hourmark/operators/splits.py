@@ -30,7 +30,7 @@ def week_table(df: DataFrame, ts: str, tz: str = LOCAL_TZ) -> DataFrame:
 
 
 def with_week_index(df: DataFrame, ts: str, tz: str = LOCAL_TZ) -> DataFrame:
-    weeks = week_table(df, ts, tz)
+    weeks = F.broadcast(week_table(df, ts, tz))  # one row per calendar week: the rows need no shuffle
     return df.withColumn("week_start", week_start(F.col(ts), tz)).join(weeks, "week_start")
 
 

@@ -130,11 +130,10 @@ SOLAR_SQL = f"""SELECT *, CASE WHEN az < 0 THEN az + 360 ELSE az END AS azimuth,
           FROM (SELECT DISTINCT valid_time_utc AS t FROM order_clock)))))"""
 
 
-def _solar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Orders and the solar columns of their distinct stamps (computed once per stamp)."""
-    rows = S.order_clock(spark, path)
-    stamps = C.with_solar_position(rows.select("valid_time_utc").distinct(), "valid_time_utc", LAT, LON)
-    return rows, stamps.withColumn("clear_sky_ghi", C.haurwitz_ghi(F.col("solar_elevation_deg")))
+def solar_rows(rows: DataFrame) -> DataFrame:
+    """Solar columns as a plain projection: a score of trigonometric terms costs less than a shuffle."""
+    placed = C.with_solar_position(rows, "valid_time_utc", LAT, LON)
+    return placed.withColumn("clear_sky_ghi", C.haurwitz_ghi(F.col("solar_elevation_deg")))
 
 
 @query(
@@ -142,8 +141,7 @@ def _solar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     f"SELECT o_orderkey, elevation AS solar_elevation_deg, azimuth AS solar_azimuth_deg FROM order_clock JOIN ({SOLAR_SQL}) ON t = valid_time_utc",
 )
 def solar_position(spark: SparkSession, path: str) -> DataFrame:
-    rows, stamps = _solar(spark, path)
-    return rows.join(stamps, "valid_time_utc")
+    return solar_rows(S.order_clock(spark, path))
 
 
 @query(
@@ -152,8 +150,7 @@ def solar_position(spark: SparkSession, path: str) -> DataFrame:
     f" FROM order_clock JOIN ({SOLAR_SQL}) ON t = valid_time_utc",
 )
 def clear_sky(spark: SparkSession, path: str) -> DataFrame:
-    rows, stamps = _solar(spark, path)
-    return rows.join(stamps, "valid_time_utc").withColumns(
+    return solar_rows(S.order_clock(spark, path)).withColumns(
         {
             "clear_sky_index": N.clear_sky_index(F.col("o_totalprice") / 1000.0, F.col("clear_sky_ghi"), 20.0),
             "valid": (F.col("clear_sky_ghi") >= 20.0).cast("int"),

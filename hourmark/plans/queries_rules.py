@@ -9,7 +9,7 @@ from hourmark.functions import calendar as C
 from hourmark.operators import contracts, features, pointintime, shaping
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query
-from hourmark.plans.queries_calendar import AS_OF_SQL, FULL24, FULL48, LAYERS, SOLAR_SQL, _solar
+from hourmark.plans.queries_calendar import AS_OF_SQL, FULL24, FULL48, LAYERS, SOLAR_SQL, solar_rows
 from hourmark.plans.series import berlin
 
 GROUPS = {"f24_available_at": ["f24_da_price", "f24_pv_kwh"], "f48_available_at": ["f48_da_price", "f48_pv_kwh"]}
@@ -185,12 +185,10 @@ _ACTIVE_SQL = f"SELECT o_orderkey % 50 AS plant, t AS valid_time_utc, CAST({berl
 )
 def solar_active_days(spark: SparkSession, path: str) -> DataFrame:
     """Active hours of days whose active hours form one run."""
-    rows, stamps = _solar(spark, path)
-    sunny = S.settle(stamps).filter(F.col("clear_sky_ghi") >= 20.0)  # settled: the filter must not repeat the solar terms
-    active = rows.join(sunny, "valid_time_utc")
-    hours = active.select(
-        (F.col("o_orderkey") % 50).alias("plant"), C.local_date(F.col("valid_time_utc")).alias("d"), C.local_hour(F.col("valid_time_utc")).alias("h")
-    ).distinct()
+    rows = S.order_clock(spark, path).select((F.col("o_orderkey") % 50).alias("plant"), "valid_time_utc").distinct()
+    # settled: a filter pushed below would repeat every solar term
+    sunny = S.settle(solar_rows(rows)).filter(F.col("clear_sky_ghi") >= 20.0)
+    hours = sunny.select("plant", C.local_date(F.col("valid_time_utc")).alias("d"), C.local_hour(F.col("valid_time_utc")).alias("h")).distinct()
     return shaping.contiguous_days(hours, ["plant"], "d", "h")
 
 
