@@ -70,8 +70,8 @@ def draw(scenario: Column, ordinal: Column, seed: int, rounds: int = 3) -> Colum
 
 
 def draw_index(scenario: Column, ordinal: Column, seed: int, n: Column) -> Column:
-    """Index in ``[0, n)``."""
-    return draw(scenario, ordinal, seed) % n.cast("bigint")
+    """Index in ``[0, n)``; null when there is nothing to draw from."""
+    return draw(scenario, ordinal, seed) % F.nullif(n.cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def draw_uniform(scenario: Column, ordinal: Column, seed: int) -> Column:

@@ -167,6 +167,14 @@ def exact_quantiles(
     return ranked.groupBy(*groups).agg(*[agg.alias(name) for (agg, _), name in zip(parts, names, strict=True)])
 
 
+def describe(df: DataFrame, groups: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Rows, minimum, maximum and exact quantiles of a column from one ranking."""
+    quantiles = [_quantile_parts(value, level)[0].alias(name) for level, name in zip(levels, names, strict=True)]
+    return value_ranks(df, groups, value).groupBy(*groups).agg(
+        F.max("n_total").alias("rows"), F.min(value).alias("lowest"), F.max(value).alias("peak"), *quantiles
+    )
+
+
 def order_statistic(
     df: DataFrame, groups: Sequence[str], value: str, position: Column, out: str = "value"
 ) -> DataFrame:

@@ -38,14 +38,19 @@ def coarse_steps(df: DataFrame, keys: Sequence[str], ts: str, step_hours: int =
     """Keep stamps whose predecessor is missing or at least ``step_hours`` earlier.
 
     A predecessor that close lies in the same bucket or the one before, so each
-    bucket's first and last stamp (one partial aggregation) decide; no lag over
-    a whole series.
+    bucket's first stamp and the last of the bucket before decide: one partial
+    aggregation and one join, no lag over a whole series.
     """
     micros = 3_600_000_000 * step_hours
     rows = df.withColumn("_b", F.floor(F.unix_micros(ts) / F.lit(micros)))
     edges = rows.groupBy(*keys, "_b").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    previous = edges.select(*keys, (F.col("_b") + 1).alias("_b"), F.col("_last").alias("_before"))
-    near = rows.join(edges.select(*keys, "_b", "_first"), [*keys, "_b"]).join(previous, [*keys, "_b"], "left")
+    none = F.lit(None).cast("timestamp")
+    own = F.struct(F.col("_b").alias("_b"), F.col("_first").alias("_first"), none.alias("_before"))
+    after = F.struct((F.col("_b") + 1).alias("_b"), none.alias("_first"), F.col("_last").alias("_before"))
+    marks = edges.select(*keys, F.inline(F.array(own, after))).groupBy(*keys, "_b").agg(
+        F.max("_first").alias("_first"), F.max("_before").alias("_before")
+    )
+    near = rows.join(marks, [*keys, "_b"])
     crowded_inside = F.col("_first") < F.col(ts)
     crowded_before = F.coalesce(F.unix_micros(ts) - F.unix_micros("_before") < micros, F.lit(False))
     return near.filter(~crowded_inside & ~crowded_before).drop("_b", "_first", "_before")

@@ -184,9 +184,7 @@ def night_prices(spark: SparkSession, path: str) -> DataFrame:
 @query("e13_site_descriptives", "site_id:s rows:i peak:f p995:f", "SELECT event_type AS site_id, count(*) AS rows, max(value) AS peak, quantile_cont(value, 0.995) AS p995 FROM events GROUP BY 1")
 def site_descriptives(spark: SparkSession, path: str) -> DataFrame:
     """Exact p99.5 over all readings of a site, counted across tasks."""
-    rows = S.readings(spark, path).select("site_id", "value")
-    base = rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("rows"), F.max("value").alias("peak"))
-    return base.join(ranking.exact_quantiles(rows, ["site_id"], "value", [0.995], ["p995"]), "site_id")
+    return ranking.describe(S.readings(spark, path).select("site_id", "value"), ["site_id"], "value", [0.995], ["p995"])
 
 
 def _scored(spark: SparkSession, path: str) -> DataFrame:

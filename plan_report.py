@@ -45,7 +45,11 @@ def main(path: str, prefixes: list[str]) -> None:
     for name, e in ENTRIES.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
-        counts = summarise(final_plan(e.run(spark, path)))
+        try:
+            counts = summarise(final_plan(e.run(spark, path)))
+        except Exception as error:  # noqa: BLE001 - report and go on with the next query
+            print(f"{name:34s} failed: {str(error).splitlines()[0][:200]}", flush=True)
+            continue
         print(f"{name:34s} " + " ".join(f"{k}={v}" for k, v in counts.items()), flush=True)
 
 
