@@ -199,17 +199,16 @@ def location_columns(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "d13_snapshot_attach", "delivery_date_local:d decision_hour_local:i valid_time_utc:t pv_kwh:f forecast:f",
-    """WITH snap AS (SELECT valid_time_utc, max(forecast) AS forecast FROM forecast_archive WHERE location_id = 'view' AND hour(run_init_utc) = 6 GROUP BY 1)
+    """WITH snap AS (SELECT valid_time_utc, max(forecast) AS forecast FROM forecast_archive GROUP BY 1)
       SELECT d.delivery_date_local, d.hour_local AS decision_hour_local, t.valid_time_utc, t.pv_kwh, s.forecast FROM market d JOIN market t ON t.delivery_date_local = d.delivery_date_local AND t.hour_local > d.hour_local
-      JOIN snap s ON s.valid_time_utc = t.valid_time_utc WHERE d.hour_local IN (6, 12)""",
+      JOIN snap s ON s.valid_time_utc = t.valid_time_utc""",
 )
 def snapshot_attach(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots attached on (day, decision, valid time); pairs without one are dropped."""
     hourly = S.settle(S.market(spark, path))
     targets = hourly.select("delivery_date_local", F.col("hour_local").alias("target_hour_local"), "valid_time_utc", "pv_kwh")
-    decisions = _decisions(hourly).filter(F.col("decision_hour_local").isin(6, 12))
-    pairs = features.decision_targets(decisions, targets, [], "delivery_date_local", "decision_hour_local", "target_hour_local")
-    archive = S.forecast_archive(spark, path).filter((F.col("location_id") == "view") & (F.hour("run_init_utc") == 6))
+    pairs = features.decision_targets(_decisions(hourly), targets, [], "delivery_date_local", "decision_hour_local", "target_hour_local")
+    archive = S.forecast_archive(spark, path)
     return pairs.join(archive.groupBy("valid_time_utc").agg(F.max("forecast").alias("forecast")), "valid_time_utc")
 
 

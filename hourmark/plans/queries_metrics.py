@@ -415,7 +415,7 @@ def cross_target_summary(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "e31_dependence_audit", "pairs:i correlation_rmse:f correlation_max_abs_error:f",
-    f"""WITH smp AS (SELECT l.* EXCLUDE (source_day), s AS source_day FROM range(200) AS r(s) JOIN (SELECT *, dense_rank() OVER (ORDER BY source_day) - 1 AS pos FROM long_residuals) l ON l.pos = {draw_sql('s', '0', 3)} % (SELECT count(DISTINCT source_day) FROM long_residuals)),
+    f"""WITH smp AS (SELECT l.* EXCLUDE (source_day), s AS source_day FROM range(200) AS r(s) JOIN (SELECT *, dense_rank() OVER (ORDER BY source_day) - 1 AS pos FROM long_residuals) l ON l.pos = {draw_sql('s', '0', 3)} % (SELECT nullif(count(DISTINCT source_day), 0) FROM long_residuals)),
       a AS ({_CORR_SQL.format(v='value', t='long_residuals')}), b AS ({_CORR_SQL.format(v='value', t='smp')})
       SELECT count(*) AS pairs, sqrt(avg((a.correlation - b.correlation) ^ 2)) AS correlation_rmse, max(abs(a.correlation - b.correlation)) AS correlation_max_abs_error FROM a JOIN b USING (variable_i, variable_j)""",
 )

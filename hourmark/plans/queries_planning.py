@@ -280,8 +280,9 @@ def physical_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "e34_strategy_summary", "strategy:s days:i total_cost:f mean_daily_cost:f std_daily_cost:f max_daily_cost:f p95_daily_cost:f cvar_daily_cost:f total_battery_cost_eur:f",
-    """SELECT strategy, days, total_cost, mean_daily_cost, std_daily_cost, max_daily_cost, p95_daily_cost, total_battery_cost_eur, (SELECT avg(c) FROM (SELECT total_cost_eur AS c FROM daily_costs x WHERE x.strategy = s.strategy ORDER BY c DESC LIMIT 1)) AS cvar_daily_cost FROM
-      (SELECT strategy, count(*) AS days, sum(total_cost_eur) AS total_cost, avg(total_cost_eur) AS mean_daily_cost, stddev_samp(total_cost_eur) AS std_daily_cost, max(total_cost_eur) AS max_daily_cost, quantile_cont(total_cost_eur, 0.95) AS p95_daily_cost, sum(battery_cost_eur) AS total_battery_cost_eur FROM daily_costs GROUP BY 1) s""",
+    """SELECT strategy, days, total_cost, mean_daily_cost, std_daily_cost, max_daily_cost, p95_daily_cost, total_battery_cost_eur, cvar_daily_cost FROM
+      (SELECT strategy, count(*) AS days, sum(total_cost_eur) AS total_cost, avg(total_cost_eur) AS mean_daily_cost, stddev_samp(total_cost_eur) AS std_daily_cost, max(total_cost_eur) AS max_daily_cost, quantile_cont(total_cost_eur, 0.95) AS p95_daily_cost, sum(battery_cost_eur) AS total_battery_cost_eur FROM daily_costs GROUP BY 1)
+      JOIN (SELECT strategy, avg(c) AS cvar_daily_cost FROM (SELECT strategy, total_cost_eur AS c, row_number() OVER (PARTITION BY strategy ORDER BY total_cost_eur DESC) AS rk, count(*) OVER (PARTITION BY strategy) AS n FROM daily_costs) WHERE rk <= greatest(1, ceil(round(0.05 * n, 9))) GROUP BY 1) USING (strategy)""",
 )
 def strategy_summary(spark: SparkSession, path: str) -> DataFrame:
     return ledger.strategy_summary(daily_costs(spark, path), ["strategy"], "total_cost_eur", 0.95, ["battery_cost_eur"])
@@ -349,7 +350,8 @@ BLOCK, RESAMPLES = 7, 400
         FROM daily_costs c JOIN daily_costs b ON b.delivery_date_local = c.delivery_date_local AND b.strategy = 'day_ahead_only' WHERE c.strategy <> 'day_ahead_only'),
       z AS (SELECT DISTINCT strategy, n FROM p), g AS (SELECT strategy, n, r, bl, ({draw_sql('r', 'bl', 21)} % (n - {BLOCK} + 1)) AS st FROM z, range({RESAMPLES}) AS a(r), range(10) AS b(bl) WHERE bl < ceil(n / {BLOCK}.0)),
       s AS (SELECT g.strategy, g.r, p.base, p.cand, g.n FROM g, range({BLOCK}) AS c(k) JOIN p ON p.strategy = g.strategy AND p.pos = g.st + k WHERE g.bl * {BLOCK} + k < g.n),
-      m AS (SELECT strategy, r, avg(base - cand) * max(n) AS saving, max(base) - max(cand) AS cvar FROM s GROUP BY 1, 2)
+      k AS (SELECT *, row_number() OVER (PARTITION BY strategy, r ORDER BY base DESC) AS rb, row_number() OVER (PARTITION BY strategy, r ORDER BY cand DESC) AS rc, greatest(1, ceil(round(0.05 * n, 9))) AS t FROM s),
+      m AS (SELECT strategy, r, avg(base - cand) * max(n) AS saving, avg(base) FILTER (WHERE rb <= t) - avg(cand) FILTER (WHERE rc <= t) AS cvar FROM k GROUP BY 1, 2)
       SELECT strategy, quantile_cont(saving, 0.025) AS saving_low, quantile_cont(saving, 0.975) AS saving_high, quantile_cont(cvar, 0.025) AS cvar_low, quantile_cont(cvar, 0.975) AS cvar_high FROM m GROUP BY 1""",
 )
 def block_bootstrap(spark: SparkSession, path: str) -> DataFrame:

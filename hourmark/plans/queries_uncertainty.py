@@ -21,13 +21,13 @@ TARGETS = {
 
 
 def _working(points: DataFrame) -> DataFrame:
-    return points.filter(F.col(HOUR).between(6, 21) & (F.col(DAY) > "2024-01-12")).dropna(subset=["da_price_point", "pv_kwh_point", "spread_point"])
+    return points.filter(F.col(HOUR).between(6, 21)).dropna(subset=["da_price_point", "pv_kwh_point", "spread_point"])
 
 
-sql_view("working_points", "SELECT * FROM points WHERE hour_local BETWEEN 6 AND 21 AND delivery_date_local > DATE '2024-01-12' AND da_price_point IS NOT NULL AND pv_kwh_point IS NOT NULL AND spread_point IS NOT NULL")
+sql_view("working_points", "SELECT * FROM points WHERE hour_local BETWEEN 6 AND 21 AND da_price_point IS NOT NULL AND pv_kwh_point IS NOT NULL AND spread_point IS NOT NULL")
 sql_view("library_days", "SELECT source_day, row_number() OVER (ORDER BY source_day) - 1 AS pos FROM (SELECT DISTINCT source_day FROM residuals)")
 sql_view("target_days", "SELECT t.day, (SELECT count(*) FROM library_days l WHERE l.source_day < t.day) AS n FROM (SELECT DISTINCT delivery_date_local AS day FROM working_points) t")
-sql_view("draws", f"SELECT t.day, s AS scenario_id, l.source_day FROM target_days t, range({N_SCENARIOS}) AS r(s) JOIN library_days l ON l.pos = {draw_sql('s', day_number_sql('t.day'), SEED)} % t.n")
+sql_view("draws", f"SELECT t.day, s AS scenario_id, l.source_day FROM target_days t, range({N_SCENARIOS}) AS r(s) JOIN library_days l ON l.pos = {draw_sql('s', day_number_sql('t.day'), SEED)} % nullif(t.n, 0)")
 sql_view(
     "eligible_means",
     "SELECT t.day, r.hour_local, avg(pv_residual) AS pv_c, avg(price_residual) AS price_c, avg(spread_residual) AS spread_c FROM target_days t JOIN residuals r ON r.source_day < t.day GROUP BY 1, 2",
@@ -120,16 +120,21 @@ def weights_sql(pairs: str) -> str:
 
 
 sql_view("season_weights", weights_sql("SELECT t.day, l.source_day FROM target_days t JOIN library_days l ON l.source_day < t.day"))
-sql_view("order_days", "SELECT o_orderdate::DATE AS source_day, avg(o_totalprice) AS v FROM orders WHERE year(o_orderdate) < 1997 GROUP BY 1")
+sql_view("order_days", "SELECT DISTINCT o_orderdate::DATE AS source_day FROM orders")
 
 
-@query("j04_seasonal_weights", f"{DAY}:d source_day:d probability:f",
-       "SELECT day AS delivery_date_local, source_day, probability FROM (" + weights_sql("SELECT t.day, o.source_day FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderdate BETWEEN DATE '1996-12-20' AND DATE '1997-01-10') t JOIN order_days o ON o.source_day < t.day") + ")")
+@query("j04_seasonal_weights", f"{DAY}:d library_days:i total:f newest:f oldest:f largest:f",
+       "SELECT day AS delivery_date_local, count(*) AS library_days, sum(probability) AS total, arg_max(probability, source_day) AS newest, arg_min(probability, source_day) AS oldest, max(probability) AS largest FROM ("
+       + weights_sql("SELECT t.source_day AS day, o.source_day FROM order_days t JOIN order_days o ON o.source_day < t.source_day") + ") GROUP BY 1")
 def seasonal_weights(spark: SparkSession, path: str) -> DataFrame:
-    """Circular-calendar kernel weights around the turn of the year."""
+    """Circular-calendar kernel weights of every order day over all earlier ones, summarised per day."""
     days = S.settle(S.table(spark, path, "orders", "o_orderdate").select(F.to_date("o_orderdate").alias("source_day")).distinct())
-    targets = days.filter(F.col("source_day").between("1996-12-20", "1997-01-10")).withColumnRenamed("source_day", DAY)
-    return uncertainty.seasonal_weights(targets, days.filter(F.year("source_day") < 1997), DAY, BANDWIDTH, MIXTURE)
+    weights = uncertainty.seasonal_weights(days.withColumnRenamed("source_day", DAY), days, DAY, BANDWIDTH, MIXTURE)
+    p = F.col("probability")
+    return weights.groupBy(DAY).agg(
+        F.count(F.lit(1)).alias("library_days"), F.sum(p).alias("total"), F.max_by(p, "source_day").alias("newest"),
+        F.min_by(p, "source_day").alias("oldest"), F.max(p).alias("largest"),
+    )
 
 
 def _weights(points: DataFrame, library: DataFrame) -> DataFrame:
