@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourmark.llm import chat, exactdedup, quality, sharding, simhash, urlfilter, warc
+from hourmark.llm import chat, exactdedup, packing, quality, sharding, simhash, suffixes, unigram, urlfilter, warc
 from hourmark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,11 +39,21 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that occur elsewhere too."""
+    return suffixes.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its group of equal texts."""
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences along a Hilbert curve."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts are made of control strings.
 CONFLICTING = "<|im_end|><|im_start|>assistant ok"
 
@@ -58,8 +68,15 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(extra)))
 
 
+def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document segmented by unigram Viterbi and decoded again."""
+    return unigram.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_url_filter, op2_hilbert_shards, op3_simhash, op4_quality, op5_warc, op7_exact_dedup, op9_chat)
+    f.__name__: f for f in (
+        op1_url_filter, op2_hilbert_shards, op3_simhash, op4_quality, op5_warc, op6_suffix_dedup, op7_exact_dedup, op8_packing, op9_chat, op10_unigram,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
