@@ -33,7 +33,9 @@ LENGTH, SEED = 400, 128
 #: Bytes of text anchored together; positions fit 20 bits of the sort key.
 PART_BYTES = 1 << 19
 #: Blocks an owner task merges at a time, and distinct blocks of one seed beyond which windows are dealt singly.
-OWNED, HOT_SEED = 20_000, 100_000
+OWNED, HOT_SEED = 6_000, 50_000
+#: Texts handled at a time, and bytes of keys a task sorts at a time.
+SOME, SORTED_BYTES = 256, 24 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -219,6 +221,12 @@ def equal_windows(
 _RUN = "bucket bigint, h array<bigint>, bh array<bigint>, shared array<int>, rest array<binary>, before array<binary>, windows array<int>, copies array<bigint>"
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SOME):
+            yield batch.slice(start, SOME)
+
+
 def _block_hash(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
@@ -227,7 +235,7 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """``(doc_id, th, h, bh, a, b, p)``: every block with the hashes of its seed and of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids, hashes, texts = batch.column(0), batch.column(1), [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
             for number, h, a, b, p in blocks_of(texts, length, seed):
                 bh = [_block_hash(texts[n][x : y + length]) for n, x, y in zip(number.tolist(), a.tolist(), b.tolist())]
@@ -256,7 +264,7 @@ def _single_windows(texts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     """Blocks of hot seeds as one block per window, keyed by the window's own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             for doc_id, th, text, blocks in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = text.encode("utf-8", "replace")
                 starts = sorted({i for x in blocks for i in range(x["a"], x["b"] + 1)})
@@ -290,7 +298,7 @@ def _runs(texts: DataFrame, buckets: int, length: int) -> DataFrame:
         names = ["bucket", "h", "bh", "shared", "rest", "before", "windows", "copies"]
         longs, ints, raw = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())
         kinds = [pa.int64(), longs, longs, ints, raw, raw, ints, longs]
-        for batch in batches:
+        for batch in _parts(batches):
             for text, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode("utf-8", "replace")
                 for x in blocks:
@@ -304,7 +312,7 @@ def _runs(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                         size += len(key) + len(before)
                     else:
                         row[5] += 1
-            if size > 64 << 20:
+            if size > SORTED_BYTES:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -412,14 +420,14 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "n_removed", "n_spans", "kept_sha256", "kept"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = []
-                for doc_id, th, text, found in zip(*(batch.slice(start, 256).column(k).to_pylist() for k in range(4))):
-                    data = text.encode("utf-8", "replace")
-                    removed, left = kept_ranges(found, len(data))
-                    kept = b"".join(data[x:y] for x, y in left)
-                    rows.append((doc_id, th, len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept))
+        for batch in _parts(batches):
+            rows = []
+            for doc_id, th, text, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = text.encode("utf-8", "replace")
+                removed, left = kept_ranges(found, len(data))
+                kept = b"".join(data[x:y] for x, y in left)
+                rows.append((doc_id, th, len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return whole.mapInArrow(run, "doc_id bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
