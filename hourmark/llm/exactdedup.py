@@ -105,4 +105,4 @@ def keep_first(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     stays = found.where("kept").select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__sha"))
     gone = lost.join(stays, (lost["__lost"].eqNullSafe(stays["__lost"])) & (lost["__sha"] == stays["__sha"]), "left_anti")
     sha = F.sha2(F.encode(normalised(), "UTF-8"), 256)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__lost")) & (sha == F.col("__sha")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__lost"]) & (sha == gone["__sha"]), "left_anti")

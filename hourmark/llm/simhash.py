@@ -233,4 +233,4 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """
     found = near_components(docs.select("doc_id", "text"), shingle, radius)
     losers = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads")).where("NOT leads").select(F.col("doc_id").alias("__lost"))
-    return docs.join(losers, F.col("doc_id") == F.col("__lost"), "left_anti")
+    return docs.join(losers, docs["doc_id"] == losers["__lost"], "left_anti")

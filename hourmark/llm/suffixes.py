@@ -464,8 +464,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     new = cut.select("__id", "__th", decoded("kept").alias("__text"))
-    joined = docs.join(new, F.col("doc_id").eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left")
-    text = F.coalesce(F.col("__text"), F.col("text"))
+    joined = docs.join(new, docs["doc_id"].eqNullSafe(new["__id"]) & (th == new["__th"]), "left")
+    text = F.coalesce(new["__text"], docs["text"])
     kinds = dict(docs.dtypes)
-    shown = [text.alias(c) if c == "text" else F.length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    shown = [text.alias(c) if c == "text" else F.coalesce(F.length(text).cast(kinds[c]), docs[c]).alias(c) if c == "n_chars" else docs[f"`{c}`"] for c in docs.columns]
     return joined.select(*shown)
