@@ -23,7 +23,7 @@ from hourmark.llm.sharding import hilbert_index
 
 SEQUENCE, END_ID, DIMS, CURVE_BITS = 2048, 1, 3, 10
 #: Words kept with their ids per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: Letters whose normal form, lower case and class need no table, and marks that form a unit of their own after them.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%*$&)\"-]*)")
 
@@ -95,6 +95,12 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
+def forget_words() -> None:
+    """Drop the caches of this worker, as it may go on to other work."""
+    for words in _LOADED.values():
+        words.known, words.stems = {}, {}
+
+
 def _cells(ids: np.ndarray, axes: np.ndarray) -> list[int]:
     """Cell of a document: its mean token direction per dimension, squashed to ``CURVE_BITS`` bits."""
     mean = axes[ids].mean(axis=0, dtype=np.float64)
@@ -160,11 +166,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SE
     """
     path = tokenizer or default_tokenizer()
     kept = stored(tokenised(docs, path), "tokens")
+    kind = word_ids(path).kind
     tie = F.xxhash64("ids")
     dealt = kept.withColumn("tie", tie).repartitionByRange("curve", "tie", "doc_id").sortWithinPartitions("curve", "tie", "doc_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = word_ids(path).kind
+        forget_words()
         base = TaskContext.get().partitionId() << 32
         opener = zstandard.ZstdDecompressor()
         sequence = used = 0

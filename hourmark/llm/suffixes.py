@@ -31,11 +31,11 @@ from hourmark.llm.common import stored
 
 LENGTH, SEED = 400, 128
 #: Bytes of text anchored together; positions fit 20 bits of the sort key.
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 18
 #: Blocks an owner task merges at a time, and distinct blocks of one seed beyond which windows are dealt singly.
-OWNED, HOT_SEED = 6_000, 50_000
+OWNED, HOT_SEED = 3_000, 12_000
 #: Texts handled at a time, and bytes of keys a task sorts at a time.
-SOME, SORTED_BYTES = 256, 24 << 20
+SOME, SORTED_BYTES = 128, 12 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -101,7 +101,7 @@ def blocks_of(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> Ite
     for number, text in enumerate(texts):
         for at in range(0, len(text) - length + 1, PART_BYTES):
             part = text[at : at + PART_BYTES + length - 1]
-            if held + len(part) > 1 << 20:
+            if held + len(part) > 2 * PART_BYTES:
                 yield anchored()
                 parts, held = [], 0
             parts.append((number, at, part))
@@ -213,9 +213,9 @@ def equal_windows(
         pair = np.cumsum(right < length - offset)[active] * (n + 1) + side[active]
         _, inverse = np.unique(pair, return_inverse=True)
         found = active[np.bincount(inverse, copies[active])[inverse] > 1]
-        blocks.append(found)
-        offsets.append(np.full(len(found), offset, np.int64))
-    return (np.concatenate(blocks), np.concatenate(offsets)) if blocks else (np.empty(0, np.int64),) * 2
+        blocks.append(found.astype(np.int32))
+        offsets.append(np.full(len(found), offset, np.int32))
+    return (np.concatenate(blocks), np.concatenate(offsets)) if blocks else (np.empty(0, np.int32),) * 2
 
 
 _RUN = "bucket bigint, h array<bigint>, bh array<bigint>, shared array<int>, rest array<binary>, before array<binary>, windows array<int>, copies array<bigint>"
@@ -355,7 +355,7 @@ def _merged(runs: pa.Table, length: int) -> pa.Table:
     high = np.array([len(b[2]) for b in blocks], np.int64)
     low = high - np.array([b[3] for b in blocks], np.int64)
     found, offset = equal_windows(np.array(right), np.array(order), np.array(left), low, high, np.array([b[4] for b in blocks], np.float64), length)
-    start = high[found] - offset
+    start = high.astype(np.int32)[found] - offset
     by = np.lexsort((start, found))
     found, start = found[by], start[by]
     new = np.ones(len(found), bool)

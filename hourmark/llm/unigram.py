@@ -23,7 +23,7 @@ from hourmark.llm.common import arrow_rows
 MARKER = "▁"
 #: What an unknown character costs beside the worst piece.
 UNKNOWN_COST = 10.0
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 def default_model() -> str:
