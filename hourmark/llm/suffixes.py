@@ -96,7 +96,10 @@ def blocks_of(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> Ite
         last = np.append(first[1:], len(start)) - 1
         part, a, b, p = owner[first], start[first], start[last], anchor[first]
         move = np.array([p_[1] for p_ in parts])[part] - begins[part]
-        return np.array([p_[0] for p_ in parts])[part], hashes[p], a + move, b + move, p + move
+        # anchors have small hashes; spread them again, for an even deal
+        spread = (hashes[p] ^ (hashes[p] >> np.uint64(29))) * np.uint64(_FACTOR)
+        spread = (spread ^ (spread >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return np.array([p_[0] for p_ in parts])[part], spread, a + move, b + move, p + move
 
     for number, text in enumerate(texts):
         for at in range(0, len(text) - length + 1, PART_BYTES):
