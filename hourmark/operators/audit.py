@@ -99,5 +99,6 @@ def manifest(df: DataFrame, ts: str, name: str) -> DataFrame:
     columns = sorted(df.columns)
     return df.agg(
         F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_time"), F.max(ts).alias("last_time"),
-        F.bit_xor(F.xxhash64(*[F.col(c) for c in columns])).alias("content_hash"),
+        # a sum, not an exclusive or: a pair of equal rows must not cancel
+        F.pmod(F.sum(F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")), F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("content_hash"),
     ).select(F.lit(name).alias("dataset"), F.lit(len(columns)).alias("columns"), "rows", "first_time", "last_time", "content_hash")

@@ -55,11 +55,18 @@ def _bucketed(df: DataFrame, groups: Sequence[str], order: str, count: str, buck
         .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
         .filter(F.size("_cuts") >= buckets)
     )
-    joined = df.join(cuts, list(groups), "left") if groups else df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    joined = _with_groups(df, cuts, groups, "left") if groups else df.withColumn("_cuts", cuts.select("_cuts").scalar())
     bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(_count_below(F.col("_cuts"), F.col(order), buckets))
     return joined.withColumn("_bucket", bucket).drop("_cuts")
 
 
+def _with_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns in which null is a value like others."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def running_sums(
     df: DataFrame,
     groups: Sequence[str],
@@ -86,7 +93,7 @@ def running_sums(
     )
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"_{p}_local": F.sum(c).over(inside) for c, p in sums.items()})
-    out = local.join(offsets, keys)
+    out = _with_groups(local, offsets, keys)
     out = out.withColumns({f"{p}_cum": F.col(f"_{p}_before") + F.col(f"_{p}_local") for p in sums.values()})
     return out.drop("_bucket", *[f"_{p}_{s}" for p in sums.values() for s in ("before", "local")])
 

@@ -35,7 +35,7 @@ def unpivot_profiles(df: DataFrame, ids: Sequence[str], profiles: Sequence[str],
 
 
 def coarse_steps(df: DataFrame, keys: Sequence[str], ts: str, step_hours: int = 1) -> DataFrame:
-    """Keep stamps whose predecessor is missing or at least ``step_hours`` earlier.
+    """Keep stamps whose predecessor is missing or at least ``step_hours`` earlier; of equal stamps one row.
 
     A predecessor that close lies in the same bucket or the one before, so each
     bucket's first stamp and the last of the bucket before decide: one partial
@@ -53,7 +53,7 @@ def coarse_steps(df: DataFrame, keys: Sequence[str], ts: str, step_hours: int =
     near = rows.join(marks, [*keys, "_b"])
     crowded_inside = F.col("_first") < F.col(ts)
     crowded_before = F.coalesce(F.unix_micros(ts) - F.unix_micros("_before") < micros, F.lit(False))
-    return near.filter(~crowded_inside & ~crowded_before).drop("_b", "_first", "_before")
+    return near.filter(~crowded_inside & ~crowded_before).dropDuplicates([*keys, "_b"]).drop("_b", "_first", "_before")
 
 
 def outer_on_time(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:

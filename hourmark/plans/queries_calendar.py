@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hourmark.functions import calendar as C
 from hourmark.functions import numeric as N
 from hourmark.operators import ledger, planning, pointintime, shaping
-from hourmark.params import NO_TARIFF, PFORZHEIM_2025, QUANTILE_LEVELS, Scenario
+from hourmark.params import NO_TARIFF, PFORZHEIM_2025, QUANTILE_LEVELS, SITE_LATITUDE, SITE_LONGITUDE, Scenario
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query
 from hourmark.plans.series import berlin, to_utc
@@ -118,7 +118,7 @@ def season_day_type(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("season", "day_type").agg(F.count(F.lit(1)).alias("orders"))
 
 
-LAT, LON = 48.8922, 8.6946  # fixed value: reference site
+LAT, LON = SITE_LATITUDE, SITE_LONGITUDE
 SOLAR_SQL = f"""SELECT *, CASE WHEN az < 0 THEN az + 360 ELSE az END AS azimuth, CASE WHEN sin(radians(elevation)) > 0
     THEN 1098.0 * sin(radians(elevation)) * exp(-0.057 / sin(radians(elevation))) ELSE 0 END AS ghi
   FROM (SELECT t, degrees(asin(sin(lat) * sin(dec) + cos(lat) * cos(dec) * cos(ha))) AS elevation,

@@ -34,13 +34,15 @@ def build_session(app: str = "hourmark", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own, else a local one (tests)."""
+    """Shared folder for checkpoints: the cluster's own; a local one on a local master only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
         if current is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if current is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if current is None:
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
