@@ -82,33 +82,57 @@ def per_variable_fallback(
     return df.withColumns(chosen)
 
 
-def day_ahead_context(
+def delivery_context(
+    df: DataFrame, decisions: DataFrame, groups: Mapping[str, Sequence[str]], day: str = "delivery_date_local", keys: Sequence[str] = (),
+) -> DataFrame:
+    """Rows of each decision's delivery day, masked at its ``as_of_utc``: an equi-join on series and day.
+
+    ``decisions`` has ``(keys, day, as_of_utc)``. What a decision knows of the
+    history before it comes from ``known_totals``.
+    """
+    return mask_unavailable(df.join(decisions, [*keys, day]), F.col("as_of_utc"), groups)
+
+
+def known_at(valid: str, available: str) -> Column:
+    """When a value of a past hour counts as known: the later of the hour and its publication, null if unpublished."""
+    return F.when(F.col(available).isNotNull(), F.greatest(valid, available))
+
+
+def known_totals(
     df: DataFrame,
     decisions: DataFrame,
-    groups: Mapping[str, Sequence[str]],
-    valid: str = "valid_time_utc",
-    tz: str = LOCAL_TZ,
-    history_days: int = 1,
+    measures: Mapping[str, tuple[Column, Column]],
+    decision_keys: Sequence[str],
+    keys: Sequence[str] = (),
+    as_of: str = "as_of_utc",
 ) -> DataFrame:
-    """Delivery-day rows and the history before each decision, masked at its ``as_of_utc``.
+    """Count and sum of every value known by each decision, over its whole history.
 
-    ``decisions`` has ``(delivery_date_local, as_of_utc)``. Each hour is offered
-    only to the decisions of the local days it can serve (``history_days`` back),
-    an equi-join on the day, never an all-pairs comparison. ``part`` is
-    ``delivery`` or ``history``.
+    ``measures`` maps a name to (time from which it is known, value); the result
+    adds ``<name>_n`` and ``<name>_sum`` to the decisions. Sums per date run over
+    the dates of a series; only facts of a decision's own date are met singly, so
+    the work does not grow with decisions times history.
     """
-    day = F.to_date(F.from_utc_timestamp(F.col(valid), tz))
-    spread = df.withColumn("_offset", F.explode(F.sequence(F.lit(0), F.lit(history_days + 1))))
-    spread = spread.withColumn("_delivery", F.date_add(day, F.col("_offset")))
-    pairs = spread.join(
-        decisions.withColumnRenamed("delivery_date_local", "_delivery"), "_delivery"
+    fact = F.array(*[F.struct(F.lit(m).alias("_m"), at.alias("_at"), v.cast("double").alias("_v")) for m, (at, v) in measures.items()])
+    facts = df.select(*keys, F.explode(fact).alias("_f")).select(*keys, "_f.*").filter("_at IS NOT NULL AND _v IS NOT NULL")
+    facts = facts.withColumn("_date", F.to_date("_at"))
+    names = [f"{m}_{part}" for m in measures for part in ("n", "sum")]
+
+    def totals(suffix: str) -> list[Column]:
+        own = [F.when(F.col("_m") == m, F.col("_v")) for m in measures]
+        return [how(v).alias(f"{m}_{part}{suffix}") for m, v in zip(measures, own, strict=True) for part, how in (("n", F.count), ("sum", F.sum))]
+
+    probe = decisions.withColumn("_date", F.to_date(as_of))
+    daily = facts.groupBy(*keys, "_date").agg(*totals(""))
+    spine = probe.select(*keys, "_date").unionByName(daily.select(*keys, "_date")).distinct()
+    earlier = Window.partitionBy(*keys).orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)  # one row per date
+    carried = spine.join(daily, [*keys, "_date"], "left").select(*keys, "_date", *[F.sum(c).over(earlier).alias(c) for c in names])
+    same_date = (
+        probe.join(facts, [*keys, "_date"]).filter(F.col("_at") <= F.col(as_of)).groupBy(*decision_keys, as_of).agg(*totals("_today"))
     )
-    pairs = pairs.withColumn(
-        "part",
-        F.when(F.col("_offset") == 0, "delivery").when(F.col(valid) <= F.col("as_of_utc"), "history"),
-    ).filter(F.col("part").isNotNull())
-    masked = mask_unavailable(pairs, F.col("as_of_utc"), groups)
-    return masked.drop("_offset").withColumnRenamed("_delivery", "decision_delivery_date")
+    joined = probe.join(carried, [*keys, "_date"]).join(same_date, [*decision_keys, as_of], "left")
+    zero = F.lit(0)
+    return joined.withColumns({c: F.coalesce(c, zero) + F.coalesce(f"{c}_today", zero) for c in names}).drop("_date", *[f"{c}_today" for c in names])
 
 
 def context_at(
@@ -129,21 +153,20 @@ def horizon_context(
     df: DataFrame,
     decisions: DataFrame,
     groups: Mapping[str, Sequence[str]],
-    back_hours: int,
     ahead_hours: int,
     valid: str = "valid_time_utc",
 ) -> DataFrame:
-    """Rows observed up to ``as_of_utc`` and future rows to the horizon end, masked.
+    """Future rows up to the horizon's end of each decision, masked at its ``as_of_utc``.
 
-    Bulk form: a decision is matched by an equi-join on the hour with an
-    exploded offset, so the work is decisions times window length.
+    An equi-join on the hour with an exploded offset, so the work is decisions
+    times horizon. The observed part, all hours up to ``as_of_utc``, is never
+    paired with decisions: ``known_totals`` sums it, ``context_at`` lists it.
     """
-    offsets = F.explode(F.sequence(F.lit(-back_hours), F.lit(ahead_hours)))
+    offsets = F.explode(F.sequence(F.lit(1), F.lit(ahead_hours)))
     wanted = decisions.withColumn("offset_hours", offsets).withColumn(
         valid, F.col("as_of_utc") + F.make_dt_interval(F.lit(0), F.col("offset_hours"))
     )
     pairs = wanted.join(df, [c for c in decisions.columns if c in df.columns] + [valid])
-    pairs = pairs.withColumn("part", F.when(F.col("offset_hours") <= 0, "observed").otherwise("future"))
     return mask_unavailable(pairs, F.col("as_of_utc"), groups)
 
 
@@ -152,32 +175,34 @@ def latest_available_run(
     runs: DataFrame,
     decision_keys: Sequence[str],
     as_of: str = "as_of_utc",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Newest run published by each decision, however old it is.
 
-    ``runs`` is the distinct ``(run_init_utc, available_at_utc)`` of an archive.
+    ``runs`` is the distinct ``(keys, run_init_utc, available_at_utc)`` of an
+    archive; ``keys`` name the series and are part of ``decision_keys``.
     Runs published on the decision's own date come from an equi-join on that
     date; otherwise the decision takes the last run of an earlier date, carried
     forward over a spine with one row per date. No row ever meets all runs.
     """
     order = F.struct("available_at_utc", "run_init_utc")
     record = F.struct("run_init_utc", "available_at_utc")
-    dated = runs.select("run_init_utc", "available_at_utc", F.to_date("available_at_utc").alias("_date"))
+    dated = runs.select(*keys, "run_init_utc", "available_at_utc", F.to_date("available_at_utc").alias("_date"))
     probe = decisions.withColumn("_date", F.to_date(as_of))
 
     same_date = (
-        probe.join(dated, "_date")
+        probe.join(dated, [*keys, "_date"])
         .filter(F.col("available_at_utc") <= F.col(as_of))
         .groupBy(*decision_keys, as_of)
         .agg(F.max_by(record, order).alias("_same"))
     )
-    last_of_date = dated.groupBy("_date").agg(F.max_by(record, order).alias("_last"))
-    spine = probe.select("_date").unionByName(dated.select("_date")).distinct()
-    earlier = Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)  # one row per date
-    carried = spine.join(last_of_date, "_date", "left").select(
-        "_date", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
+    last_of_date = dated.groupBy(*keys, "_date").agg(F.max_by(record, order).alias("_last"))
+    spine = probe.select(*keys, "_date").unionByName(dated.select(*keys, "_date")).distinct()
+    earlier = Window.partitionBy(*keys).orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)  # one row per date
+    carried = spine.join(last_of_date, [*keys, "_date"], "left").select(
+        *keys, "_date", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
     )
-    newest = probe.join(carried, "_date").join(same_date, [*decision_keys, as_of], "left")
+    newest = probe.join(carried, [*keys, "_date"]).join(same_date, [*decision_keys, as_of], "left")
     run = F.coalesce("_same", "_carried")
     return newest.filter(run.isNotNull()).select(
         *decision_keys, as_of, run["run_init_utc"].alias("run_init_utc"), run["available_at_utc"].alias("available_at_utc")
@@ -190,12 +215,13 @@ def snapshot_join(
     archive: DataFrame,
     day: str = "delivery_date_local",
     decision_keys: Sequence[str] = ("delivery_date_local", "decision_hour_local"),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Forecast rows of the newest published run for every future target of a decision."""
-    runs = archive.select("run_init_utc", "available_at_utc").distinct()
-    chosen = latest_available_run(decisions, runs, decision_keys)
-    future = chosen.join(targets, day).filter(F.col("valid_time_utc") > F.col("as_of_utc"))
-    out = future.join(archive.drop("available_at_utc"), ["run_init_utc", "valid_time_utc"])
+    """Forecast rows of the newest published run for every future target of a decision, series by series (``keys``)."""
+    runs = archive.select(*keys, "run_init_utc", "available_at_utc").distinct()
+    chosen = latest_available_run(decisions, runs, [*keys, *[k for k in decision_keys if k not in keys]], keys=keys)
+    future = chosen.join(targets, [*keys, day]).filter(F.col("valid_time_utc") > F.col("as_of_utc"))
+    out = future.join(archive.drop("available_at_utc"), [*keys, "run_init_utc", "valid_time_utc"])
     return out.withColumns(
         {
             "snapshot_lead_hours": F.timestamp_diff("HOUR", F.col("run_init_utc"), F.col("valid_time_utc")).cast("int"),

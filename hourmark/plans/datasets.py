@@ -192,6 +192,6 @@ def dataset_contract(df: DataFrame, keys: Sequence[str], feature_times: Sequence
     return contracts.rule_counts(df, late).unionByName(contracts.duplicate_count(df, keys))
 
 
-def mpc_context(canonical: DataFrame, decisions: DataFrame, back_hours: int, ahead_hours: int, groups: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Observed and future canonical rows of many decisions, masked at each ``as_of_utc``."""
-    return pointintime.horizon_context(canonical, decisions, groups or availability_groups(), back_hours, ahead_hours)
+def mpc_context(canonical: DataFrame, decisions: DataFrame, ahead_hours: int, groups: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Future canonical rows of many decisions, masked at each ``as_of_utc``."""
+    return pointintime.horizon_context(canonical, decisions, groups or availability_groups(), ahead_hours)

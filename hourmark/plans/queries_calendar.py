@@ -260,16 +260,22 @@ def night_labels(spark: SparkSession, path: str) -> DataFrame:
 _JAN = f"(SELECT m.valid_time_utc, m.pv_kwh, m.pv_kwh - p.pv_kwh AS delta FROM market m JOIN market p ON p.valid_time_utc = m.valid_time_utc - INTERVAL 24 HOUR)"
 
 
-@query("b20_weather_refresh", "valid_time_utc:t level:f delta:f refreshed_index:f",
-       f"SELECT valid_time_utc, pv_kwh AS level, delta, CASE WHEN pv_kwh >= 2 THEN (pv_kwh + delta) / pv_kwh ELSE -999 END AS refreshed_index FROM {_JAN}")
+@query("b20_weather_refresh", "valid_time_utc:t level:f delta:f log_index:f valid:i",
+       f"SELECT valid_time_utc, pv_kwh AS level, delta, CASE WHEN ghi > 0 THEN ln(1 + pv_kwh / ghi) ELSE -999 END AS log_index, (ghi > 0)::INT AS valid FROM {_JAN} JOIN ({SOLAR_SQL.replace('order_clock', 'market')}) ON t = valid_time_utc")
 def weather_refresh(spark: SparkSession, path: str) -> DataFrame:
-    """Refreshed level, its change against the day-ahead layer, and the updated index."""
+    """Refreshed level, its change against the day-ahead layer, and its share of clear-sky irradiance.
+
+    The index is shown as ``ln(1 + index)``: near the horizon the ratio has no bound.
+    """
     from hourmark.operators.features import hour_lags
 
     rows = hour_lags(S.settle(S.market(spark, path)), [], "valid_time_utc", ["pv_kwh"], [24], names="{value}_lag{lag}").dropna(subset=["pv_kwh_lag24"])
     delta = F.col("pv_kwh") - F.col("pv_kwh_lag24")
-    return rows.select("valid_time_utc", F.col("pv_kwh").alias("level"), delta.alias("delta"),
-                       N.clear_sky_index(F.col("pv_kwh") + delta, F.col("pv_kwh"), 2.0).alias("refreshed_index"))
+    sunny = F.col("clear_sky_ghi") > 0
+    return solar_rows(rows).select(
+        "valid_time_utc", F.col("pv_kwh").alias("level"), delta.alias("delta"),
+        F.when(sunny, F.log1p(F.col("pv_kwh") / F.col("clear_sky_ghi"))).otherwise(-999.0).alias("log_index"), sunny.cast("int").alias("valid"),
+    )
 
 
 @query(

@@ -199,17 +199,21 @@ def location_columns(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "d13_snapshot_attach", "delivery_date_local:d decision_hour_local:i valid_time_utc:t pv_kwh:f forecast:f",
-    """WITH snap AS (SELECT valid_time_utc, max(forecast) AS forecast FROM forecast_archive GROUP BY 1)
-      SELECT d.delivery_date_local, d.hour_local AS decision_hour_local, t.valid_time_utc, t.pv_kwh, s.forecast FROM market d JOIN market t ON t.delivery_date_local = d.delivery_date_local AND t.hour_local > d.hour_local
-      JOIN snap s ON s.valid_time_utc = t.valid_time_utc""",
+    """WITH runs AS (SELECT DISTINCT run_init_utc, available_at_utc FROM forecast_archive),
+      chosen AS (SELECT d.valid_time_utc AS as_of_utc, d.delivery_date_local, d.hour_local, r.run_init_utc FROM market d ASOF JOIN runs r ON d.valid_time_utc >= r.available_at_utc),
+      snap AS (SELECT run_init_utc, valid_time_utc, avg(forecast) AS forecast FROM forecast_archive GROUP BY 1, 2)
+      SELECT c.delivery_date_local, c.hour_local AS decision_hour_local, t.valid_time_utc, t.pv_kwh, s.forecast FROM chosen c JOIN market t ON t.delivery_date_local = c.delivery_date_local AND t.hour_local > c.hour_local AND t.valid_time_utc > c.as_of_utc
+      JOIN snap s ON s.run_init_utc = c.run_init_utc AND s.valid_time_utc = t.valid_time_utc""",
 )
 def snapshot_attach(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshots attached on (day, decision, valid time); pairs without one are dropped."""
+    """Mean of the locations in the run known to the decision, attached on (day, decision, valid time)."""
     hourly = S.settle(S.market(spark, path))
     targets = hourly.select("delivery_date_local", F.col("hour_local").alias("target_hour_local"), "valid_time_utc", "pv_kwh")
     pairs = features.decision_targets(_decisions(hourly), targets, [], "delivery_date_local", "decision_hour_local", "target_hour_local")
-    archive = S.forecast_archive(spark, path)
-    return pairs.join(archive.groupBy("valid_time_utc").agg(F.max("forecast").alias("forecast")), "valid_time_utc")
+    archive = S.settle(S.forecast_archive(spark, path))
+    located = pointintime.snapshot_join(_decisions(hourly), hourly.select("delivery_date_local", "valid_time_utc"), archive)
+    key = ["delivery_date_local", "decision_hour_local", "valid_time_utc"]
+    return pairs.join(located.groupBy(*key).agg(F.avg("forecast").alias("forecast")), key)
 
 
 @query("d14_aligned_keys", "side:s rows:i",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourmark.functions.calendar import night_end_date
 from hourmark.operators import ledger, planning, ranking, uncertainty
 from hourmark.params import PFORZHEIM_2025, Scenario
 from hourmark.plans import series as S
@@ -22,7 +21,11 @@ sql_view(
     "full_points",
     "SELECT * FROM points WHERE delivery_date_local IN (SELECT delivery_date_local FROM points WHERE da_price IS NOT NULL AND da_price_point IS NOT NULL GROUP BY 1 HAVING count(*) = 24)",
 )
-sql_view("night_refs", "SELECT delivery_date_local + (hour_local >= 22)::INT + 1 AS d, avg(da_price) AS night FROM market WHERE hour_local IN (22, 23, 0, 1, 2, 3, 4, 5, 6) GROUP BY 1")
+sql_view(
+    "night_refs",
+    """SELECT d, night FROM (SELECT d, avg(p) OVER w AS night, count(*) OVER w AS n FROM (SELECT delivery_date_local + (hour_local >= 22)::INT + 1 AS d, greatest(avg(da_price), 0) AS p
+      FROM market WHERE hour_local IN (22, 23, 0, 1, 2, 3, 4, 5, 6) GROUP BY 1) WINDOW w AS (ORDER BY d ROWS 13 PRECEDING)) WHERE n = 14""",
+)
 sql_view("plan_inputs", "SELECT f.*, n.night, n.night / 1000 / 0.9604 + 0.05 AS cost FROM full_points f JOIN night_refs n ON n.d = f.delivery_date_local")
 
 
@@ -48,12 +51,13 @@ def whole_days(points: DataFrame) -> DataFrame:
 
 
 def plan_inputs(hourly: DataFrame, points: DataFrame) -> DataFrame:
-    """Complete days with points, actuals and the battery cost of the night before."""
-    night = hourly.filter(F.col(HOUR).isin(list(SC.night_hours))).groupBy(
-        F.date_add(night_end_date(F.col(DAY), F.col(HOUR)), 1).alias(DAY)
-    ).agg(F.avg("da_price").alias("night"))
-    cost = planning.battery_cost(F.col("night"), SC, floor=False)["battery_cost_eur_per_kwh"]
-    return S.settle(whole_days(points).join(night, DAY).withColumn("battery_cost_eur_per_kwh", cost))
+    """Complete days with points, actuals and the battery cost of the last 14 nights, without and with grid charges."""
+    night = planning.night_reference(hourly, [], DAY, HOUR, "da_price", SC).select(F.col("reference_day").alias(DAY), F.col("night_reference").alias("night"))
+    costs = {
+        "battery_cost_eur_per_kwh": planning.battery_cost(F.col("night"), SC)["battery_cost_eur_per_kwh"],
+        "grid_battery_cost_eur_per_kwh": planning.battery_cost(F.col("night"), SC, TARIFF)["battery_cost_eur_per_kwh"],
+    }
+    return S.settle(whole_days(points).join(night, DAY).withColumns(costs))
 
 
 def day_ahead_plan(rows: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def capped_allocation(spark: SparkSession, path: str) -> DataFrame:
 
 sql_view(
     "shape_rows",
-    f"SELECT {SEASON_SQL.format(d='delivery_date_local')} AS season, {TYPE_SQL.format(d='delivery_date_local')} AS day_type, hour_local, da_price FROM market WHERE delivery_date_local <= DATE '2024-01-12'",
+    f"SELECT {SEASON_SQL.format(d='delivery_date_local')} AS season, {TYPE_SQL.format(d='delivery_date_local')} AS day_type, hour_local, da_price FROM market WHERE delivery_date_local < (SELECT min(delivery_date_local) FROM plan_inputs)",
 )
 sql_view(
     "rule_scored",
@@ -151,19 +155,30 @@ sql_view(
     """SELECT a0 + (a1 - a0) * (200 - f0) / nullif(f1 - f0, 0) AS a FROM (SELECT max(a) FILTER (WHERE f <= 200) AS a0, max(f) FILTER (WHERE f <= 200) AS f0, min(a) FILTER (WHERE f > 200) AS a1, min(f) FILTER (WHERE f > 200) AS f1 FROM
       (SELECT a, sum(least(greatest(a * w, 5), 20)) AS f FROM (SELECT 5.0 / w AS a FROM range(1, 17) AS r(w) UNION SELECT 20.0 / w FROM range(1, 17) AS r(w)), range(1, 17) AS q(w) GROUP BY 1))""",
 )
-sql_view(
-    "rule_plans",
-    f"""SELECT *, load_kwh AS position_kwh, greatest(0, least(offer, 44.16 - coalesce(sum(offer) OVER (PARTITION BY delivery_date_local ORDER BY score DESC, hour_local ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS discharge_kwh
-      FROM (SELECT *, least(greatest((17 - price_rank) * a, 5), 20) AS load_kwh, CASE WHEN score > (cost - {TARIFF.daytime_import!r}) * 1000 THEN 5.0 ELSE 0 END AS offer
-        FROM (SELECT *, row_number() OVER (PARTITION BY delivery_date_local ORDER BY score, hour_local) AS price_rank FROM rule_scored), rule_scale)""",
-)
 
 
-def rule_plan(rows: DataFrame, hourly: DataFrame) -> DataFrame:
-    """Rule policy on a shape fitted to the first twelve days."""
-    shape = planning.price_shape(hourly.filter(F.col(DAY) <= "2024-01-12"), DAY, HOUR, "da_price")
+def rule_sql(threshold: str) -> str:
+    return f"""SELECT *, load_kwh AS position_kwh, greatest(0, least(offer, 44.16 - coalesce(sum(offer) OVER (PARTITION BY delivery_date_local ORDER BY score DESC, hour_local ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS discharge_kwh
+      FROM (SELECT *, least(greatest((17 - price_rank) * a, 5), 20) AS load_kwh, CASE WHEN score > ({threshold}) * 1000 THEN 5.0 ELSE 0 END AS offer
+        FROM (SELECT *, row_number() OVER (PARTITION BY delivery_date_local ORDER BY score, hour_local) AS price_rank FROM rule_scored), rule_scale)"""
+
+
+sql_view("rule_plans", rule_sql("cost"))
+sql_view("grid_rule_plans", rule_sql(f"cost + {TARIFF.nighttime_import!r} / 0.9604 - {TARIFF.daytime_import!r}"))
+
+
+def rule_plan(rows: DataFrame, hourly: DataFrame, with_grid: bool = False) -> DataFrame:
+    """Rule policy on a shape fitted to all days before the first planned one.
+
+    Energy prices alone decide unless ``with_grid``: then the battery's cost and
+    the import it saves both carry their grid charges.
+    """
+    first = rows.agg(F.min(DAY)).scalar()
+    shape = planning.price_shape(hourly.filter(F.col(DAY) < first), DAY, HOUR, "da_price")
     scored = planning.shape_scores(rows, shape, DAY, HOUR)
-    return planning.rule_plan(scored, [DAY], HOUR, SC, TARIFF)
+    if with_grid:
+        return planning.rule_plan(scored, [DAY], HOUR, SC, TARIFF, "grid_battery_cost_eur_per_kwh")
+    return planning.rule_plan(scored, [DAY], HOUR, SC)
 
 
 @query("k05_rule_plan", PLAN_SPEC + " price_score:f price_rank:i", "SELECT *, score AS price_score FROM rule_plans")
@@ -178,10 +193,10 @@ _STEP = """SELECT p.delivery_date_local, p.hour_local, x.soc AS soc_start, CASE
 sql_view(
     "replayed",
     f"""WITH RECURSIVE r(delivery_date_local, hour_local, soc_start, charge, out_, soc) AS (
-        SELECT *, soc_start + charge * 0.98 - out_ / 0.98 FROM ({_STEP} FROM rule_plans p, (SELECT 44.16::DOUBLE AS soc) x WHERE p.hour_local = 6)
-        UNION ALL SELECT *, soc_start + charge * 0.98 - out_ / 0.98 FROM ({_STEP} FROM rule_plans p JOIN r x ON x.delivery_date_local = p.delivery_date_local AND p.hour_local = x.hour_local + 1))
+        SELECT *, soc_start + charge * 0.98 - out_ / 0.98 FROM ({_STEP} FROM grid_rule_plans p, (SELECT 44.16::DOUBLE AS soc) x WHERE p.hour_local = 6)
+        UNION ALL SELECT *, soc_start + charge * 0.98 - out_ / 0.98 FROM ({_STEP} FROM grid_rule_plans p JOIN r x ON x.delivery_date_local = p.delivery_date_local AND p.hour_local = x.hour_local + 1))
       SELECT r.delivery_date_local, r.hour_local, charge AS charge_kwh, out_ AS discharge_kwh, CASE WHEN p.da_price < 0 THEN greatest(p.pv_kwh * 2 - charge, 0) ELSE 0 END AS curtailment_kwh, soc_start AS soc_start_kwh, r.soc AS soc_end_kwh,
-        p.load_kwh, p.position_kwh, p.pv_kwh * 2 AS actual_pv_kwh, p.da_price, p.id_price, p.night FROM r JOIN rule_plans p ON p.delivery_date_local = r.delivery_date_local AND p.hour_local = r.hour_local""",
+        p.load_kwh, p.position_kwh, p.pv_kwh * 2 AS actual_pv_kwh, p.da_price, p.id_price, p.night FROM r JOIN grid_rule_plans p ON p.delivery_date_local = r.delivery_date_local AND p.hour_local = r.hour_local""",
 )
 
 
@@ -189,7 +204,7 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     """Rule plan replayed with doubled PV, actual prices attached."""
     hourly, points = world(spark, path)
     rows = plan_inputs(hourly, points)
-    plan = rule_plan(rows, hourly).withColumn("site_pv", F.col("pv_kwh") * 2.0)
+    plan = rule_plan(rows, hourly, with_grid=True).withColumn("site_pv", F.col("pv_kwh") * 2.0)
     replayed = planning.replay_rule(plan, [DAY], HOUR, "site_pv", "da_price", SC)
     actual = rows.select(DAY, HOUR, "da_price", "id_price", "night")
     return replayed.withColumnRenamed("pv_kwh", "actual_pv_kwh").drop("price").join(actual, [DAY, HOUR])
@@ -341,7 +356,7 @@ def strategy_ladder(spark: SparkSession, path: str) -> DataFrame:
     return costs.join(objective, "strategy")
 
 
-BLOCK, RESAMPLES = 7, 400
+BLOCK, RESAMPLES = 7, 5000
 
 
 @query(

@@ -26,24 +26,40 @@ def availability_mask(spark: SparkSession, path: str) -> DataFrame:
     return pointintime.mask_unavailable(rows, C.decision_time(F.col("delivery_date_local")), GROUPS)
 
 
+#: What a decision knows of the past: hours, published values, hours whose 24 h layer is complete.
+def history_measures() -> dict[str, tuple]:
+    return {
+        "rows": (F.col("valid_time_utc"), F.lit(1)),
+        "f24": (pointintime.known_at("valid_time_utc", "f24_available_at"), F.col("f24_da_price")),
+        "f48": (pointintime.known_at("valid_time_utc", "f48_available_at"), F.col("f48_pv_kwh")),
+        "lead24": (pointintime.known_at("valid_time_utc", "f24_available_at"), F.when(F.expr(FULL24), 1)),
+    }
+
+
 @query(
     "c02_day_ahead_context", "delivery_day:d part:s rows:i f24:f f48:f lead24:i",
     f"""WITH dec AS (SELECT DISTINCT delivery_date_local AS dd, {AS_OF_SQL} AS as_of FROM market),
       pairs AS (SELECT dd, as_of, 'delivery' AS part, l.* FROM dec JOIN layered_forecasts l ON l.delivery_date_local = dd
-        UNION ALL SELECT dd, as_of, 'history', l.* FROM dec JOIN layered_forecasts l ON l.delivery_date_local >= dd - 2 AND l.delivery_date_local < dd AND valid_time_utc <= as_of),
+        UNION ALL SELECT dd, as_of, 'history', l.* FROM dec JOIN layered_forecasts l ON l.valid_time_utc <= as_of),
       m AS (SELECT dd, part, {mask_sql('as_of')} FROM pairs)
       SELECT dd AS delivery_day, part, count(*) AS rows, avg(f24_da_price) AS f24, avg(f48_pv_kwh) AS f48, count(*) FILTER (WHERE {FULL24}) AS lead24 FROM m GROUP BY ALL""",
 )
 def day_ahead_context(spark: SparkSession, path: str) -> DataFrame:
-    """Delivery and two-day history views of every decision, masked and layered."""
+    """Delivery day and whole history of every decision, masked and layered."""
     hourly = S.settle(S.market(spark, path))
     decisions = hourly.select("delivery_date_local").distinct().withColumn("as_of_utc", C.decision_time(F.col("delivery_date_local")))
     rows = S.layered_forecasts(hourly)
-    context = pointintime.day_ahead_context(rows, decisions, GROUPS, history_days=1)
+    context = pointintime.delivery_context(rows, decisions, GROUPS)
     chosen = pointintime.freshest_complete_layer(context, ["da_price", "pv_kwh"], LAYERS, None, "fc_")
-    return chosen.groupBy(F.col("decision_delivery_date").alias("delivery_day"), "part").agg(
+    delivery = chosen.groupBy(F.col("delivery_date_local").alias("delivery_day"), F.lit("delivery").alias("part")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg("f24_da_price").alias("f24"), F.avg("f48_pv_kwh").alias("f48"), F.count_if(F.col("fc_lead_hours") == 24).alias("lead24")
     )
+    known = pointintime.known_totals(rows, decisions, history_measures(), ["delivery_date_local"]).filter("rows_n > 0")
+    history = known.select(
+        F.col("delivery_date_local").alias("delivery_day"), F.lit("history").alias("part"), F.col("rows_n").alias("rows"),
+        F.expr("try_divide(f24_sum, f24_n)").alias("f24"), F.expr("try_divide(f48_sum, f48_n)").alias("f48"), F.col("lead24_n").alias("lead24"),
+    )
+    return delivery.unionByName(history)
 
 
 @query(
@@ -67,18 +83,25 @@ def single_context(spark: SparkSession, path: str) -> DataFrame:
 @query(
     "c03_horizon_context", "as_of_utc:t part:s rows:i f24:f f48:f",
     f"""WITH p AS (SELECT d.valid_time_utc AS as_of_utc, CASE WHEN l.valid_time_utc <= d.valid_time_utc THEN 'observed' ELSE 'future' END AS part, l.* EXCLUDE (delivery_date_local)
-        FROM market d JOIN layered_forecasts l ON l.valid_time_utc BETWEEN d.valid_time_utc - INTERVAL 6 HOUR AND d.valid_time_utc + INTERVAL 36 HOUR),
+        FROM market d JOIN layered_forecasts l ON l.valid_time_utc <= d.valid_time_utc + INTERVAL 36 HOUR),
       m AS (SELECT as_of_utc, part, {mask_sql('as_of_utc')} FROM p)
       SELECT as_of_utc, part, count(*) AS rows, avg(f24_da_price) AS f24, avg(f48_pv_kwh) AS f48 FROM m GROUP BY ALL""",
 )
 def horizon_context(spark: SparkSession, path: str) -> DataFrame:
-    """Six observed and 36 future hours around every decision hour."""
+    """All observed and 36 future hours of every decision hour."""
     hourly = S.settle(S.market(spark, path))
     decisions = hourly.select(F.col("valid_time_utc").alias("as_of_utc"))
-    context = pointintime.horizon_context(S.layered_forecasts(hourly), decisions, GROUPS, 6, 36)
-    return context.groupBy("as_of_utc", "part").agg(
+    rows = S.layered_forecasts(hourly)
+    future = pointintime.horizon_context(rows, decisions, GROUPS, 36).groupBy("as_of_utc", F.lit("future").alias("part")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg("f24_da_price").alias("f24"), F.avg("f48_pv_kwh").alias("f48")
     )
+    observed = pointintime.known_totals(rows, decisions, history_measures(), []).filter("rows_n > 0")
+    return future.unionByName(
+        observed.select(
+            "as_of_utc", F.lit("observed").alias("part"), F.col("rows_n").alias("rows"),
+            F.expr("try_divide(f24_sum, f24_n)").alias("f24"), F.expr("try_divide(f48_sum, f48_n)").alias("f48"),
+        )
+    )
 
 
 @query(

@@ -14,7 +14,7 @@ from hourmark.plans.queries_calendar import inverse_sql
 from hourmark.plans.queries_metrics import _long_residuals, day_number_sql, draw_sql, pts
 
 DAY, HOUR = "delivery_date_local", "hour_local"
-N_SCENARIOS, SEED = 40, 11
+N_SCENARIOS, SEED = 500, 11
 TARGETS = {
     "pv": ("pv_kwh_point", "pv_residual"), "price": ("da_price_point", "price_residual"), "spread": ("spread_point", "spread_residual"),
 }
