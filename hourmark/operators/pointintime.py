@@ -239,7 +239,7 @@ def asof_per_location(
     as_of: str = "as_of_utc",
     valid: str = "valid_time_utc",
 ) -> DataFrame:
-    """Latest published record of each location for a request; all locations required.
+    """Latest published record of each location for a request; all locations required (see ``incomplete_requests``).
 
     Runs covering one valid time are few, so the join is on valid time and the
     pick is a partial ``max_by`` over structs.
@@ -254,6 +254,20 @@ def asof_per_location(
     return picked.withColumn("_n", F.count(F.lit(1)).over(per_request)).filter(F.col("_n") == locations).drop("_n")
 
 
+def incomplete_requests(
+    requests: DataFrame, archive: DataFrame, request_keys: Sequence[str], locations: int,
+    location: str = "location_id", as_of: str = "as_of_utc", valid: str = "valid_time_utc",
+) -> DataFrame:
+    """Requests that ``asof_per_location`` cannot answer in full, with the number of locations ``found``.
+
+    Callers that need every request answered refuse to go on when this is not empty.
+    """
+    hits = requests.join(archive.select(valid, location, "available_at_utc"), valid).filter(F.col("available_at_utc") <= F.col(as_of))
+    found = hits.groupBy(*request_keys, as_of, valid).agg(F.count_distinct(location).alias("found"))
+    counted = requests.select(*request_keys, as_of, valid).distinct().join(found, [*request_keys, as_of, valid], "left")
+    return counted.withColumn("found", F.coalesce("found", F.lit(0))).filter(F.col("found") < locations)
+
+
 def spatial_summary(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """Mean and sample standard deviation of each variable across locations."""
     aggs = []

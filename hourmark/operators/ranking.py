@@ -109,11 +109,11 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int =
 
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Rows of ``df`` with the average rank (ties share the mean position) and ``n_total``."""
+    """Rows of ``df`` that have a value, with its average rank (ties share the mean position) and ``n_total``."""
     ranks = value_ranks(df, groups, value).select(
         *groups, value, (F.col("n_cum") - (F.col("n") - 1) / 2.0).alias(out), "n_total"
     )
-    return df.join(ranks, [*groups, value])
+    return _with_groups(df, ranks, [*groups, value])
 
 
 def rank_window_average(df: DataFrame, groups: Sequence[str], value: str, out: str = "rank") -> DataFrame:

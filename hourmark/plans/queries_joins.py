@@ -142,6 +142,15 @@ def asof_per_location(spark: SparkSession, path: str) -> DataFrame:
     return pointintime.asof_per_location(requests_at(hourly, 9), S.forecast_archive(spark, path), [], len(S.SITES))
 
 
+@query("d07_incomplete_requests", "as_of_utc:t valid_time_utc:t found:i",
+       """SELECT q.as_of_utc, q.valid_time_utc, count(DISTINCT a.location_id) AS found FROM (SELECT valid_time_utc, valid_time_utc - INTERVAL 9 HOUR AS as_of_utc FROM market) q
+      LEFT JOIN forecast_archive a ON a.valid_time_utc = q.valid_time_utc AND a.available_at_utc <= q.as_of_utc GROUP BY 1, 2 HAVING count(DISTINCT a.location_id) < 5""")
+def incomplete_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Requests that lack a location, so that none is lost unseen."""
+    hourly = S.settle(S.market(spark, path).select("valid_time_utc"))
+    return pointintime.incomplete_requests(requests_at(hourly, 9), S.forecast_archive(spark, path), [], len(S.SITES))
+
+
 @query("d08_decision_targets", "delivery_date_local:d decision_hour_local:i target_hour_local:i lead_hours:i da_price:f",
        "SELECT d.delivery_date_local, d.hour_local AS decision_hour_local, t.hour_local AS target_hour_local, t.hour_local - d.hour_local AS lead_hours, t.da_price FROM market d JOIN market t ON t.delivery_date_local = d.delivery_date_local AND t.hour_local > d.hour_local")
 def decision_targets(spark: SparkSession, path: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 from hourmark import params
-from hourmark.operators import audit, ranking, shaping
+from hourmark.operators import audit, planning, pointintime, ranking, shaping
 
 
 def test_fixed_values():
     assert params.QUANTILE_LEVELS == (0.05, 0.10, 0.20, 0.35, 0.50, 0.65, 0.80, 0.90, 0.95)
+    assert "wind_speed_10m" in params.WEATHER_VARIABLES and "wind_speed_120m" in params.SPATIAL_VARIABLES
     assert (params.SITE_LATITUDE, params.SITE_LONGITUDE) == (48.89, 8.70)
 
 
@@ -31,3 +32,54 @@ def test_equal_rows_do_not_cancel_in_the_hash(spark):
     one = audit.manifest(spark.createDataFrame(rows, "t timestamp, v double"), "t", "x").first()
     two = audit.manifest(spark.createDataFrame(rows[:1] + [(at, 3.0)] * 2, "t timestamp, v double"), "t", "x").first()
     assert one["rows"] == two["rows"] and one["content_hash"] != two["content_hash"]
+
+
+def _at(hour: int, day: int = 1) -> dt.datetime:
+    return dt.datetime(2024, 6, day, hour)
+
+
+def test_two_series_do_not_multiply_snapshots(spark):
+    archive = spark.createDataFrame(
+        [(s, _at(0), _at(6), _at(12), v) for s, v in (("a", 1.0), ("b", 2.0))],
+        "site string, run_init_utc timestamp, available_at_utc timestamp, valid_time_utc timestamp, forecast double",
+    )
+    day = dt.date(2024, 6, 1)
+    decisions = spark.createDataFrame([(s, day, 8, _at(8)) for s in "ab"], "site string, delivery_date_local date, decision_hour_local int, as_of_utc timestamp")
+    targets = spark.createDataFrame([(s, day, _at(12)) for s in "ab"], "site string, delivery_date_local date, valid_time_utc timestamp")
+    rows = pointintime.snapshot_join(decisions, targets, archive, keys=["site"]).collect()
+    assert sorted((r["site"], r["forecast"]) for r in rows) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_known_totals_cover_the_whole_history_and_nothing_later(spark):
+    facts = spark.createDataFrame(
+        [("a", _at(1), 1.0), ("a", _at(5, 9), 2.0), ("a", _at(9, 9), 4.0), ("b", _at(1), 8.0), (None, _at(1), 16.0), ("a", None, 32.0), ("a", _at(2), None)],
+        "site string, at timestamp, v double",
+    )
+    decisions = spark.createDataFrame([("a", 1, _at(5, 9)), ("a", 2, _at(0)), ("b", 3, _at(23, 30))], "site string, d int, as_of_utc timestamp")
+    from pyspark.sql import functions as F
+
+    rows = pointintime.known_totals(facts, decisions, {"v": (F.col("at"), F.col("v"))}, ["site", "d"], ["site"]).collect()
+    assert {r["d"]: (r["v_n"], r["v_sum"]) for r in rows} == {1: (2, 3.0), 2: (0, 0.0), 3: (1, 8.0)}
+
+
+def test_requests_without_all_locations_are_named(spark):
+    archive = spark.createDataFrame(
+        [("north", _at(0), _at(6), _at(12))], "location_id string, run_init_utc timestamp, available_at_utc timestamp, valid_time_utc timestamp"
+    )
+    requests = spark.createDataFrame([(1, _at(7), _at(12)), (2, _at(5), _at(12))], "request int, as_of_utc timestamp, valid_time_utc timestamp")
+    assert {r["request"]: r["found"] for r in pointintime.incomplete_requests(requests, archive, ["request"], 2).collect()} == {1: 1, 2: 0}
+    assert pointintime.incomplete_requests(requests.filter("request = 1"), archive, ["request"], 1).count() == 0
+
+
+def test_average_ranks_keep_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 1.0), ("a", 3.0)], "g string, v double")
+    assert sorted(r["rank"] for r in ranking.average_ranks(df, ["g"], "v").collect()) == [1.0, 1.5, 1.5]
+
+
+def test_rule_discharges_by_one_tariff_world(spark):
+    scenario, tariff = params.Scenario(), params.PFORZHEIM_2025
+    rows = spark.createDataFrame([(1, h, 80.0 + (h == 12), 0.0815, 0.0815 + tariff.nighttime_import / 0.9604) for h in range(6, 22)], "d int, h int, price_score double, cost double, grid_cost double")
+    plain = planning.rule_plan(rows, ["d"], "h", scenario, cost="cost")
+    grid = planning.rule_plan(rows, ["d"], "h", scenario, tariff, "grid_cost")
+    assert plain.groupBy().sum("discharge_kwh").first()[0] == 0.0
+    assert abs(grid.groupBy().sum("discharge_kwh").first()[0] - 44.16) < 1e-9
