@@ -7,27 +7,30 @@ from pyspark.sql import functions as F
 
 from hourmark.functions import calendar as C
 from hourmark.operators import features as feats
-from hourmark.operators import metrics, models, shaping
+from hourmark.operators import metrics, models, shaping, splits
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query
 
 FEATURES = ["lag24", "lag48", "lag168", "hour_sin", "hour_cos", "day_of_week", *[f"site_{s}" for s in S.SITES]]
 METRIC_SPEC = "variant:s rows:i mae:f rmse:f"
-FOLDS = 3
+FOLDS = 5
 
 
 def frame(spark: SparkSession, path: str) -> DataFrame:
-    """Per-site hourly targets with lags, calendar, site flags, a day fold and two weather stand-ins."""
+    """Per-site hourly targets with lags, calendar, site flags, a whole-week fold and two weather stand-ins."""
     hourly = S.settle(S.site_hours(spark, path))
     rows = feats.hour_lags(hourly, ["site_id"], "valid_time_utc", ["value"], [2, 24, 26, 48, 168], names="lag{lag}").dropna(subset=["lag24"])
     rows = shaping.one_hot(C.with_calendar(rows), "site_id", S.SITES, "site_")
     market = S.market(spark, path).select("valid_time_utc", F.col("id_price").alias("weather_actual"))
     rows = rows.join(market, "valid_time_utc", "left").withColumns(
         {
-            "fold": (F.dayofyear("delivery_date_local") % FOLDS).cast("int"), "weather_forecast": F.coalesce("lag24", F.lit(0.0)),
+            "weather_forecast": F.coalesce("lag24", F.lit(0.0)),
             "last_residual": F.col("lag2") - F.col("lag26"), "residual": F.col("value") - F.col("lag24"),
         }
     )
+    weeks = splits.seasonal_folds(splits.week_table(hourly, "valid_time_utc"), FOLDS).select("week_start", "fold")
+    # one row per calendar week, so the fold list may be broadcast
+    rows = rows.withColumn("week_start", splits.week_start(F.col("valid_time_utc"))).join(F.broadcast(weeks), "week_start")
     numeric = [c for c in ("day_of_week", *[f"site_{s}" for s in S.SITES])]
     return S.settle(rows.withColumns({c: F.col(c).cast("double") for c in numeric}))
 
