@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hourmark.functions.numeric import percentage_or_null
 from hourmark.operators.ranking import exact_quantiles, quantile_and_tail, value_ranks
-from hourmark.params import MWH_TO_KWH, NO_TARIFF, Scenario, Tariff
+from hourmark.params import BILLING_DAYS, DAY_IMPORT, MWH_TO_KWH, NIGHT_IMPORT, NO_CHARGES, Charges, Site, rate
 
 
 def physical_exchange(df: DataFrame, load: str, charge: str, pv: str, discharge: str, curtailment: str) -> DataFrame:
@@ -22,10 +22,10 @@ def physical_exchange(df: DataFrame, load: str, charge: str, pv: str, discharge:
     )
 
 
-def charge_economics(price: Column, reference: Column, tariff: Tariff) -> dict[str, Column]:
+def charge_economics(price: Column, reference: Column, charges: Charges) -> dict[str, Column]:
     """Daytime grid charging against buying the same input energy overnight."""
-    now = price / MWH_TO_KWH + tariff.daytime_import
-    overnight = F.greatest(reference, F.lit(0.0)) / MWH_TO_KWH + tariff.nighttime_import
+    now = price / MWH_TO_KWH + rate(charges, DAY_IMPORT)
+    overnight = F.greatest(reference, F.lit(0.0)) / MWH_TO_KWH + rate(charges, NIGHT_IMPORT)
     return {
         "grid_charge_cost_eur_per_kwh": now, "overnight_cost_eur_per_kwh": overnight,
         "grid_charge_cheaper": F.coalesce(now < overnight, F.lit(False)).cast("int"),
@@ -46,15 +46,19 @@ def simple_ledger(hourly: DataFrame, keys: Sequence[str], da_price: str = "da_pr
     )
 
 
-def physical_ledger(hourly: DataFrame, keys: Sequence[str], reference: str, scenario: Scenario, tariff: Tariff = NO_TARIFF,
+def physical_ledger(hourly: DataFrame, keys: Sequence[str], reference: str, scenario: Site, charges: Charges = NO_CHARGES,
                     da_price: str = "da_price", id_price: str = "id_price") -> DataFrame:
     """Full settlement: positions, deviations, grid charges, terminal recharge, degradation.
 
     One projection and one aggregation; ``soc_violation`` flags days whose
-    actions leave the battery's limits.
+    actions leave the battery's limits, ``curtailment_violation`` counts hours
+    that curtail less than nothing or more than the PV there is (settled as clipped).
+    Each charge that is due by day, on import or on export has its own cost column.
     """
+    allowed = F.greatest(F.lit(0.0), F.least("curtailment_kwh", "actual_pv_kwh"))
+    beyond = F.abs(F.col("curtailment_kwh") - allowed) > 1e-7
     rows = physical_exchange(
-        hourly.withColumn("curtailment_kwh", F.greatest(F.lit(0.0), F.least("curtailment_kwh", "actual_pv_kwh"))),
+        hourly.withColumn("_beyond", beyond.cast("int")).withColumn("curtailment_kwh", allowed),
         "load_kwh", "charge_kwh", "actual_pv_kwh", "discharge_kwh", "curtailment_kwh",
     )
     deviation = F.col("grid_exchange_kwh") - F.col("position_kwh")
@@ -63,7 +67,7 @@ def physical_ledger(hourly: DataFrame, keys: Sequence[str], reference: str, scen
         F.sum(F.col(id_price) / MWH_TO_KWH * deviation).alias("intraday_cost_eur"),
         F.sum("charge_kwh").alias("charge_kwh"), F.sum("discharge_kwh").alias("discharge_kwh"),
         F.sum("grid_import_kwh").alias("import_kwh"), F.sum("grid_export_kwh").alias("export_kwh"),
-        F.sum("curtailment_kwh").alias("curtailment_kwh"), F.max(reference).alias("_reference"),
+        F.sum("curtailment_kwh").alias("curtailment_kwh"), F.sum("_beyond").alias("curtailment_violation"), F.max(reference).alias("_reference"),
     )
     capacity = float(scenario.battery_kwh)
     raw = F.lit(capacity) + F.col("charge_kwh") * scenario.charge_efficiency - F.col("discharge_kwh") / scenario.discharge_efficiency
@@ -79,17 +83,14 @@ def physical_ledger(hourly: DataFrame, keys: Sequence[str], reference: str, scen
         {
             "terminal_recharge_kwh": refill,
             "night_energy_cost_eur": refill * price / MWH_TO_KWH,
-            "night_grid_cost_eur": refill * tariff.nighttime_import,
+            "night_grid_cost_eur": refill * rate(charges, NIGHT_IMPORT),
             "degradation_cost_eur": F.col("discharge_kwh") * scenario.degradation_eur_per_kwh,
-            "network_cost_eur": F.col("import_kwh") * tariff.daytime_network,
-            "levies_cost_eur": F.col("import_kwh") * tariff.levies,
-            "concession_cost_eur": F.col("import_kwh") * tariff.concession_fee,
-            "tax_cost_eur": F.col("import_kwh") * tariff.electricity_tax,
-            "export_fee_cost_eur": F.col("export_kwh") * tariff.export_fee,
         }
     )
-    parts = ["day_ahead_cost_eur", "intraday_cost_eur", "night_energy_cost_eur", "night_grid_cost_eur", "degradation_cost_eur",
-             "network_cost_eur", "levies_cost_eur", "concession_cost_eur", "tax_cost_eur", "export_fee_cost_eur"]
+    metered = {"day": "import_kwh", "import": "import_kwh", "export": "export_kwh"}
+    fees = {f"{name}_cost_eur": F.col(metered[due]) * value for name, due, value in charges if due in metered}
+    out = out.withColumns(fees) if fees else out
+    parts = ["day_ahead_cost_eur", "intraday_cost_eur", "night_energy_cost_eur", "night_grid_cost_eur", "degradation_cost_eur", *fees]
     total = F.col(parts[0])
     for c in parts[1:]:
         total = total + F.col(c)
@@ -165,8 +166,9 @@ def trailing_gap(pairs: DataFrame, strategy: Sequence[str], day: str, days: int
     return pairs.withColumns({"window_days": F.count(F.lit(1)).over(w), "trailing_saving": F.avg("saving").over(w)})
 
 
-def tariff_rates(tariff: Tariff) -> dict[str, Column]:
+def tariff_rates(charges: Charges) -> dict[str, Column]:
+    """Import price by day and night, and the yearly charges per billed day."""
     return {
-        "daytime_import_eur_per_kwh": F.lit(tariff.daytime_import), "nighttime_import_eur_per_kwh": F.lit(tariff.nighttime_import),
-        "fixed_daily_eur": F.lit(tariff.fixed_daily_eur),
+        "daytime_import_eur_per_kwh": F.lit(rate(charges, DAY_IMPORT)), "nighttime_import_eur_per_kwh": F.lit(rate(charges, NIGHT_IMPORT)),
+        "fixed_daily_eur": F.lit(rate(charges, ("year",)) / BILLING_DAYS),
     }

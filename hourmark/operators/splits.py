@@ -105,14 +105,15 @@ def expanding_months(df: DataFrame, day: str, first: str, last: str) -> DataFram
     return joined.withColumn("part", F.when(F.col(day) < F.col("refit_month"), "train").otherwise("test"))
 
 
-def chronological_split(df: DataFrame, day: str, train_end: str, test_start: str, test_end: str) -> DataFrame:
-    """Train up to ``train_end``, test in its own later window; overlap is refused."""
-    if not train_end < test_start <= test_end:
+def chronological_split(df: DataFrame, day: str, train_end: str, test_start: str, test_end: str | None = None) -> DataFrame:
+    """Train up to ``train_end``, test in its own later window (to the last day unless it ends); overlap is refused."""
+    if not train_end < test_start <= (test_end or test_start):
         raise ValueError("the test window must start after the training window and not be empty")
     d = F.col(day)
-    part = F.when(d <= F.lit(train_end).cast("date"), "train").when(
-        d.between(F.lit(test_start).cast("date"), F.lit(test_end).cast("date")), "test"
-    )
+    later = d >= F.lit(test_start).cast("date")
+    if test_end is not None:
+        later = later & (d <= F.lit(test_end).cast("date"))
+    part = F.when(d <= F.lit(train_end).cast("date"), "train").when(later, "test")
     return df.withColumn("part", part).filter(F.col("part").isNotNull())
 
 

@@ -51,21 +51,16 @@ def sample_source_days(
 
 def seasonal_weights(
     targets: DataFrame, library_days: DataFrame, day: str, bandwidth: float, mixture: float,
-    source: str = "source_day", strict: bool = True,
+    source: str = "source_day",
 ) -> DataFrame:
     """Gaussian kernel on circular calendar distance, mixed with a uniform floor.
 
-    The output lists every library day a target may draw (daily grain). Pairs
-    come from an equi-join on library positions ``0 .. n - 1``; ``strict``
-    keeps library days before the target, otherwise all of them.
+    The output lists every library day a target may draw, those before it (daily
+    grain). Pairs come from an equi-join on library positions ``0 .. n - 1``.
     """
     marks = eligible_positions(targets, library_days, day, source)
     positions = marks.filter(F.col("_lib") == 1).select(F.col("_d").alias(source), F.col("n_eligible").alias("_pos"))
-    if strict:
-        counted = marks.select(F.col("_d").alias(day), F.col("n_eligible").alias("_n"))
-    else:
-        total = library_days.agg(F.count_distinct(source)).scalar()
-        counted = marks.select(F.col("_d").alias(day), total.alias("_n"))
+    counted = marks.select(F.col("_d").alias(day), F.col("n_eligible").alias("_n"))
     wanted = targets.select(day).distinct().join(counted.filter(F.col("_n") > 0), day)
     pairs = wanted.withColumn("_pos", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).join(positions, "_pos")
     distance = circular_distance(calendar_ordinal(F.col(source)), calendar_ordinal(F.col(day)))
@@ -115,25 +110,44 @@ def floored_scale(scale: Column, global_std: Column, share: float = 0.10, minimu
     return F.greatest(scale, global_std * share, F.lit(minimum))
 
 
-def seasonal_scales(residuals: DataFrame, weights: DataFrame, day: str, hour: str, value: str, source: str = "source_day") -> DataFrame:
-    """Seasonally weighted scale of a residual per (target day, hour) with its floor."""
-    joined = weights.join(residuals, source)
-    mean, std = weighted_scale(F.col(value), F.col("probability"))
-    return joined.groupBy(day, hour).agg(
-        mean.alias("weighted_mean"), floored_scale(std, F.stddev_pop(value)).alias("scale")
+def known_scales(
+    residuals: DataFrame, weights: DataFrame, day: str, hour: str, value: str, bandwidth: float, mixture: float, source: str = "source_day"
+) -> DataFrame:
+    """Seasonally weighted scale around each calendar ordinal as a target day knows it: from its own library days only.
+
+    Residuals are summed per (target day, hour, ordinal) first; then ordinals
+    meet ordinals, 366 at most on either side, so what a target and hour need
+    stays bounded however long the library is. Returns ``(day, hour, _ordinal, source_scale)``.
+    """
+    known = weights.select(day, source).join(residuals.select(source, hour, F.col(value).alias("_x")), source)
+    sums = known.groupBy(day, hour, calendar_ordinal(F.col(source)).alias("_near")).agg(
+        F.count("_x").alias("_n"), F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_q")
     )
+    z = circular_distance(F.col("_near"), F.col("_ordinal")) / F.lit(float(bandwidth))
+    met = sums.select(day, hour, F.col("_near").alias("_ordinal")).join(sums, [day, hour]).withColumn("_k", F.exp(z * z * -0.5))
+
+    def mixed(column: str) -> Column:
+        near = F.sum(F.col("_k") * F.col(column)) / F.sum(F.col("_k") * F.col("_n"))
+        return near * (1.0 - mixture) + F.sum(column) / F.sum("_n") * mixture
+
+    def deviation(mean: Column, square: Column) -> Column:
+        return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+
+    overall = deviation(F.sum("_s") / F.sum("_n"), F.sum("_q") / F.sum("_n"))
+    return met.groupBy(day, hour, "_ordinal").agg(floored_scale(deviation(mixed("_s"), mixed("_q")), overall).alias("source_scale"))
 
 
 def standardise_residuals(
-    residuals: DataFrame, weights: DataFrame, source_scales: DataFrame, day: str, hour: str, value: str, source: str = "source_day"
+    residuals: DataFrame, weights: DataFrame, day: str, hour: str, value: str, bandwidth: float, mixture: float, source: str = "source_day"
 ) -> DataFrame:
-    """Residuals divided by their own day's scale and rescaled to the target day.
+    """Residuals divided by their own season's scale, centred and rescaled to the target day's season.
 
-    ``source_scales`` holds ``(source_day, hour, source_scale)``. Returns
-    ``(day, source_day, hour, standardised, centre, target_scale)``.
+    All scales of a target day come from library days before it. Returns
+    ``(day, source_day, hour, standardised, centre, target_scale, adjusted)``.
     """
-    unit = residuals.join(source_scales, [source, hour]).withColumn("standardised", F.col(value) / F.col("source_scale"))
-    pairs = weights.join(unit, source)
+    scales = known_scales(residuals, weights, day, hour, value, bandwidth, mixture, source)
+    own = weights.join(residuals.select(source, hour, value), source).withColumn("_ordinal", calendar_ordinal(F.col(source)))
+    pairs = own.join(scales, [day, hour, "_ordinal"]).withColumn("standardised", F.col(value) / F.col("source_scale"))
     mean, std = weighted_scale(F.col(value), F.col("probability"))
     target = pairs.groupBy(day, hour).agg(
         F.sum(F.col("probability") * F.col("standardised")).alias("centre"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hourmark.functions import calendar as C
 from hourmark.functions import numeric as N
 from hourmark.operators import ledger, planning, pointintime, shaping
-from hourmark.params import NO_TARIFF, PFORZHEIM_2025, QUANTILE_LEVELS, SITE_LATITUDE, SITE_LONGITUDE, Scenario
+from hourmark.params import CHARGES_2025, DAY_IMPORT, NIGHT_IMPORT, QUANTILE_LEVELS, SITE_LATITUDE, SITE_LONGITUDE, rate, site
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query
 from hourmark.plans.series import berlin, to_utc
@@ -211,7 +211,7 @@ def masked_layer(spark: SparkSession, path: str) -> DataFrame:
 @query("b15_unit_scaling", "event_id:i energy_kwh:f scaled_kwh:f", "SELECT event_id, value / 1000 AS energy_kwh, value / 1000 * 20 AS scaled_kwh FROM events")
 def unit_scaling(spark: SparkSession, path: str) -> DataFrame:
     energy = F.col("value") / 1000.0
-    return S.table(spark, path, "events", "event_id", "value").select("event_id", energy.alias("energy_kwh"), (energy * Scenario().pv_scale).alias("scaled_kwh"))
+    return S.table(spark, path, "events", "event_id", "value").select("event_id", energy.alias("energy_kwh"), (energy * site().pv_scale).alias("scaled_kwh"))
 
 
 @query(
@@ -340,30 +340,30 @@ def feature_sets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("valid_time_utc", F.inline(variants))
 
 
-T = PFORZHEIM_2025
+DAY_RATE, NIGHT_RATE = rate(CHARGES_2025, DAY_IMPORT), rate(CHARGES_2025, NIGHT_IMPORT)
 
 
 @query(
     "b27_charge_economics", "valid_time_utc:t grid_import_kwh:f grid_export_kwh:f grid_charge_cost:f overnight_cost:f cheaper:i",
-    f"""SELECT valid_time_utc, greatest(5 - pv_kwh, 0) AS grid_import_kwh, greatest(pv_kwh - 5, 0) AS grid_export_kwh, da_price / 1000 + {T.daytime_import!r} AS grid_charge_cost,
-      greatest(id_price, 0) / 1000 + {T.nighttime_import!r} AS overnight_cost, (da_price / 1000 + {T.daytime_import!r} < greatest(id_price, 0) / 1000 + {T.nighttime_import!r})::INT AS cheaper FROM market""",
+    f"""SELECT valid_time_utc, greatest(5 - pv_kwh, 0) AS grid_import_kwh, greatest(pv_kwh - 5, 0) AS grid_export_kwh, da_price / 1000 + {DAY_RATE!r} AS grid_charge_cost,
+      greatest(id_price, 0) / 1000 + {NIGHT_RATE!r} AS overnight_cost, (da_price / 1000 + {DAY_RATE!r} < greatest(id_price, 0) / 1000 + {NIGHT_RATE!r})::INT AS cheaper FROM market""",
 )
 def charge_economics(spark: SparkSession, path: str) -> DataFrame:
     rows = S.market(spark, path).withColumns({"load": F.lit(5.0), "zero": F.lit(0.0)})
     rows = ledger.physical_exchange(rows, "load", "zero", "pv_kwh", "zero", "zero")
-    econ = ledger.charge_economics(F.col("da_price"), F.col("id_price"), T)
+    econ = ledger.charge_economics(F.col("da_price"), F.col("id_price"), CHARGES_2025)
     return rows.withColumns({"grid_charge_cost": econ["grid_charge_cost_eur_per_kwh"], "overnight_cost": econ["overnight_cost_eur_per_kwh"], "cheaper": econ["grid_charge_cheaper"]})
 
 
 @query(
     "b28_battery_cost", "valid_time_utc:t night_energy:f night_grid:f degradation:f battery_cost:f stored_value:f unfloored_cost:f",
-    f"""SELECT valid_time_utc, greatest(da_price, 0) / 1000 / 0.9604 AS night_energy, {T.nighttime_import!r} / 0.9604 AS night_grid, 0.05 AS degradation,
-      greatest(da_price, 0) / 1000 / 0.9604 + {T.nighttime_import!r} / 0.9604 + 0.05 AS battery_cost, (greatest(da_price, 0) / 1000 + {T.nighttime_import!r}) / 0.98 AS stored_value,
+    f"""SELECT valid_time_utc, greatest(da_price, 0) / 1000 / 0.9604 AS night_energy, {NIGHT_RATE!r} / 0.9604 AS night_grid, 0.05 AS degradation,
+      greatest(da_price, 0) / 1000 / 0.9604 + {NIGHT_RATE!r} / 0.9604 + 0.05 AS battery_cost, (greatest(da_price, 0) / 1000 + {NIGHT_RATE!r}) / 0.98 AS stored_value,
       da_price / 1000 / 0.9604 + 0.05 AS unfloored_cost FROM market""",
 )
 def battery_cost(spark: SparkSession, path: str) -> DataFrame:
-    cost = planning.battery_cost(F.col("da_price"), Scenario(), T)
-    plain = planning.battery_cost(F.col("da_price"), Scenario(), NO_TARIFF, floor=False)
+    cost = planning.battery_cost(F.col("da_price"), site(), CHARGES_2025)
+    plain = planning.battery_cost(F.col("da_price"), site(), floor=False)
     names = {"night_energy": "night_energy_eur_per_kwh", "night_grid": "night_grid_eur_per_kwh", "degradation": "degradation_eur_per_kwh",
              "battery_cost": "battery_cost_eur_per_kwh", "stored_value": "terminal_soc_value_eur_per_kwh"}
     return S.market(spark, path).select(
@@ -376,7 +376,7 @@ def battery_cost(spark: SparkSession, path: str) -> DataFrame:
     "SELECT c_mktsegment AS segment, 0.0549 + 0.02651 + 0.0199 + 0.0005 AS daytime, 0.0275 + 0.02651 + 0.0199 + 0.0005 AS nighttime, (80 + 29.21) / 365 AS fixed_daily, count(*) AS customers FROM customer GROUP BY 1",
 )
 def tariff_rates(spark: SparkSession, path: str) -> DataFrame:
-    rates = ledger.tariff_rates(T)
+    rates = ledger.tariff_rates(CHARGES_2025)
     counts = S.table(spark, path, "customer", "c_mktsegment").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("customers"))
     return counts.withColumns({"daytime": rates["daytime_import_eur_per_kwh"], "nighttime": rates["nighttime_import_eur_per_kwh"], "fixed_daily": rates["fixed_daily_eur"]})
 

@@ -176,9 +176,8 @@ def price_shape(spark: SparkSession, path: str) -> DataFrame:
 def night_prices(spark: SparkSession, path: str) -> DataFrame:
     """Nightly mean over nine labels, floored at zero (a one-night lookback)."""
     from hourmark.operators.planning import night_reference
-    from hourmark.params import Scenario
 
-    return night_reference(S.market(spark, path), [], "delivery_date_local", "hour_local", "da_price", Scenario(), nights=1)
+    return night_reference(S.market(spark, path), [], "delivery_date_local", "hour_local", "da_price", nights=1)
 
 
 @query("e13_site_descriptives", "site_id:s rows:i peak:f p995:f", "SELECT event_type AS site_id, count(*) AS rows, max(value) AS peak, quantile_cont(value, 0.995) AS p995 FROM events GROUP BY 1")

@@ -127,9 +127,9 @@ def component_table(spark: SparkSession, path: str) -> DataFrame:
     """Several components trained early, tested late, in one metric table on identical rows."""
     train, test = _split(frame(spark, path))
     out = None
-    for component, sites in (("power", ["view", "signup"]), ("price", ["purchase", "click"])):
+    for component, sites in (("power", ["view", "signup", "error"]), ("price", ["purchase", "click"])):
         seen, unseen = train.filter(F.col("site_id").isin(sites)), test.filter(F.col("site_id").isin(sites))
-        model = models.fit(seen, FEATURES[:6], models.boosted_trees("value", 8, 4))
+        model = models.fit(seen, FEATURES, models.boosted_trees("value", 8, 4))
         long = shaping.melt(models.predict(model, unseen, low=0.0), ["site_id", "valid_time_utc", "value"], {"lag24": "persistence", "prediction": "trees"})
         peak = seen.agg(F.max("value")).scalar()
         scores = metrics.point_metrics(long, ["variant"], "value", "prediction").withColumn("component", F.lit(component))

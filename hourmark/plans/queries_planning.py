@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourmark.operators import ledger, planning, ranking, uncertainty
-from hourmark.params import PFORZHEIM_2025, Scenario
+from hourmark.params import CHARGES_2025, site
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query, sql_view
-from hourmark.plans.queries_calendar import SEASON_SQL, TYPE_SQL
+from hourmark.plans.queries_calendar import DAY_RATE, NIGHT_RATE, SEASON_SQL, TYPE_SQL
 from hourmark.plans.queries_metrics import draw_sql
 from hourmark.plans.queries_uncertainty import scenarios_from
 
-SC, TARIFF = Scenario(), PFORZHEIM_2025
+SC, TARIFF = site(), CHARGES_2025
 DAY, HOUR = "delivery_date_local", "hour_local"
 PLAN_SPEC = f"{DAY}:d {HOUR}:i load_kwh:f discharge_kwh:f position_kwh:f"
 
@@ -52,7 +52,7 @@ def whole_days(points: DataFrame) -> DataFrame:
 
 def plan_inputs(hourly: DataFrame, points: DataFrame) -> DataFrame:
     """Complete days with points, actuals and the battery cost of the last 14 nights, without and with grid charges."""
-    night = planning.night_reference(hourly, [], DAY, HOUR, "da_price", SC).select(F.col("reference_day").alias(DAY), F.col("night_reference").alias("night"))
+    night = planning.night_reference(hourly, [], DAY, HOUR, "da_price").select(F.col("reference_day").alias(DAY), F.col("night_reference").alias("night"))
     costs = {
         "battery_cost_eur_per_kwh": planning.battery_cost(F.col("night"), SC)["battery_cost_eur_per_kwh"],
         "grid_battery_cost_eur_per_kwh": planning.battery_cost(F.col("night"), SC, TARIFF)["battery_cost_eur_per_kwh"],
@@ -164,7 +164,7 @@ def rule_sql(threshold: str) -> str:
 
 
 sql_view("rule_plans", rule_sql("cost"))
-sql_view("grid_rule_plans", rule_sql(f"cost + {TARIFF.nighttime_import!r} / 0.9604 - {TARIFF.daytime_import!r}"))
+sql_view("grid_rule_plans", rule_sql(f"cost + {NIGHT_RATE!r} / 0.9604 - {DAY_RATE!r}"))
 
 
 def rule_plan(rows: DataFrame, hourly: DataFrame, with_grid: bool = False) -> DataFrame:
@@ -188,42 +188,40 @@ def rule_based(spark: SparkSession, path: str) -> DataFrame:
     return rule_plan(plan_inputs(hourly, points), hourly)
 
 
-REPLAY_SPEC = f"{DAY}:d {HOUR}:i charge_kwh:f discharge_kwh:f curtailment_kwh:f soc_start_kwh:f soc_end_kwh:f"
-_STEP = """SELECT p.delivery_date_local, p.hour_local, x.soc AS soc_start, CASE WHEN p.discharge_kwh > 1e-9 THEN 0 ELSE least(p.pv_kwh * 2, 5, greatest((44.16 - x.soc) / 0.98, 0)) END AS charge, CASE WHEN p.discharge_kwh > 1e-9 THEN least(p.discharge_kwh, x.soc * 0.98) ELSE 0 END AS out_"""
 sql_view(
-    "replayed",
-    f"""WITH RECURSIVE r(delivery_date_local, hour_local, soc_start, charge, out_, soc) AS (
-        SELECT *, soc_start + charge * 0.98 - out_ / 0.98 FROM ({_STEP} FROM grid_rule_plans p, (SELECT 44.16::DOUBLE AS soc) x WHERE p.hour_local = 6)
-        UNION ALL SELECT *, soc_start + charge * 0.98 - out_ / 0.98 FROM ({_STEP} FROM grid_rule_plans p JOIN r x ON x.delivery_date_local = p.delivery_date_local AND p.hour_local = x.hour_local + 1))
-      SELECT r.delivery_date_local, r.hour_local, charge AS charge_kwh, out_ AS discharge_kwh, CASE WHEN p.da_price < 0 THEN greatest(p.pv_kwh * 2 - charge, 0) ELSE 0 END AS curtailment_kwh, soc_start AS soc_start_kwh, r.soc AS soc_end_kwh,
-        p.load_kwh, p.position_kwh, p.pv_kwh * 2 AS actual_pv_kwh, p.da_price, p.id_price, p.night FROM r JOIN grid_rule_plans p ON p.delivery_date_local = r.delivery_date_local AND p.hour_local = r.hour_local""",
+    "settled_hours",
+    """SELECT delivery_date_local, hour_local, load_kwh, discharge_kwh, position_kwh, 0.0 AS charge_kwh, pv_kwh * 2 AS actual_pv_kwh, CASE WHEN da_price < 0 THEN greatest(pv_kwh * 2, 0) ELSE 0 END AS curtailment_kwh,
+      da_price, id_price, night FROM grid_rule_plans""",
 )
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
-    """Rule plan replayed with doubled PV, actual prices attached."""
+def settled_hours(spark: SparkSession, path: str) -> DataFrame:
+    """The rule plan with grid charges beside the hours it is settled on: doubled PV, none stored, curtailed at negative prices."""
     hourly, points = world(spark, path)
-    rows = plan_inputs(hourly, points)
-    plan = rule_plan(rows, hourly, with_grid=True).withColumn("site_pv", F.col("pv_kwh") * 2.0)
-    replayed = planning.replay_rule(plan, [DAY], HOUR, "site_pv", "da_price", SC)
-    actual = rows.select(DAY, HOUR, "da_price", "id_price", "night")
-    return replayed.withColumnRenamed("pv_kwh", "actual_pv_kwh").drop("price").join(actual, [DAY, HOUR])
+    plan = rule_plan(plan_inputs(hourly, points), hourly, with_grid=True)
+    sunshine = F.col("pv_kwh") * 2.0
+    return plan.withColumns({
+        "charge_kwh": F.lit(0.0), "actual_pv_kwh": sunshine,
+        "curtailment_kwh": F.when(F.col("da_price") < 0, F.greatest(sunshine, F.lit(0.0))).otherwise(0.0),
+    })
 
 
-@query("k06_soc_replay", REPLAY_SPEC, "SELECT * FROM replayed")
-def soc_replay(spark: SparkSession, path: str) -> DataFrame:
-    """State of charge carried hour by hour (the SQL side recurses)."""
-    return replay(spark, path)
+@query("k06_stored_energy", f"{DAY}:d {HOUR}:i discharge_kwh:f soc_start_kwh:f soc_end_kwh:f soc_violation:i",
+       """SELECT *, (soc_end_kwh < -1e-7 OR soc_end_kwh > 44.16 + 1e-7)::INT AS soc_violation FROM (SELECT *, soc_end_kwh + discharge_kwh / 0.98 AS soc_start_kwh FROM
+         (SELECT delivery_date_local, hour_local, discharge_kwh, 44.16 - sum(discharge_kwh / 0.98) OVER (PARTITION BY delivery_date_local ORDER BY hour_local ROWS UNBOUNDED PRECEDING) AS soc_end_kwh FROM settled_hours))""")
+def stored_energy(spark: SparkSession, path: str) -> DataFrame:
+    """Stored energy along each planned day, and the hours in which the plan asks for more than there is."""
+    return planning.stored_energy(settled_hours(spark, path), [DAY], HOUR, SC)
 
 
 EXCHANGE = "load_kwh + charge_kwh - (actual_pv_kwh - curtailment_kwh) - discharge_kwh"
 
 
 @query("k07_hourly_decisions", f"strategy:s {DAY}:d {HOUR}:i grid_exchange_kwh:f grid_import_kwh:f grid_export_kwh:f charge_cost:f cheaper:i",
-       f"SELECT 'rule_based' AS strategy, delivery_date_local, hour_local, {EXCHANGE} AS grid_exchange_kwh, greatest({EXCHANGE}, 0) AS grid_import_kwh, greatest(-({EXCHANGE}), 0) AS grid_export_kwh, da_price / 1000 + {TARIFF.daytime_import!r} AS charge_cost, (da_price / 1000 + {TARIFF.daytime_import!r} < greatest(night, 0) / 1000 + {TARIFF.nighttime_import!r})::INT AS cheaper FROM replayed")
+       f"SELECT 'rule_based' AS strategy, delivery_date_local, hour_local, {EXCHANGE} AS grid_exchange_kwh, greatest({EXCHANGE}, 0) AS grid_import_kwh, greatest(-({EXCHANGE}), 0) AS grid_export_kwh, da_price / 1000 + {DAY_RATE!r} AS charge_cost, (da_price / 1000 + {DAY_RATE!r} < greatest(night, 0) / 1000 + {NIGHT_RATE!r})::INT AS cheaper FROM settled_hours")
 def hourly_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Hourly decision rows with physical exchange and charging economics."""
-    rows = ledger.physical_exchange(replay(spark, path), "load_kwh", "charge_kwh", "actual_pv_kwh", "discharge_kwh", "curtailment_kwh")
+    rows = ledger.physical_exchange(settled_hours(spark, path), "load_kwh", "charge_kwh", "actual_pv_kwh", "discharge_kwh", "curtailment_kwh")
     econ = ledger.charge_economics(F.col("da_price"), F.col("night"), TARIFF)
     return rows.withColumns({"strategy": F.lit("rule_based"), "charge_cost": econ["grid_charge_cost_eur_per_kwh"], "cheaper": econ["grid_charge_cheaper"]})
 
@@ -282,15 +280,15 @@ def simple_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 @query(
-    "e33_physical_ledger", f"{DAY}:d day_ahead_cost_eur:f intraday_cost_eur:f terminal_soc_kwh:f soc_violation:i terminal_recharge_kwh:f night_energy_cost_eur:f degradation_cost_eur:f network_cost_eur:f total_cost_eur:f",
-    f"""WITH d AS (SELECT delivery_date_local, sum(da_price / 1000 * position_kwh) AS da, sum(id_price / 1000 * ({EXCHANGE} - position_kwh)) AS idc, sum(charge_kwh) AS ch, sum(discharge_kwh) AS dis, sum(greatest({EXCHANGE}, 0)) AS imp, max(night) AS night FROM replayed GROUP BY 1),
-      t AS (SELECT *, least(greatest(44.16 + 0.98 * ch - dis / 0.98, 0), 44.16) AS soc FROM d), u AS (SELECT *, (44.16 - soc) / 0.98 AS refill FROM t)
-      SELECT delivery_date_local, da AS day_ahead_cost_eur, idc AS intraday_cost_eur, soc AS terminal_soc_kwh, 0 AS soc_violation, refill AS terminal_recharge_kwh, refill * greatest(night, 0) / 1000 AS night_energy_cost_eur, dis * 0.05 AS degradation_cost_eur, imp * 0.0549 AS network_cost_eur,
-        da + idc + refill * greatest(night, 0) / 1000 + refill * {TARIFF.nighttime_import!r} + dis * 0.05 + imp * {TARIFF.daytime_import!r} AS total_cost_eur FROM u""",
+    "e33_physical_ledger", f"{DAY}:d day_ahead_cost_eur:f intraday_cost_eur:f terminal_soc_kwh:f soc_violation:i curtailment_violation:i terminal_recharge_kwh:f night_energy_cost_eur:f degradation_cost_eur:f network_cost_eur:f total_cost_eur:f",
+    f"""WITH d AS (SELECT delivery_date_local, sum(da_price / 1000 * position_kwh) AS da, sum(id_price / 1000 * ({EXCHANGE} - position_kwh)) AS idc, sum(charge_kwh) AS ch, sum(discharge_kwh) AS dis, sum(greatest({EXCHANGE}, 0)) AS imp, max(night) AS night, count(*) FILTER (WHERE curtailment_kwh < -1e-7 OR curtailment_kwh > greatest(actual_pv_kwh, 0) + 1e-7) AS bad FROM settled_hours GROUP BY 1),
+      t AS (SELECT *, 44.16 + 0.98 * ch - dis / 0.98 AS raw, least(greatest(44.16 + 0.98 * ch - dis / 0.98, 0), 44.16) AS soc FROM d), u AS (SELECT *, (44.16 - soc) / 0.98 AS refill FROM t)
+      SELECT delivery_date_local, da AS day_ahead_cost_eur, idc AS intraday_cost_eur, soc AS terminal_soc_kwh, (raw < -1e-7 OR raw > 44.16 + 1e-7)::INT AS soc_violation, bad AS curtailment_violation, refill AS terminal_recharge_kwh, refill * greatest(night, 0) / 1000 AS night_energy_cost_eur, dis * 0.05 AS degradation_cost_eur, imp * 0.0549 AS network_cost_eur,
+        da + idc + refill * greatest(night, 0) / 1000 + refill * {NIGHT_RATE!r} + dis * 0.05 + imp * {DAY_RATE!r} AS total_cost_eur FROM u""",
 )
 def physical_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Full settlement of the replayed rule: grid charges, terminal recharge, degradation."""
-    return ledger.physical_ledger(replay(spark, path), [DAY], "night", SC, TARIFF)
+    """Full settlement of the rule plan: grid charges, terminal recharge, degradation."""
+    return ledger.physical_ledger(settled_hours(spark, path), [DAY], "night", SC, TARIFF)
 
 
 @query(
@@ -322,12 +320,15 @@ def paired_savings(spark: SparkSession, path: str) -> DataFrame:
     return ledger.paired_savings(pairs, ["strategy"], DAY)
 
 
-@query("d20_unmatched_days", "strategy:s unmatched:i", "SELECT strategy, 0 AS unmatched FROM daily_costs GROUP BY 1")
+@query("d20_unmatched_days", "strategy:s unmatched:i",
+       """WITH c AS (SELECT DISTINCT strategy, delivery_date_local AS d FROM daily_costs WHERE strategy <> 'stochastic' OR day(delivery_date_local) % 5 > 0), b AS (SELECT d FROM c WHERE strategy = 'day_ahead_only'), n AS (SELECT DISTINCT strategy FROM daily_costs)
+         SELECT strategy, (SELECT count(*) FROM b) + count(d) - 2 * count(d) FILTER (WHERE d IN (SELECT d FROM b)) AS unmatched FROM n LEFT JOIN c USING (strategy) GROUP BY 1""")
 def unmatched_days(spark: SparkSession, path: str) -> DataFrame:
-    """Date-set contract of the paired comparison (zero unmatched days expected)."""
+    """Days of each strategy without a partner, on costs of which one strategy has lost every fifth day of the month."""
     daily = daily_costs(spark, path)
+    damaged = daily.filter((F.col("strategy") != "stochastic") | (F.dayofmonth(DAY) % 5 > 0))
     names = ["rule_based", "day_ahead_only", "stochastic", "oracle"]
-    gaps = ledger.unmatched_days(daily, "strategy", names, "day_ahead_only", [DAY]).groupBy("strategy").agg(F.count(F.lit(1)).alias("_n"))
+    gaps = ledger.unmatched_days(damaged, "strategy", names, "day_ahead_only", [DAY]).groupBy("strategy").agg(F.count(F.lit(1)).alias("_n"))
     return daily.select("strategy").distinct().join(gaps, "strategy", "left").withColumn("unmatched", F.coalesce("_n", F.lit(0)))
 
 

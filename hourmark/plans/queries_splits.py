@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourmark.operators import metrics, splits, uncertainty
+from hourmark.params import QUANTILE_LEVELS
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query, sql_view
 from hourmark.plans.queries_metrics import draw_sql, pts
@@ -86,28 +87,29 @@ def expanding_months(spark: SparkSession, path: str) -> DataFrame:
 
 
 @query("i05_chronological_holdout", "part:s orders:i first_day:d last_day:d",
-       "SELECT CASE WHEN o_orderdate <= DATE '1998-12-31' THEN 'train' ELSE 'test' END AS part, count(*) AS orders, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day FROM orders WHERE o_orderdate <= DATE '1998-12-31' OR o_orderdate BETWEEN DATE '1999-02-01' AND DATE '2000-12-31' GROUP BY 1")
+       "SELECT CASE WHEN o_orderdate <= DATE '1998-12-31' THEN 'train' ELSE 'test' END AS part, count(*) AS orders, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")
 def chronological_holdout(spark: SparkSession, path: str) -> DataFrame:
     rows = S.table(spark, path, "orders", "o_orderdate").withColumn("day", F.to_date("o_orderdate"))
-    parts = splits.chronological_split(rows, "day", "1998-12-31", "1999-02-01", "2000-12-31")
+    parts = splits.chronological_split(rows, "day", "1998-12-31", "1999-01-01")
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("orders"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-_LEVELS = (0.1, 0.5, 0.9)
+_NAMES = {f"q{round(level * 100):02d}": level for level in QUANTILE_LEVELS}
 
 
 @query(
-    "i08_conditional_quantiles", "hour_local:i day_type:s q10:f q50:f q90:f",
-    """WITH r AS (SELECT hour_local, CASE WHEN isodow(source_day) >= 6 THEN 'weekend' ELSE 'workday' END AS day_type, price_residual AS v FROM residuals),
-        f AS (SELECT hour_local, day_type, count(*) AS n, quantile_cont(v, 0.1) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.9) AS c FROM r GROUP BY 1, 2), g AS (SELECT hour_local, quantile_cont(v, 0.1) AS ga, quantile_cont(v, 0.5) AS gb, quantile_cont(v, 0.9) AS gc FROM r GROUP BY 1)
-      SELECT hour_local, day_type, CASE WHEN n >= 10 THEN a ELSE ga END AS q10, CASE WHEN n >= 10 THEN b ELSE gb END AS q50, CASE WHEN n >= 10 THEN c ELSE gc END AS q90 FROM f JOIN g USING (hour_local)""",
+    "i08_conditional_quantiles", "hour_local:i day_type:s " + " ".join(f"{n}:f" for n in _NAMES),
+    f"""WITH r AS (SELECT hour_local, CASE WHEN isodow(source_day) >= 6 THEN 'weekend' ELSE 'workday' END AS day_type, price_residual AS v FROM residuals),
+        f AS (SELECT hour_local, day_type, count(*) AS n, {', '.join(f'quantile_cont(v, {q!r}) AS own_{n}' for n, q in _NAMES.items())} FROM r GROUP BY 1, 2),
+        g AS (SELECT hour_local, {', '.join(f'quantile_cont(v, {q!r}) AS all_{n}' for n, q in _NAMES.items())} FROM r GROUP BY 1)
+      SELECT hour_local, day_type, {', '.join(f'CASE WHEN n >= 10 THEN own_{n} ELSE all_{n} END AS {n}' for n in _NAMES)} FROM f JOIN g USING (hour_local)""",
 )
 def conditional_quantiles(spark: SparkSession, path: str) -> DataFrame:
     """Empirical residual quantiles by hour and day type, by hour alone when thin."""
     from hourmark.functions.calendar import day_type
 
     lib = S.settle(S.residuals(pts(spark, path)).withColumn("day_type", day_type(F.col("source_day"))))
-    return uncertainty.grouped_residual_quantiles(lib, ["hour_local", "day_type"], ["hour_local"], "price_residual", _LEVELS, ["q10", "q50", "q90"], 10)
+    return uncertainty.grouped_residual_quantiles(lib, ["hour_local", "day_type"], ["hour_local"], "price_residual", list(_NAMES.values()), list(_NAMES), 10)
 
 
 @query(

@@ -158,32 +158,25 @@ def weighted_sampling(spark: SparkSession, path: str) -> DataFrame:
     return uncertainty.sample_weighted(_weights(*_inputs(spark, path)), DAY, 60, 5)
 
 
-sql_view("self_weights", weights_sql("SELECT a.source_day AS day, b.source_day FROM library_days a, library_days b"))
-
-
-def scale_sql(weights: str) -> str:
-    return (
-        f"SELECT w.day, r.hour_local, greatest(sqrt(greatest(sum(probability * pv_residual ^ 2) / sum(probability) - (sum(probability * pv_residual) / sum(probability)) ^ 2, 0)), 0.1 * stddev_pop(pv_residual), 1e-6) AS scale"
-        f" FROM {weights} w JOIN residuals r USING (source_day) GROUP BY 1, 2"
-    )
+_ORDINAL = "dayofyear(make_date(2000, month({c}), day({c})))"
+_APART = f"abs({_ORDINAL.format(c='v.source_day')} - {_ORDINAL.format(c='w.source_day')})"
+_SCALE = "greatest(sqrt(greatest(sum(p * pv_residual ^ 2) / sum(p) - (sum(p * pv_residual) / sum(p)) ^ 2, 0)), 0.1 * stddev_pop(pv_residual), 1e-6)"
 
 
 @query(
     "j06_standardised_residuals", f"{DAY}:d source_day:d {HOUR}:i standardised:f adjusted:f",
-    f"""WITH sc AS ({scale_sql('self_weights')}), ts AS ({scale_sql('season_weights')}),
-      u AS (SELECT w.day, w.source_day, r.hour_local, probability, pv_residual / sc.scale AS z FROM season_weights w JOIN residuals r USING (source_day) JOIN sc ON sc.day = w.source_day AND sc.hour_local = r.hour_local),
+    f"""WITH near AS (SELECT w.day, w.source_day, v.source_day AS other, exp(-0.5 * (least({_APART}, 366 - {_APART}) / {BANDWIDTH!r}) ^ 2) AS k FROM season_weights w JOIN season_weights v ON v.day = w.day),
+      own AS (SELECT day, source_day, other, {1 - MIXTURE!r} * k / sum(k) OVER (PARTITION BY day, source_day) + {MIXTURE!r} / count(*) OVER (PARTITION BY day, source_day) AS p FROM near),
+      sc AS (SELECT day, own.source_day, hour_local, {_SCALE} AS scale FROM own JOIN residuals r ON r.source_day = own.other GROUP BY 1, 2, 3),
+      ts AS (SELECT day, hour_local, {_SCALE} AS scale FROM (SELECT day, source_day, probability AS p FROM season_weights) JOIN residuals USING (source_day) GROUP BY 1, 2),
+      u AS (SELECT w.day, w.source_day, r.hour_local, probability, pv_residual / sc.scale AS z FROM season_weights w JOIN residuals r USING (source_day) JOIN sc ON sc.day = w.day AND sc.source_day = w.source_day AND sc.hour_local = r.hour_local),
       c AS (SELECT day, hour_local, sum(probability * z) AS centre FROM u GROUP BY 1, 2)
       SELECT u.day AS delivery_date_local, source_day, u.hour_local, z AS standardised, (z - centre) * ts.scale AS adjusted FROM u JOIN c USING (day, hour_local) JOIN ts USING (day, hour_local)""",
 )
 def standardised_residuals(spark: SparkSession, path: str) -> DataFrame:
-    """PV residuals divided by their own season's scale, centred and rescaled to the target's season."""
+    """PV residuals divided by their own season's scale, centred and rescaled to the target's season, from days before the target."""
     points, library = _inputs(spark, path)
-    days = library.select("source_day").distinct()
-    own = uncertainty.seasonal_weights(days.withColumnRenamed("source_day", "day"), days, "day", BANDWIDTH, MIXTURE, strict=False)
-    scales = uncertainty.seasonal_scales(library, own, "day", HOUR, "pv_residual").select(
-        F.col("day").alias("source_day"), HOUR, F.col("scale").alias("source_scale")
-    )
-    return uncertainty.standardise_residuals(library, _weights(points, library), scales, DAY, HOUR, "pv_residual")
+    return uncertainty.standardise_residuals(library, _weights(points, library), DAY, HOUR, "pv_residual", BANDWIDTH, MIXTURE)
 
 
 @query("j07_copula_library", f"source_day:d {HOUR}:i target:s u:f", "SELECT source_day, hour_local, target, u FROM rank_library")

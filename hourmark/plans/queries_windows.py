@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hourmark.functions import calendar as C
 from hourmark.operators import audit, contracts, features, metrics, ranking, shaping, splits
-from hourmark.params import Scenario
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query, sql_view
 from hourmark.plans.queries_calendar import SEASON_SQL
@@ -40,7 +39,7 @@ def rolling_nights(spark: SparkSession, path: str) -> DataFrame:
     """Mean of fourteen completed nights (one row per night)."""
     from hourmark.operators.planning import night_reference
 
-    return night_reference(S.market(spark, path), [], "delivery_date_local", "hour_local", "da_price", Scenario())
+    return night_reference(S.market(spark, path), [], "delivery_date_local", "hour_local", "da_price")
 
 
 @query(

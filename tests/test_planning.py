@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourmark.operators import ledger, planning
-from hourmark.params import PFORZHEIM_2025, Scenario, Tariff
+from hourmark.params import CHARGES_2025, NIGHT_IMPORT, rate, site
 
-SC = Scenario()
+SC = site()
 
 
 def _day(spark, price, pv=None, cost=0.06, day=date(2024, 1, 1)):
@@ -79,18 +79,21 @@ def test_rule_prefers_earlier_hour_on_ties(spark):
     assert all(r["position_kwh"] == r["load_kwh"] for r in plan)
 
 
-def test_replay_charges_only_from_pv_and_curtails(spark):
-    score = [200.0 if h in (6, 7) else 10.0 for h in range(24)]
-    plan = planning.rule_plan(_scored(spark, score), ["day"], "hour", SC)
-    plan = plan.withColumns({"pv": F.when(F.col("hour") >= 8, 12.0).otherwise(0.0), "price": F.when(F.col("hour") == 9, -5.0).otherwise(30.0)})
-    rows = {r["hour"]: r for r in planning.replay_rule(plan, ["day"], "hour", "pv", "price", SC).collect()}
-    assert rows[6]["discharge_kwh"] == 5.0 and rows[7]["discharge_kwh"] == 5.0 and rows[6]["soc_start_kwh"] == pytest.approx(44.16)
-    assert rows[7]["soc_end_kwh"] == pytest.approx(44.16 - 10 / 0.98)
-    assert rows[8]["charge_kwh"] == pytest.approx(5.0) and rows[8]["curtailment_kwh"] == 0.0
-    assert rows[9]["curtailment_kwh"] == pytest.approx(7.0)
-    assert max(r["soc_end_kwh"] for r in rows.values()) <= 44.16 + 1e-9
-    headroom = (44.16 - rows[10]["soc_start_kwh"]) / 0.98
-    assert rows[10]["charge_kwh"] == pytest.approx(min(5.0, headroom))
+def test_stored_energy_is_summed_along_the_plan(spark):
+    hours = [(1, 6, 0.0, 5.0), (1, 7, 2.0, 0.0), (2, 6, 0.0, 44.16), (2, 7, 0.0, 0.0)]
+    plan = spark.createDataFrame(hours, "day int, hour int, charge_kwh double, discharge_kwh double")
+    rows = {(r["day"], r["hour"]): r for r in planning.stored_energy(plan, ["day"], "hour", SC).collect()}
+    assert rows[1, 6]["soc_start_kwh"] == pytest.approx(44.16) and rows[1, 6]["soc_end_kwh"] == pytest.approx(44.16 - 5 / 0.98)
+    assert rows[1, 7]["soc_end_kwh"] == pytest.approx(44.16 - 5 / 0.98 + 2 * 0.98)
+    assert [rows[k]["soc_violation"] for k in sorted(rows)] == [0, 0, 1, 1]
+
+
+def test_curtailment_beyond_pv_is_counted(spark):
+    cols = "day int, night double, load_kwh double, discharge_kwh double, actual_pv_kwh double, da_price double, id_price double, curtailment_kwh double"
+    rows = spark.createDataFrame([(1, 50.0, 5.0, 0.0, 3.0, 1.0, 1.0, 3.0), (1, 50.0, 5.0, 0.0, 3.0, 1.0, 1.0, 4.0)], cols)
+    rows = rows.withColumns({"charge_kwh": F.lit(0.0), "position_kwh": F.lit(0.0)})
+    got = ledger.physical_ledger(rows, ["day"], "night", SC).first()
+    assert (got["curtailment_violation"], got["curtailment_kwh"]) == (1, 6.0)
 
 
 def test_night_reference_example(spark):
@@ -101,23 +104,23 @@ def test_night_reference_example(spark):
         evening = date(2025, 1, 1) + timedelta(days=i)
         rows += [(evening, h, price) for h in (22, 23)] + [(evening + timedelta(days=1), h, price) for h in range(7)]
     df = spark.createDataFrame(rows, "day date, hour int, price double")
-    got = planning.night_reference(df, [], "day", "hour", "price", SC).collect()
+    got = planning.night_reference(df, [], "day", "hour", "price").collect()
     assert [(r["reference_day"], r["night_reference"]) for r in got] == [(date(2025, 1, 16), pytest.approx(104 / 14))]
 
 
 def test_battery_cost_floors_negative_night(spark):
-    df = spark.createDataFrame([(-40.0,), (80.0,)], "p double").withColumns(planning.battery_cost(F.col("p"), SC, PFORZHEIM_2025))
+    df = spark.createDataFrame([(-40.0,), (80.0,)], "p double").withColumns(planning.battery_cost(F.col("p"), SC, CHARGES_2025))
     low, high = df.orderBy("p").collect()
     assert low["night_energy_eur_per_kwh"] == 0.0
     assert high["night_energy_eur_per_kwh"] == pytest.approx(0.08 / 0.9604)
-    assert high["terminal_soc_value_eur_per_kwh"] == pytest.approx((0.08 + PFORZHEIM_2025.nighttime_import) / 0.98)
+    assert high["terminal_soc_value_eur_per_kwh"] == pytest.approx((0.08 + rate(CHARGES_2025, NIGHT_IMPORT)) / 0.98)
 
 
 def test_tariff_applies_to_import_only(spark):
     row = (date(2024, 1, 1), 50.0, 20.0, 0.0, 30.0, 100.0, 100.0)
     cols = "day date, night double, load_kwh double, discharge_kwh double, actual_pv_kwh double, da_price double, id_price double"
     rows = spark.createDataFrame([row], cols).withColumns({"charge_kwh": F.lit(0.0), "curtailment_kwh": F.lit(0.0), "position_kwh": F.lit(20.0)})
-    r = ledger.physical_ledger(rows, ["day"], "night", SC, PFORZHEIM_2025).first()
+    r = ledger.physical_ledger(rows, ["day"], "night", SC, CHARGES_2025).first()
     assert (r["import_kwh"], r["export_kwh"], r["network_cost_eur"]) == (0.0, 10.0, 0.0)
     assert r["total_cost_eur"] == pytest.approx(20 * 0.1 - 30 * 0.1)
 
@@ -149,6 +152,6 @@ def test_capture_is_null_without_gap(spark):
 
 def test_infeasible_scenario_is_refused():
     with pytest.raises(ValueError):
-        Scenario(daily_load_kwh=10.0)
+        site(daily_load_kwh=10.0)
     with pytest.raises(ValueError):
-        Tariff(levies=-0.1)
+        rate([("levies", "import", -0.1)], ("import",))

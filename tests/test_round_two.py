@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from datetime import date, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from hourmark import params
-from hourmark.operators import audit, planning, pointintime, ranking, shaping
+from hourmark.operators import audit, planning, pointintime, ranking, shaping, uncertainty
 
 
 def test_fixed_values():
@@ -77,9 +82,29 @@ def test_average_ranks_keep_null_groups(spark):
 
 
 def test_rule_discharges_by_one_tariff_world(spark):
-    scenario, tariff = params.Scenario(), params.PFORZHEIM_2025
-    rows = spark.createDataFrame([(1, h, 80.0 + (h == 12), 0.0815, 0.0815 + tariff.nighttime_import / 0.9604) for h in range(6, 22)], "d int, h int, price_score double, cost double, grid_cost double")
+    scenario, tariff = params.site(), params.CHARGES_2025
+    rows = spark.createDataFrame([(1, h, 80.0 + (h == 12), 0.0815, 0.0815 + params.rate(tariff, params.NIGHT_IMPORT) / 0.9604) for h in range(6, 22)], "d int, h int, price_score double, cost double, grid_cost double")
     plain = planning.rule_plan(rows, ["d"], "h", scenario, cost="cost")
     grid = planning.rule_plan(rows, ["d"], "h", scenario, tariff, "grid_cost")
     assert plain.groupBy().sum("discharge_kwh").first()[0] == 0.0
     assert abs(grid.groupBy().sum("discharge_kwh").first()[0] - 44.16) < 1e-9
+
+
+def test_standardised_residuals_know_no_later_day(spark):
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(6)]
+    value = [1.0, -2.0, 4.0, 3.0, -1.0, 50.0]
+    library = spark.createDataFrame([(d, 6, v) for d, v in zip(days, value)], "source_day date, hour int, v double")
+    targets = spark.createDataFrame([(days[3],), (days[4],)], "day date")
+
+    def run(lib):
+        weights = uncertainty.seasonal_weights(targets, lib, "day", 2.0, 0.3)
+        rows = uncertainty.standardise_residuals(lib, weights, "day", "hour", "v", 2.0, 0.3).collect()
+        return {(r["day"], r["source_day"]): (r["standardised"], r["adjusted"]) for r in rows}
+
+    whole, early = run(library), run(library.filter(F.col("source_day") < F.lit(days[4])))
+    assert whole == early and len(whole) == 3 + 4
+    x = np.array(value[:3])
+    w = np.exp(-0.5 * (np.abs(np.arange(3)[:, None] - np.arange(3)) / 2.0) ** 2)
+    w = 0.7 * w / w.sum(axis=1, keepdims=True) + 0.1
+    scale = np.maximum(np.sqrt(w @ x**2 - (w @ x) ** 2), 0.1 * x.std())
+    assert [whole[days[3], d][0] for d in days[:3]] == pytest.approx(list(x / scale))
