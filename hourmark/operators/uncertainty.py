@@ -75,6 +75,60 @@ def seasonal_weights(
     return weighted
 
 
+def ordinal_weights(
+    targets: DataFrame, library_days: DataFrame, day: str, bandwidth: float, mixture: float, source: str = "source_day"
+) -> DataFrame:
+    """Seasonal weights without listing library days: ``(day, ordinal, days, probability)``.
+
+    The kernel depends on the two calendar ordinals alone, so a target needs the
+    number of earlier library days per ordinal, 366 rows at most, and what is
+    stored grows with the targets instead of with targets times library days.
+    ``probability`` is that of each single day of the ordinal.
+    """
+    library = library_days.select(F.col(source).alias("_d")).distinct()
+    wanted = targets.select(F.col(day).alias("_d")).distinct()
+    marks = library.select("_d", calendar_ordinal(F.col("_d")).alias("ordinal"), F.lit(1).alias("_lib")).unionByName(
+        wanted.select("_d", F.explode(F.sequence(F.lit(1), F.lit(366))).alias("ordinal"), F.lit(0).alias("_lib"))
+    )
+    # a target sorts before a library day of the same date, so it counts earlier days only
+    upto = Window.partitionBy("ordinal").orderBy("_d", "_lib").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marks.withColumn("days", F.sum("_lib").over(upto)).filter((F.col("_lib") == 0) & (F.col("days") > 0))
+    z = circular_distance(F.col("ordinal"), calendar_ordinal(F.col("_d"))) / F.lit(float(bandwidth))
+    kernel = counted.withColumn("_k", F.exp(z * z * -0.5))
+    whole = Window.partitionBy("_d")
+    share = F.lit(1.0 - mixture) * F.col("_k") / F.sum(F.col("days") * F.col("_k")).over(whole) + F.lit(mixture) / F.sum("days").over(whole)
+    return kernel.select(F.col("_d").alias(day), "ordinal", "days", share.alias("probability"))
+
+
+def ordinal_diagnostics(weights: DataFrame, day: str) -> DataFrame:
+    """``sampling_diagnostics`` of weights held per ordinal."""
+    p, n = F.col("probability"), F.col("days")
+    return weights.groupBy(day).agg(
+        F.sum(n).alias("eligible_days"), (F.lit(1.0) / F.sum(n * p * p)).alias("effective_sample_days"),
+        F.max(p).alias("maximum_day_probability"), F.min(p).alias("minimum_day_probability"),
+    )
+
+
+def sample_ordinals(weights: DataFrame, library_days: DataFrame, day: str, scenarios: int, seed: int, source: str = "source_day") -> DataFrame:
+    """Weighted draw with replacement: first the ordinal, then one of its days, oldest first.
+
+    A target's ladder holds 366 steps at most; only drawn days meet the library.
+    """
+    upto = Window.partitionBy(day).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = weights.withColumn("_cum", F.sum(F.col("days") * F.col("probability")).over(upto))
+    ladders = steps.groupBy(day).agg(F.array_sort(F.collect_list(F.struct("_cum", "ordinal", "days", "probability"))).alias("_ladder"))
+    grid = ladders.withColumn("scenario_id", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))))
+    grid = grid.withColumn("_u", draw_uniform(F.col("scenario_id"), day_number(F.col(day)), seed))
+    passed = F.size(F.filter("_ladder", lambda e: e["_cum"] <= F.col("_u")))
+    grid = grid.withColumn("_step", F.col("_ladder")[F.least(passed, F.size("_ladder") - 1)]).drop("_ladder")
+    into = F.col("_u") - (F.col("_step._cum") - F.col("_step.days") * F.col("_step.probability"))
+    nth = F.greatest(F.lit(0), F.least(F.floor(into / F.col("_step.probability")), F.col("_step.days") - 1)).cast("bigint")
+    drawn = grid.select(day, "scenario_id", F.col("_step.ordinal").alias("_ordinal"), nth.alias("_nth"))
+    library = library_days.select(source).distinct().withColumn("_ordinal", calendar_ordinal(F.col(source)))
+    place = F.row_number().over(Window.partitionBy("_ordinal").orderBy(source)) - 1
+    return drawn.join(library.withColumn("_nth", place.cast("bigint")), ["_ordinal", "_nth"]).select(day, "scenario_id", source)
+
+
 def sampling_diagnostics(weights: DataFrame, day: str) -> DataFrame:
     p = F.col("probability")
     return weights.groupBy(day).agg(

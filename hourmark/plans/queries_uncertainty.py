@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hourmark.functions import calendar as C
 from hourmark.functions import numeric as N
 from hourmark.operators import metrics, ranking, splits, uncertainty
 from hourmark.params import QUANTILE_LEVELS
@@ -127,13 +128,18 @@ sql_view("order_days", "SELECT DISTINCT o_orderdate::DATE AS source_day FROM ord
        "SELECT day AS delivery_date_local, count(*) AS library_days, sum(probability) AS total, arg_max(probability, source_day) AS newest, arg_min(probability, source_day) AS oldest, max(probability) AS largest FROM ("
        + weights_sql("SELECT t.source_day AS day, o.source_day FROM order_days t JOIN order_days o ON o.source_day < t.source_day") + ") GROUP BY 1")
 def seasonal_weights(spark: SparkSession, path: str) -> DataFrame:
-    """Circular-calendar kernel weights of every order day over all earlier ones, summarised per day."""
+    """Circular-calendar kernel weights of every order day over all earlier ones, summarised per day.
+
+    Weights are held per calendar ordinal; the newest and oldest day find theirs by their own ordinal.
+    """
     days = S.settle(S.table(spark, path, "orders", "o_orderdate").select(F.to_date("o_orderdate").alias("source_day")).distinct())
-    weights = uncertainty.seasonal_weights(days.withColumnRenamed("source_day", DAY), days, DAY, BANDWIDTH, MIXTURE)
-    p = F.col("probability")
-    return weights.groupBy(DAY).agg(
-        F.count(F.lit(1)).alias("library_days"), F.sum(p).alias("total"), F.max_by(p, "source_day").alias("newest"),
-        F.min_by(p, "source_day").alias("oldest"), F.max(p).alias("largest"),
+    weights = uncertainty.ordinal_weights(days.withColumnRenamed("source_day", DAY), days, DAY, BANDWIDTH, MIXTURE)
+    earlier = Window.orderBy("source_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    ends = days.select(F.col("source_day").alias(DAY), F.max("source_day").over(earlier).alias("last"), F.min("source_day").over(earlier).alias("first"))
+    p, n = F.col("probability"), F.col("days")
+    at = lambda c: F.max(F.when(F.col("ordinal") == C.calendar_ordinal(F.col(c)), p))
+    return weights.join(ends, DAY).groupBy(DAY).agg(
+        F.sum(n).alias("library_days"), F.sum(n * p).alias("total"), at("last").alias("newest"), at("first").alias("oldest"), F.max(p).alias("largest"),
     )
 
 
@@ -144,18 +150,20 @@ def _weights(points: DataFrame, library: DataFrame) -> DataFrame:
 @query("e44_sampling_diagnostics", f"{DAY}:d eligible_days:i effective_sample_days:f maximum_day_probability:f minimum_day_probability:f",
        "SELECT day AS delivery_date_local, count(*) AS eligible_days, 1 / sum(probability ^ 2) AS effective_sample_days, max(probability) AS maximum_day_probability, min(probability) AS minimum_day_probability FROM season_weights GROUP BY 1")
 def sampling_diagnostics(spark: SparkSession, path: str) -> DataFrame:
-    return uncertainty.sampling_diagnostics(_weights(*_inputs(spark, path)), DAY)
+    points, library = _inputs(spark, path)
+    return uncertainty.ordinal_diagnostics(uncertainty.ordinal_weights(points, library, DAY, BANDWIDTH, MIXTURE), DAY)
 
 
 @query(
     "j05_weighted_sampling", f"{DAY}:d scenario_id:i source_day:d",
-    f"""WITH c AS (SELECT day, source_day, sum(probability) OVER w AS cum, sum(probability) OVER w - probability AS prev, row_number() OVER (PARTITION BY day ORDER BY source_day DESC) AS last FROM season_weights WINDOW w AS (PARTITION BY day ORDER BY source_day ROWS UNBOUNDED PRECEDING)),
+    f"""WITH c AS (SELECT day, source_day, sum(probability) OVER w AS cum, sum(probability) OVER w - probability AS prev, row_number() OVER (PARTITION BY day ORDER BY o DESC, source_day DESC) AS last FROM (SELECT *, dayofyear(make_date(2000, month(source_day), day(source_day))) AS o FROM season_weights) WINDOW w AS (PARTITION BY day ORDER BY o, source_day ROWS UNBOUNDED PRECEDING)),
       g AS (SELECT day, s AS scenario_id, {draw_sql('s', day_number_sql('day'), 5)} / {N.DRAW_PRIME}.0 AS u FROM target_days, range(60) AS r(s))
       SELECT g.day AS delivery_date_local, scenario_id, source_day FROM g JOIN c ON c.day = g.day AND u >= prev AND (u < cum OR last = 1)""",
 )
 def weighted_sampling(spark: SparkSession, path: str) -> DataFrame:
-    """Draws with replacement by seasonal probability."""
-    return uncertainty.sample_weighted(_weights(*_inputs(spark, path)), DAY, 60, 5)
+    """Draws with replacement by seasonal probability: the ordinal, then one of its days."""
+    points, library = _inputs(spark, path)
+    return uncertainty.sample_ordinals(uncertainty.ordinal_weights(points, library, DAY, BANDWIDTH, MIXTURE), library, DAY, 60, 5)
 
 
 _ORDINAL = "dayofyear(make_date(2000, month({c}), day({c})))"
