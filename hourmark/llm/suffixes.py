@@ -414,9 +414,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed: int = HOT_SEED) -> DataFrame:
-    """``(doc_id, th, n_removed, n_spans, kept_sha256, kept)`` of the texts that lose bytes, each once; ``kept`` is binary."""
+def cut_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed: int = HOT_SEED, words: int = 0) -> DataFrame:
+    """``(doc_id, th, n_removed, n_spans, kept_sha256, kept)`` of the texts that lose bytes, each once; ``kept`` is binary.
+
+    With ``words``, passages of that many equal words are cut as well.
+    """
     texts, spans = repeated_spans(_keyed(docs), length, seed, hot_seed)
+    if words:
+        from hourmark.llm.passages import repeated_passages
+
+        texts = _keyed(docs)
+        both = spans.unionByName(repeated_passages(texts, words))
+        spans = stored(both.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "both-spans")
     lists = spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
     whole = texts.dropDuplicates(["doc_id", "th"]).join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("doc_id", "th", "text", "spans")
 
@@ -453,13 +462,15 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_s
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, words: int = 0) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text`` (and ``n_chars`` counted anew, if there).
 
+    With ``words``, so are passages of that many words that occur elsewhere too, whatever their length in bytes.
+
     Every row stays, also one that loses all its text. A character of which only
     some bytes are cut goes whole. Other columns pass through.
     """
-    cut = cut_texts(docs.select("doc_id", "text"), length, seed).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "kept")
+    cut = cut_texts(docs.select("doc_id", "text"), length, seed, words=words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "kept")
 
     @F.pandas_udf("string")
     def decoded(data):
