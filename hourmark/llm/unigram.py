@@ -84,7 +84,7 @@ class Unigram:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.shown: list[bytes] = [b""] * size
         keys = {}
-        scores = np.zeros(size, np.float32)
+        scores = np.zeros(size, np.float64)  # of singles; sums of many are exact only in doubles
         for i in range(size):
             scores[i] = model.get_score(i)
             if model.is_byte(i):
@@ -96,7 +96,7 @@ class Unigram:
         if any(MARKER in k.decode().lstrip(MARKER) for k in keys):
             raise ValueError("a piece holds the marker after another character")
         self.scores, self.trie = scores, DoubleArray(keys)
-        self.unknown_score = np.float32(min(scores[list(keys.values())]) - np.float32(UNKNOWN_COST))
+        self.unknown_score = min(scores[list(keys.values())]) - UNKNOWN_COST
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
 
@@ -134,11 +134,11 @@ class Unigram:
         start = np.concatenate([*found_start, lost])
         end = np.concatenate([*found_end, lost + wide[lost]])
         ids = np.concatenate([*found_id, np.full(len(lost), self.unknown, np.int32)])
-        score = np.where(ids == self.unknown, self.unknown_score, self.scores[ids]).astype(np.float32)
+        score = np.where(ids == self.unknown, self.unknown_score, self.scores[ids])
         order = np.argsort(place[start], kind="stable")
         start, end, ids, score = start[order], end[order], ids[order], score[order]
         # scores, back pointers and pieces by (word, end); a word's ends are shifted by its number, as it has one more than bytes
-        best = np.full(n + len(words), -np.inf, np.float32)
+        best = np.full(n + len(words), -np.inf)
         back, piece = np.zeros(len(best), np.int64), np.zeros(len(best), np.int32)
         best[begins + np.arange(len(words))] = 0
         shift = owner[start]
