@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +49,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per Spark context.
+
+    The driver may have found it on a path of its own, so it goes along as an
+    archive of compiled modules through Spark's own file distribution.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_hourmark_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="hourmark-"), "hourmark.zip")
+    with zipfile.PyZipFile(archive, "w") as out:
+        out.writepy(os.path.dirname(os.path.abspath(__file__)))
+    context.addPyFile(archive)
+    context._hourmark_shipped = True
