@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourmark.llm.common import in_arrow
+
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|line|>"
 _CONFLICT = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -87,7 +89,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     named = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").alias("text"))
     dealt = named.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, "conv_id bigint, nth bigint, formatted string")
+    return dealt.select("conv_id", "role", "text").transform(in_arrow, run, "conv_id bigint, nth bigint, formatted string")
 
 
 def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -125,4 +127,4 @@ def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
         if state:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row(), kinds)], names=names)
 
-    return formatted.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.transform(in_arrow, run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourmark.session import checkpoint_dir
+from hourmark.session import checkpoint_dir, ship_package
 
 #: A word is a run of characters other than these six.
 BLANKS = "\t\n\x0b\x0c\r "
@@ -32,6 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` on workers that have this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def arrow_rows(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str, rows: int = 512
 ) -> DataFrame:
@@ -52,7 +58,7 @@ def arrow_rows(
                 for k in range(0, len(found), 50_000):
                     yield pa.RecordBatch.from_pylist(found[k : k + 50_000], schema=out_schema)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.common import arrow_rows, stored
+from hourmark.llm.common import arrow_rows, in_arrow, stored
 from hourmark.llm.sharding import hilbert_index
 
 SEQUENCE, END_ID, DIMS, CURVE_BITS = 2048, 1, 3, 10
@@ -210,6 +210,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SE
         if rows:
             yield out()
 
-    return dealt.select("doc_id", "n", "ids").mapInArrow(
-        pack, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    )
+    return dealt.select("doc_id", "n", "ids").transform(in_arrow, pack, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

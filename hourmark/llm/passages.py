@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.common import stored
+from hourmark.llm.common import in_arrow, stored
 from hourmark.llm.suffixes import _DOWN, _FACTOR, _INVERSE, _UP, _powers, window_minima
 
 WORDS, SEED = 51, 8
@@ -67,7 +67,7 @@ def _anchors(docs: DataFrame, words: int) -> DataFrame:
                     names=["doc_id", "th", "h", "a", "b"],
                 )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, h bigint, a int, b int")
+    return docs.select("doc_id", "th", "text").transform(in_arrow, run, "doc_id bigint, th bigint, h bigint, a int, b int")
 
 
 def _windows(texts: DataFrame, words: int) -> DataFrame:
@@ -88,7 +88,7 @@ def _windows(texts: DataFrame, words: int) -> DataFrame:
                 for k in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), kinds)], names=["doc_id", "th", "x", "y", "begin", "end"])
 
-    return texts.mapInArrow(run, "doc_id bigint, th bigint, x bigint, y bigint, begin int, end int")
+    return texts.transform(in_arrow, run, "doc_id bigint, th bigint, x bigint, y bigint, begin int, end int")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:

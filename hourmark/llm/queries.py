@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourmark.llm import chat, exactdedup, packing, quality, sharding, simhash, suffixes, unigram, urlfilter, warc
+from hourmark.llm import chat, exactdedup, htmltext, merkle, packing, phrases, quality, sharding, simhash, suffixes, unigram, urlfilter, warc
 from hourmark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,25 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best word collocations of every language over all documents."""
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, folded from a tampered copy for some."""
+    return merkle.tree_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_url_filter, op2_hilbert_shards, op3_simhash, op4_quality, op5_warc, op6_suffix_dedup, op7_exact_dedup, op8_packing, op9_chat, op10_unigram,
+        op11_html_text, op12_phrases, op13_merkle,
     )
 }
 
@@ -129,4 +145,99 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, raw_text NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(shown_role) + length(shown_text) + 24) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id""",
+    # states the pages of these tables: one article element, without excluded elements in it
+    "op11_html_text": r"""
+WITH article AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)</article>', 1, 's') AS body FROM pages
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&amp(?:;|$)', chr(1), 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), chr(1), '&'),
+    '\s+', ' ', 'g'))), lambda b: b <> '') AS parts FROM article
+)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, CAST(length(array_to_string(parts, chr(10))) AS BIGINT) AS n_chars FROM blocks""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), starts AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded
+), grams AS (
+  SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS gram FROM starts, (VALUES (1), (2), (3), (4)) AS t(size) WHERE i + size - 1 <= len(ws)
+), counts AS (
+  SELECT lang, size, gram, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, CAST(count(*) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang
+), cands AS (
+  SELECT lang, size, gram, f, string_split(gram, ' ') AS ws FROM counts WHERE size > 1
+), inner_grams AS (
+  SELECT c.lang, array_to_string(ws[i : i + k - 1], ' ') AS gram, f
+  FROM cands c, (VALUES (2), (3)) AS t(k), (VALUES (1), (2), (3)) AS u(i) WHERE k < size AND i + k - 1 <= size
+), around AS (
+  SELECT lang, gram, max(f) AS around FROM inner_grams GROUP BY ALL
+), free AS (
+  SELECT c.* FROM cands c LEFT JOIN around USING (lang, gram) WHERE around IS NULL OR 100 * CAST(around AS HUGEINT) < 80 * CAST(f AS HUGEINT)
+), cuts AS (
+  SELECT free.lang, free.gram, free.f AS a, k, x.f AS l, y.f AS r, CAST((2000000 * CAST(free.f AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score
+  FROM free, (VALUES (1), (2), (3)) AS t(k), counts x, counts y
+  WHERE k < free.size AND x.lang = free.lang AND y.lang = free.lang
+    AND x.gram = array_to_string(free.ws[1 : k], ' ') AND y.gram = array_to_string(free.ws[k + 1 : free.size], ' ')
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) AS nth FROM cuts
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM best WHERE nth = 1
+)
+SELECT lang, rank, gram AS phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_merkle": r"""
+WITH RECURSIVE shown AS (
+  SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END AS d,
+    CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END AS s, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS l,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS n,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS t,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS low,
+    -- CRC-32 bit by bit: a character goes in by exclusive or, then eight shifts
+    xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, sha256(d || s || l || n || t) AS leaf, CASE WHEN crc % 5 = 0 THEN sha256(d || s || l || n || low) ELSE sha256(d || s || l || n || t) END AS changed FROM shown
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), nodes AS (
+  SELECT source, 0 AS level, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, level, n, pos // 16
+), subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY level, n, pos // 16
+), levels AS (
+  SELECT 0 AS top, source, level, pos, n, h FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT 1, NULL, level, pos, n, h FROM upper_nodes WHERE n > 1
+), flanked AS (
+  SELECT x.top, x.source, x.level, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS left_part,
+    coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS right_part
+  FROM levels x JOIN levels y ON x.top = y.top AND x.source IS NOT DISTINCT FROM y.source AND x.level = y.level AND x.pos // 16 = y.pos // 16 GROUP BY ALL
+), steps AS (
+  SELECT p.source, p.pos AS leaf_pos, f.level AS nth, left_part, right_part
+  FROM placed p JOIN flanked f ON f.top = 0 AND f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos // CAST(16 ** f.level AS BIGINT)
+  UNION ALL
+  SELECT p.source, p.pos, 1000 + f.level, left_part, right_part
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN flanked f ON f.top = 1 AND f.pos = s.pos // CAST(16 ** f.level AS BIGINT)
+), paths AS (
+  SELECT source, leaf_pos, list(struct_pack(l := left_part, r := right_part) ORDER BY nth) AS path FROM steps GROUP BY ALL
+), folding AS (
+  SELECT p.source, p.pos, changed AS h, coalesce(path, []) AS path FROM placed p LEFT JOIN paths q ON q.source IS NOT DISTINCT FROM p.source AND q.leaf_pos = p.pos
+  UNION ALL
+  SELECT source, pos, sha256(path[1].l || h || path[1].r), path[2:] FROM folding WHERE len(path) > 0
+), folded AS (
+  SELECT source, pos, h AS folded_root FROM folding WHERE len(path) = 0
+)
+SELECT p.doc_id, p.leaf, s.subroot, u.h AS root,
+  sha256(coalesce(array_to_string(list_transform(q.path, lambda x: x.l || x.r), ''), '')) AS proof_sha256, f.folded_root, f.folded_root = u.h AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN upper_nodes u ON u.n = 1
+LEFT JOIN paths q ON q.source IS NOT DISTINCT FROM p.source AND q.leaf_pos = p.pos JOIN folded f ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos""",
 }

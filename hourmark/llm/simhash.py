@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.common import arrow_rows, components, stored
+from hourmark.llm.common import arrow_rows, components, in_arrow, stored
 
 BITS = 64
 
@@ -201,7 +201,7 @@ def near_links(values: DataFrame, radius: int = 4, blocks: int | None = None, sh
             yield from flush(True)
 
     dealt = keyed.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(link, "a bigint, b bigint")
+    return dealt.transform(in_arrow, link, "a bigint, b bigint")
 
 
 def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.common import stored
+from hourmark.llm.common import in_arrow, stored
 
 LENGTH, SEED = 400, 128
 #: Bytes of text anchored together; positions fit 20 bits of the sort key.
@@ -248,7 +248,7 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
                     names=["doc_id", "th", "h", "bh", "a", "b", "p"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, h bigint, bh bigint, a int, b int, p int")
+    return docs.transform(in_arrow, run, "doc_id bigint, th bigint, h bigint, bh bigint, a int, b int, p int")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def _single_windows(texts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
                     names=["doc_id", "th", "h", "bh", "a", "b", "p"],
                 )
 
-    return _with_blocks(texts, hot).mapInArrow(run, "doc_id bigint, th bigint, h bigint, bh bigint, a int, b int, p int")
+    return _with_blocks(texts, hot).transform(in_arrow, run, "doc_id bigint, th bigint, h bigint, bh bigint, a int, b int, p int")
 
 
 def _runs(texts: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -320,7 +320,7 @@ def _runs(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                 size = 0
         yield from flush()
 
-    return texts.select("text", "blocks").mapInArrow(run, _RUN)
+    return texts.select("text", "blocks").transform(in_arrow, run, _RUN)
 
 
 def _merged(runs: pa.Table, length: int) -> pa.Table:
@@ -442,7 +442,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return whole.mapInArrow(run, "doc_id bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return whole.transform(in_arrow, run, "doc_id bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed: int = HOT_SEED) -> DataFrame:

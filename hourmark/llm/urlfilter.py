@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourmark.session import ship_package
+
 #: Separates host and path in the canonical form; no UTF-8 text holds it.
 BOUNDARY = 0xFF
 
@@ -117,6 +119,7 @@ def judge_urls(
     listed = [(text, verdict) for _, (text, verdict) in ordered]
     globs = [("*." + text.partition("/")[0].lower(), "/" + text.partition("/")[2] + "*") for text, _ in listed] + list(block_globs)
     n_rules = len(listed)
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
     def judge(urls: pd.Series) -> pd.DataFrame:

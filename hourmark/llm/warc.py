@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.common import arrow_rows, shared_path
+from hourmark.llm.common import arrow_rows, in_arrow, shared_path
 
 DICTIONARY_FRAME, PLAIN_FRAME = 0x184D2A5D, 0x184D2A50
 #: Closes a row; the writer's line feed is the frame's content.
@@ -173,7 +173,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
 
-    placed.mapInArrow(pack, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    placed.transform(in_arrow, pack, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
