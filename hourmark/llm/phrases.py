@@ -1,18 +1,18 @@
 """Phrase collocations from a weighted de Bruijn graph of word sequences.
 
 Nodes are three words in a row, edges four: an edge joins two overlapping nodes
-and weighs as often as its four words occur. A first pass builds the graph of
-each stretch of text and stores it compacted: a chain of first-seen edges of one
+and weighs as often as its four words occur. Tasks build the graph of each
+stretch of text and hand it on compacted: a chain of first-seen edges of one
 weight, through nodes with one edge in and one out, is a single row with all its
-words. The words that end a piece are stored beside it. Shorter counts are never
-counted in the text again: a node's count is the flow out of it plus the pieces
-that end in it, and so on down to single words and to the total.
-
-A second pass unrolls the chains. A phrase matters only if it occurs
-``least`` times, so a row stops at the first prefix that is surely rarer; a
-count-min sketch of fixed size (``2**bits`` counters, sent on as one bit each) tells. The
-sketch never counts too few, so every count that matters stays exact however
-full it is; a full one only lets more rows through.
+words. The words that end a piece go beside it. Shorter counts are never taken from the
+text: a node's count is the flow out of it plus the pieces that end in it, and
+so on down to single words and to the total.
+
+A phrase matters only if it occurs ``least`` times. A first scan fills a
+count-min sketch of fixed size (``2**bits`` counters, sent on as one bit each); in the second a
+piece ends, for counting, wherever the next word would make the phrase surely
+rarer. The sketch never counts too few, so every count that matters is exact
+however full it is; a full one only lets more edges through.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +31,10 @@ from hourmark.llm.common import in_arrow, stored
 #: Words of an edge, least count of a candidate, share (in fifths) at which a longer one takes its place, phrases kept per language.
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Counters of the sketch as a power of two, counters of one of its blocks, words of a stretch whose graph is held at a time.
-BITS, BLOCK, STRETCH = 24, 1 << 16, 1 << 19
+BITS, BLOCK, STRETCH = 26, 1 << 20, 1 << 19
 
 _STOP = 0xFF  # never part of UTF-8
 _FOLD = bytes(_STOP if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
-_GRAPH = "kind string, lang string, words binary, weight bigint, block int, at binary, counts binary"
-_NAMES = ["kind", "lang", "words", "weight", "block", "at", "counts"]
-_KINDS = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
 
 class _Numbers(dict):
@@ -76,52 +74,45 @@ def prefix_hashes(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield h
 
 
-def compact_graph(ids: np.ndarray, stop: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains of the graph of a stretch: first word, last word, weight.
+def compact_graph(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of the graph whose edges start at the positions ``at`` (rising) of a stretch: first word, last word, weight.
 
-    ``ids`` are word numbers with ``stop`` between pieces; edges start at the
-    first ``starts`` positions and have no ``stop`` in them. A chain goes on
-    through a node with one edge in and one out of equal weight.
+    ``ids`` are word numbers. A chain goes on through a node with one edge in and
+    one out of equal weight.
     """
     none = np.empty(0, np.int64)
-    n = len(ids) - LONGEST + 1
-    if n <= 0:
-        return none, none, none
-    two, _ = _dense(ids[:-1], ids[1:])
-    three, nodes = _dense(two[:-1], ids[2:])
-    whole = np.ones(n, bool)
-    for k in range(LONGEST):
-        whole &= ids[k : k + n] != stop
-    at = np.flatnonzero(whole[: min(n, starts)])
     if not len(at):
         return none, none, none
-    edge, edges = _dense(three[at], ids[at + LONGEST - 1])
-    first = np.full(edges, len(ids), np.int64)
-    np.minimum.at(first, edge, at)
+    # both nodes of every edge, numbered together
+    ends = np.concatenate([at, at + 1])
+    two, _ = _dense(ids[ends], ids[ends + 1])
+    three, nodes = _dense(two, ids[ends + 2])
+    tail, head = three[: len(at)], three[len(at) :]
+    edge, edges = _dense(tail, ids[at + LONGEST - 1])
+    _, place = np.unique(edge, return_index=True)
     weight = np.bincount(edge, minlength=edges)
-    out, into = np.bincount(three[first], minlength=nodes), np.bincount(three[first + 1], minlength=nodes)
+    out, into = np.bincount(tail[place], minlength=nodes), np.bincount(head[place], minlength=nodes)
     unary = (out == 1) & (into == 1)
-    begin = np.sort(first)
-    own = np.zeros(len(ids), np.int64)
-    own[first] = weight
+    order = np.argsort(at[place])
+    place, weight = place[order], weight[order]
+    begin = at[place]
     follows = np.zeros(len(begin), bool)
-    follows[1:] = (begin[1:] == begin[:-1] + 1) & unary[three[begin[1:]]] & (own[begin[1:]] == own[begin[:-1]])
-    head = np.flatnonzero(~follows)
-    tail = np.append(head[1:], len(begin)) - 1
-    return begin[head], begin[tail] + LONGEST - 1, own[begin[head]]
-
+    follows[1:] = (begin[1:] == begin[:-1] + 1) & unary[tail[place[1:]]] & (weight[1:] == weight[:-1])
+    start = np.flatnonzero(~follows)
+    stop = np.append(start[1:], len(begin)) - 1
+    return begin[start], begin[stop] + LONGEST - 1, weight[start]
 
-def piece_ends(ids: np.ndarray, stop: int, starts: int, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First and last word of the end of every piece: its last three words, fewer if it has not as many.
 
-    An end belongs to the stretch that holds its first word among its ``starts``
-    positions. The first piece of a stretch that is not ``fresh`` began before it.
-    """
-    stops = np.flatnonzero(ids == stop)
-    before = np.concatenate([[-1 if fresh else -LONGEST - 1], stops[:-1]]) if len(stops) else stops
-    first = np.maximum(before + 1, stops - LONGEST + 1)
-    keep = (stops > first) & (0 <= first) & (first < starts)
-    return first[keep], stops[keep] - 1
+def room(ids: np.ndarray, stop: int, starts: int) -> np.ndarray:
+    """Words from each of the first ``starts`` positions to the end of its piece, up to four; ``stop`` stands between pieces."""
+    left = np.zeros(starts, np.int64)
+    alive = np.ones(starts, bool)
+    for k in range(LONGEST):
+        part = ids[k : k + starts]
+        alive[len(part) :] = False
+        alive[: len(part)] &= part != stop
+        left += alive
+    return left
 
 
 class Sketch:
@@ -134,24 +125,24 @@ class Sketch:
         cell, times = np.unique(hashes >> np.uint64(64 - self.bits), return_counts=True)
         self.counts[cell] = np.minimum(self.counts[cell] + times, 255)
 
-    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(block, cells within it, counts) of the cells in use."""
+    def rows(self) -> Iterator[tuple[int, bytes]]:
+        """(block, its packed counters) of the blocks in use."""
+        pack = zstandard.ZstdCompressor(level=1)
         size = min(BLOCK, len(self.counts))
         for block, part in enumerate(self.counts.reshape(-1, size)):
-            used = np.flatnonzero(part)
-            if len(used):
-                yield block, used.astype(np.uint16).tobytes(), part[used].tobytes()
+            if part.any():
+                yield block, pack.compress(part.tobytes())
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, np.ndarray, list[bytes], int, bool]]:
-    """(lang, word numbers, words, starts, fresh) of about ``size`` words each; number 0 stands between pieces."""
+def _stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, np.ndarray, list[bytes], int]]:
+    """(lang, word numbers, words, starts) of about ``size`` words each; number 0 stands between pieces."""
     held: dict[str, tuple[_Numbers, list[np.ndarray], list[int]]] = {}
 
-    def whole(lang: str) -> Iterator[tuple[str, np.ndarray, list[bytes], int, bool]]:
+    def whole(lang: str) -> Iterator[tuple[str, np.ndarray, list[bytes], int]]:
         numbers, parts, _ = held.pop(lang)
         ids, words = np.concatenate(parts), list(numbers)
         for begin in range(0, len(ids), 2 * size):  # a very long text is cut; the words after the cut are looked at, not counted
-            yield lang, ids[begin : begin + 2 * size + LONGEST], words, min(2 * size, len(ids) - begin), begin == 0 or ids[begin - 1] == 0
+            yield lang, ids[begin : begin + 2 * size + LONGEST], words, min(2 * size, len(ids) - begin)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -168,106 +159,72 @@ def _stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[s
         yield from whole(lang)
 
 
-def _graph(texts: DataFrame, bits: int, stretch: int) -> DataFrame:
-    """The compacted graph of ``texts(lang, text)``: rows of kind chain, end and sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(bits)
-        for lang, ids, words, starts, fresh in _stretches(batches, stretch):
-            hashes = word_hashes(words, lang)[ids]
-            plain = ids != 0
-            for k, h in enumerate(prefix_hashes(hashes, LONGEST)):
-                fits = plain[: len(h)].copy()
-                for j in range(1, k + 1):
-                    fits &= plain[j : j + len(h)]
-                sketch.add(h[:starts][fits[:starts]])
-            for kind, (first, last, weight) in (("chain", compact_graph(ids, 0, starts)), ("end", (*piece_ends(ids, 0, starts, fresh), None))):
-                texts_ = [b" ".join(map(words.__getitem__, ids[a : b + 1].tolist())) for a, b in zip(first.tolist(), last.tolist())]
-                if kind == "end" and texts_:
-                    uniques: dict[bytes, int] = {}
-                    for t in texts_:
-                        uniques[t] = uniques.get(t, 0) + 1
-                    texts_, weight = list(uniques), np.fromiter(uniques.values(), np.int64, len(uniques))
-                for a in range(0, len(texts_), 20_000):
-                    part = texts_[a : a + 20_000]
-                    n = len(part)
-                    empty = [pa.nulls(n, t) for t in _KINDS[4:]]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([lang] * n), pa.array(part, pa.binary()), pa.array(weight[a : a + n]), *empty], names=_NAMES)
-        for block, at, counts in sketch.rows():
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(["sketch", None, None, None, block, at, counts], _KINDS)], names=_NAMES)
-
-    return texts.transform(in_arrow, run, _GRAPH)
-
-
-def _often(graph: DataFrame, bits: int, least: int) -> np.ndarray:
-    """The cells of the sketch that reach ``least``, as packed bits: ``2**bits / 8`` bytes at most."""
+def _often(texts: DataFrame, bits: int, least: int, stretch: int) -> np.ndarray:
+    """The cells of the sketch of ``texts(lang, text)`` that reach ``least``, as packed bits: ``2**bits / 8`` bytes at most."""
     size = min(BLOCK, 1 << bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketch(bits)
+        for lang, ids, words, starts in _stretches(batches, stretch):
+            left = room(ids, 0, starts)
+            for k, h in enumerate(prefix_hashes(word_hashes(words, lang)[ids], LONGEST)):
+                sketch.add(h[:starts][left[: len(h)] > k])
+        for block, counts in sketch.rows():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts], pa.binary())], names=["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, at, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held = sums.setdefault(block, np.zeros(size, np.uint16))
-                cells = np.frombuffer(at, np.uint16)
-                held[cells] = np.minimum(held[cells] + np.frombuffer(counts, np.uint8), 255)
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts.as_py()), np.uint8)
+                held = sums.get(block)
+                # what would pass 255 stays there
+                sums[block] = part.copy() if held is None else held + np.minimum(part, 255 - held)
         for block, held in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(held >= least).tobytes()], pa.binary())], names=["block", "often"])
 
-    parts = graph.where("kind = 'sketch'").select("block", "at", "counts").repartition("block").transform(in_arrow, run, "block int, often binary")
+    blocks = texts.transform(in_arrow, sketched, "block int, counts binary").repartition("block")
     packed = np.zeros((1 << bits) // 8, np.uint8)
-    for block, often in parts.collect():  # one bit per counter, however large the tables
+    for block, often in blocks.transform(in_arrow, added, "block int, often binary").collect():  # one bit per counter, however large the tables
         packed[block * (size // 8) : (block + 1) * (size // 8)] = np.frombuffer(often, np.uint8)
     return packed
 
 
-def _edges(graph: DataFrame, packed: np.ndarray, bits: int) -> DataFrame:
-    """``(lang, gram, weight)``: a row per word of the texts, as many words from it on (up to four) as may be frequent."""
-    spread = graph.sparkSession.sparkContext.broadcast(packed)
+def _kept(hashes: np.ndarray, left: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
+    """Of the ``left`` words from each position, how many may be a phrase that is frequent enough."""
+    kept = np.zeros(len(left), np.int64)
+    alive = np.ones(len(left), bool)
+    for k, h in enumerate(prefix_hashes(hashes, LONGEST)):
+        cell = h[: len(left)] >> np.uint64(64 - bits)
+        often = (packed[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1
+        alive[len(cell) :] = False
+        alive[: len(cell)] &= (often == 1) & (left[: len(cell)] > k)
+        kept += alive
+    return kept
+
 
-    def lengths(hashes: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Words kept from each position, of the ``left`` ones that its row has."""
-        bitmap = spread.value
-        kept = np.zeros(len(hashes), np.int64)
-        alive = np.ones(len(hashes), bool)
-        for k, h in enumerate(prefix_hashes(hashes, LONGEST)):
-            cell = h >> np.uint64(64 - bits)
-            often = (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1
-            alive = alive[: len(h)] & (often == 1) & (left[: len(h)] > k)
-            kept[: len(h)] += alive
-        return kept
+def _chains(texts: DataFrame, packed: np.ndarray, bits: int, stretch: int) -> DataFrame:
+    """``(lang, words, weight)``: compacted chains of edges, and the ends of pieces with fewer than four words."""
+    spread = texts.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by_lang: dict[str, list[int]] = {}
-            for i, lang in enumerate(batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(i)
-            for lang, chosen in by_lang.items():
-                part = batch.take(pa.array(chosen))
-                rows = [w.split() for w in part.column(2).to_pylist()]
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-                numbers = _Numbers()
-                ids = np.fromiter((numbers[w] for row in rows for w in row), np.int64, int(sizes.sum()))
-                words = list(numbers)
-                place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                left = np.minimum(np.repeat(sizes, sizes) - place, LONGEST)
-                # a chain has a row per edge; the words after its last edge start rows elsewhere
-                chain = np.array([k == "chain" for k in part.column(0).to_pylist()])
-                counted = ~np.repeat(chain, sizes) | (left == LONGEST)
-                weight = np.repeat(part.column(3).to_numpy(), sizes)
-                kept = lengths(word_hashes(words, lang)[ids], left)
-                at = np.flatnonzero(counted)
-                kept, weight, key = kept[at], weight[at], np.zeros(len(at), np.int64)
-                padded = np.concatenate([ids + 1, np.zeros(LONGEST, np.int64)])
-                for k in range(LONGEST):
-                    key, _ = _dense(key, np.where(kept > k, padded[at + k], 0))
-                first, total = np.unique(key, return_index=True)[1], np.bincount(key, weight.astype(np.float64)).astype(np.int64) if weight.sum() < 1 << 53 else None
-                if total is None:
-                    total = np.zeros(len(first), np.int64)
-                    np.add.at(total, key, weight)
-                grams = [b" ".join(map(words.__getitem__, ids[a : a + k].tolist())).decode("utf-8", "replace") for a, k in zip(at[first].tolist(), kept[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(total)], names=["lang", "gram", "weight"])
-
-    return graph.where("kind <> 'sketch'").select("kind", "lang", "words", "weight").transform(in_arrow, run, "lang string, gram string, weight bigint")
+        for lang, ids, words, starts in _stretches(batches, stretch):
+            kept = _kept(word_hashes(words, lang)[ids], room(ids, 0, starts), spread.value, bits)
+            first, last, weight = compact_graph(ids, np.flatnonzero(kept == LONGEST))
+            end = np.flatnonzero((kept < LONGEST) & (ids[:starts] != 0))
+            key, length = np.zeros(len(end), np.int64), kept[end]
+            padded = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
+            for k in range(LONGEST - 1):
+                key, _ = _dense(key, np.where(length > k, padded[end + k], 0))
+            _, place = np.unique(key, return_index=True)
+            first = np.concatenate([first, end[place]]).tolist()
+            stop = np.concatenate([last + 1, end[place] + length[place]]).tolist()
+            weight = np.concatenate([weight, np.bincount(key, minlength=len(place))])
+            for k in range(0, len(first), 20_000):
+                rows = [b" ".join(map(words.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(first[k : k + 20_000], stop[k : k + 20_000])]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.string()), pa.array(weight[k : k + 20_000])], names=["lang", "words", "weight"])
+
+    return texts.transform(in_arrow, run, "lang string, words string, weight bigint")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = BITS, stretch: int = STRETCH) -> DataFrame:
@@ -277,8 +234,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = BITS, stretch
     if bits < 3:
         raise ValueError("the sketch has 8 counters at least")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    graph = stored(_graph(texts, bits, stretch), "phrase-graph")
-    edges = _edges(graph, _often(graph, bits, least), bits).groupBy("lang", "gram").agg(F.sum("weight").alias("weight"))
+    chains = _chains(texts, _often(texts, bits, least, stretch), bits, stretch).withColumn("w", F.split("words", " "))
+    unrolled = F.transform(F.sequence(F.lit(1), F.size("w") - (LONGEST - 1)), lambda i: F.array_join(F.slice("w", i, LONGEST), " "))
+    grams = F.when(F.size("w") <= LONGEST, F.array("words")).otherwise(unrolled)
+    edges = chains.select("lang", F.explode(grams).alias("gram"), "weight").groupBy("lang", "gram").agg(F.sum("weight").alias("weight"))
     # flow: what starts with a phrase goes through its node, the edges that leave it and the pieces that end in it alike
     words = F.split("gram", " ")
     size = F.when(F.col("gram") == "", 0).otherwise(F.size(words))
