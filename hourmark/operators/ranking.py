@@ -13,11 +13,17 @@ any cut points; they only balance the work.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourmark.session import checkpoint_dir
+
 BUCKETS = 256
+#: Sketch size, the share of ranks its answers may be off by (three times its 99 % error), values of a bracket a group may hold
+#: at a time, ranks at which a sketch is read, and rows up to which a group is one bracket.
+SKETCH, SLACK, HELD, GRID, SMALL = 4096, 0.003, 50_000, 512, 1000
 
 
 def _count_below(cuts: Column, value: Column, size: int) -> Column:
@@ -128,77 +134,186 @@ def _first_last() -> tuple[Column, Column]:
     return F.col("n_cum") - F.col("n"), F.col("n_cum") - 1
 
 
-def _quantile_parts(value: str, level: float) -> tuple[Column, Column]:
-    """Aggregate giving one linear quantile over ranked values, and the rows it needs."""
-    first, last = _first_last()
-    position = (F.col("n_total") - 1) * F.lit(float(level))
-    lo, hi = F.floor(position), F.ceil(position)
-    at_lo, at_hi = (first <= lo) & (lo <= last), (first <= hi) & (hi <= last)
-    v_lo, v_hi = F.max(F.when(at_lo, F.col(value))), F.max(F.when(at_hi, F.col(value)))
-    return v_lo + (v_hi - v_lo) * F.max(position - lo), at_lo | at_hi
+@dataclass(frozen=True)
+class Target:
+    """A zero-based position in a group's sorted values (a column over ``n_total``), the one after it, or the sum beyond."""
 
+    name: str
+    position: Column
+    pair: bool = False
+    beyond: bool = False
 
-def _tail_taken(alpha: float) -> Column:
-    """How many copies of a ranked value belong to the upper tail."""
-    tail = F.greatest(F.lit(1), F.ceil(F.round((1.0 - alpha) * F.col("n_total"), 9)))
-    return F.greatest(F.lit(0), F.least(F.col("n"), tail - (F.col("n_total") - F.col("n_cum"))))
 
+def _settled(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-def quantile_and_tail(df: DataFrame, groups: Sequence[str], value: str, alpha: float, quantile: str, tail: str) -> DataFrame:
-    """One quantile and the mean beyond it from a single ranking."""
-    taken = _tail_taken(alpha)
-    at, _ = _quantile_parts(value, alpha)
-    return value_ranks(df, groups, value).groupBy(*groups).agg(
-        at.alias(quantile), (F.sum(F.col(value) * taken) / F.sum(taken)).alias(tail)
+
+def located(df: DataFrame, groups: Sequence[str], value: str, targets: Sequence[Target], held: int = HELD, sketch: int = SKETCH, slack: float = SLACK) -> DataFrame:
+    """Per group: n_total, lowest, highest, and per target ``name_at``, ``name_next`` (of pairs), and ``name_beyond`` with ``name_fill``.
+
+    A first scan sketches every group (a mergeable quantile sketch of fixed
+    size) and brackets each position; a second one counts exactly what lies below
+    and at the ends of the bracket and holds only the values within. A group
+    whose brackets would hold more than ``held`` values is bracketed again within
+    them first. A position that fell outside its bracket, which the counts show, is found by
+    full ranking instead, so results never rest on the sketch. ``name_beyond`` is
+    the sum of all values above that at the position, ``name_fill`` how many copies of
+    it stand at the position and after. Nulls and NaN are left out.
+    """
+    keys = list(groups) or ["_all"]
+    number = range(len(targets))
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = rows.select(*groups, F.col(value).cast("double").alias("_v")) if groups else rows.select(F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
+    n, v = F.col("n_total"), F.col("_v")
+    facts = ["n_total", "lowest", "highest", *[f"_p{i}" for i in number]]
+    ranks = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.kll_sketch_agg_double(v, F.lit(sketch)).alias("_s"))
+    whole = whole.select(*keys, "n_total", "lowest", "highest", F.when(n > SMALL, F.kll_sketch_get_quantile_double("_s", ranks)).alias("_r"))
+    state = whole.select(
+        *keys, "n_total", "lowest", "highest", *[t.position.cast("bigint").alias(f"_p{i}") for i, t in enumerate(targets)],
+        *[c for i in number for c in (F.lit(0).cast("bigint").alias(f"_b{i}"), n.alias(f"_m{i}"), F.col("lowest").alias(f"_lo{i}"), F.col("highest").alias(f"_hi{i}"), F.col("_r").alias(f"_r{i}"))],
+    )
+    while True:
+        state = _settled(state.select(*keys, *facts, *[c for i, t in enumerate(targets) for c in _narrowed(i, t, slack)]))
+        # what a bracket may hold shrinks by the slack each time, so large groups take one round more
+        wide = state.agg(F.max(F.greatest(*[F.col(f"_m{i}") for i in number], F.lit(0)))).first()[0] or 0
+        near = _with_groups(rows, state.select(*keys, F.struct(*[c for c in state.columns if c not in keys]).alias("_t")), keys)
+        lo, hi = (lambda i: F.col(f"_t._lo{i}")), (lambda i: F.col(f"_t._hi{i}"))
+        within = lambda i: (v > lo(i)) & (v < hi(i))
+        if wide <= SMALL or wide * 2 * (slack + 1 / GRID) <= held:
+            break
+        # only what lies strictly within counts, so a value with very many copies at an end does not keep the bracket wide
+        again = near.groupBy(*keys).agg(F.first("_t").alias("_t"), *[c for i in number for c in (
+            F.count_if(v <= lo(i)).alias(f"_b{i}"), F.count_if(within(i)).alias(f"_m{i}"), F.kll_sketch_agg_double(F.when(within(i), v), F.lit(sketch)).alias(f"_s{i}"),
+        )])
+        state = again.select(*keys, *[f"_t.{c}" for c in facts], *[c for i in number for c in (
+            F.col(f"_b{i}"), F.col(f"_m{i}"), lo(i).alias(f"_lo{i}"), hi(i).alias(f"_hi{i}"), F.when(F.col(f"_m{i}") > SMALL, F.kll_sketch_get_quantile_double(f"_s{i}", ranks)).alias(f"_r{i}"),
+        )])
+    counted = near.groupBy(*keys).agg(F.first("_t").alias("_t"), *[c for i in number for c in (
+        F.count_if(v < lo(i)).alias(f"_b{i}"), F.count_if(v == lo(i)).alias(f"_l{i}"), F.count_if((v == hi(i)) & (hi(i) > lo(i))).alias(f"_h{i}"),
+        F.collect_list(F.when(within(i), v)).alias(f"_x{i}"), *([F.sum(F.when(v > hi(i), v)).alias(f"_a{i}")] if targets[i].beyond else []),
+    )])
+    exact = counted.select(*keys, *[f"_t.{c}" for c in facts], *[c for i in number for c in (lo(i).alias(f"_lo{i}"), hi(i).alias(f"_hi{i}"))], *[c for c in counted.columns if c not in keys and c != "_t"])
+    exact = exact.withColumns({f"_x{i}": F.sort_array(f"_x{i}") for i in number})
+    found = []
+    for i, t in enumerate(targets):
+        at = _at(i, F.col(f"_p{i}"))
+        after = _at(i, F.least(F.col(f"_p{i}") + 1, n - 1))
+        found.append(at.alias(f"{t.name}_at"))
+        if t.pair:
+            found.append(after.alias(f"{t.name}_next"))
+        if t.beyond:
+            lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            inner = F.aggregate(F.filter(f"_x{i}", lambda x: x > at), F.lit(0.0), lambda a, x: a + x)
+            above = F.coalesce(F.col(f"_a{i}"), F.lit(0.0)) + F.when(at < hi, hi * F.col(f"_h{i}")).otherwise(0.0) + inner
+            found.append(above.alias(f"{t.name}_beyond"))
+            over = n - F.col(f"_b{i}") - F.col(f"_l{i}") - F.size(f"_x{i}") - F.col(f"_h{i}")  # above the bracket
+            over = over + F.when(at < hi, F.col(f"_h{i}")).otherwise(0) + F.size(F.filter(f"_x{i}", lambda x: x > at))
+            found.append((n - F.col(f"_p{i}") - over).alias(f"{t.name}_fill"))
+    out = _settled(exact.select(*keys, "n_total", "lowest", "highest", *found))
+    missed = F.exists(F.array(*[F.col(f"{t.name}_{c}") for t in targets for c in (["at", "next"] if t.pair else ["at"])]), lambda x: x.isNull())
+    lost = out.filter(missed).select(*keys)
+    if lost.limit(1).count():
+        out = out.filter(~missed).unionByName(_ranked_targets(_with_groups(rows, lost, keys, "left_semi"), keys, targets))
+    return out if groups else out.drop("_all")
+
+
+def _narrowed(i: int, t: Target, slack: float) -> list[Column]:
+    """The state of target ``i`` with the bracket its sketch gives; small groups and the ends of a group stay as they are."""
+    p, below, inside = F.col(f"_p{i}"), F.col(f"_b{i}"), F.col(f"_m{i}")
+    last = p + 1 if t.pair else p
+    read = F.col(f"_r{i}")
+    rows = F.greatest(inside, F.lit(1))
+    low = F.floor(((p - below) / rows - slack) * GRID).cast("int")
+    high = F.greatest(F.lit(0), F.ceil(((last - below) / rows + slack) * GRID).cast("int"))
+    lo = F.when((inside > SMALL) & (low > 0) & (low <= GRID), F.greatest(F.col(f"_lo{i}"), F.get(read, low))).otherwise(F.col(f"_lo{i}"))
+    hi = F.when((inside > SMALL) & (high < GRID), F.least(F.col(f"_hi{i}"), F.get(read, high))).otherwise(F.col(f"_hi{i}"))
+    return [below, inside, lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+
+
+def _at(i: int, position: Column) -> Column:
+    """The value at a position of target ``i`` by its exact counts; null outside the bracket."""
+    q, lows, inner, highs = position - F.col(f"_b{i}"), F.col(f"_l{i}"), F.size(f"_x{i}"), F.col(f"_h{i}")
+    return (
+        F.when(q < 0, F.lit(None)).when(q < lows, F.col(f"_lo{i}")).when(q < lows + inner, F.get(F.col(f"_x{i}"), (q - lows).cast("int")))
+        .when(q < lows + inner + highs, F.col(f"_hi{i}"))
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    levels: Sequence[float],
-    names: Sequence[str],
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """Linear-interpolated quantiles as one wide row per group.
+def _ranked_targets(rows: DataFrame, keys: Sequence[str], targets: Sequence[Target]) -> DataFrame:
+    """The columns of ``located`` by full ranking."""
+    first, last = _first_last()
+    n, v = F.col("n_total"), F.col("_v")
+    holds = lambda p: (first <= p) & (p <= last)
+    ranked = value_ranks(rows, keys, "_v")
+    out = [F.max("n_total").alias("n_total"), F.min("_v").alias("lowest"), F.max("_v").alias("highest")]
+    for t in targets:
+        p = t.position.cast("bigint")
+        out.append(F.max(F.when(holds(p), v)).alias(f"{t.name}_at"))
+        if t.pair:
+            out.append(F.max(F.when(holds(F.least(p + 1, n - 1)), v)).alias(f"{t.name}_next"))
+        if t.beyond:
+            out.append(F.coalesce(F.sum(F.when(first > p, v * F.col("n"))), F.lit(0.0)).alias(f"{t.name}_beyond"))
+            out.append(F.max(F.when(holds(p), n - p - (n - 1 - last))).alias(f"{t.name}_fill"))
+    return ranked.groupBy(*keys).agg(*out)
+
+
+def _level(name: str, level: float) -> tuple[Target, Column]:
+    """The target of one linear quantile, and the quantile from what is found."""
+    position = (F.col("n_total") - 1) * F.lit(float(level))
+    at, after = F.col(f"{name}_at"), F.col(f"{name}_next")
+    between = position > F.floor(position)
+    return Target(name, F.floor(position), pair=True), F.when(between, at + (after - at) * (position - F.floor(position))).otherwise(at)
+
 
-    Only the two neighbours of each requested position survive to the final
-    aggregation, so no task ever holds a group's values.
+def _tail(alpha: float) -> tuple[Target, Column, Column]:
+    """The target of an upper tail, its mean and its size: the largest ``max(1, ceil((1 - alpha) n))`` values.
+
+    The tail is all values above that at its first position, and the copies of it from there on.
     """
-    parts = [_quantile_parts(value, level) for level in levels]
-    wanted = F.lit(False)
-    for _, rows in parts:
-        wanted = wanted | rows
-    ranked = value_ranks(df, groups, value, buckets).filter(wanted)
-    return ranked.groupBy(*groups).agg(*[agg.alias(name) for (agg, _), name in zip(parts, names, strict=True)])
+    n = F.col("n_total")
+    tail = F.greatest(F.lit(1), F.ceil(F.round((1.0 - alpha) * n, 9))).cast("bigint")
+    mean = (F.col("_tail_beyond") + F.col("_tail_at") * F.col("_tail_fill")) / tail
+    return Target("_tail", n - tail, beyond=True), mean, tail
+
+
+def quantile_and_tail(df: DataFrame, groups: Sequence[str], value: str, alpha: float, quantile: str, tail: str) -> DataFrame:
+    """One quantile and the mean beyond it from the same two scans."""
+    level, expression = _level("_q", alpha)
+    target, mean, _ = _tail(alpha)
+    return located(df, groups, value, [level, target]).select(*groups, expression.alias(quantile), mean.alias(tail))
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Linear-interpolated quantiles as one wide row per group."""
+    parts = [_level(f"_{i}", level) for i, level in enumerate(levels)]
+    found = located(df, groups, value, [t for t, _ in parts])
+    return found.select(*groups, *[e.alias(name) for (_, e), name in zip(parts, names, strict=True)])
 
 
 def describe(df: DataFrame, groups: Sequence[str], value: str, levels: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Rows, minimum, maximum and exact quantiles of a column from one ranking."""
-    quantiles = [_quantile_parts(value, level)[0].alias(name) for level, name in zip(levels, names, strict=True)]
-    return value_ranks(df, groups, value).groupBy(*groups).agg(
-        F.max("n_total").alias("rows"), F.min(value).alias("lowest"), F.max(value).alias("peak"), *quantiles
-    )
+    """Rows, minimum, maximum and exact quantiles of a column."""
+    parts = [_level(f"_{i}", level) for i, level in enumerate(levels)]
+    found = located(df, groups, value, [t for t, _ in parts])
+    quantiles = [e.alias(name) for (_, e), name in zip(parts, names, strict=True)]
+    return found.select(*groups, F.col("n_total").alias("rows"), "lowest", F.col("highest").alias("peak"), *quantiles)
 
 
 def order_statistic(
     df: DataFrame, groups: Sequence[str], value: str, position: Column, out: str = "value"
 ) -> DataFrame:
-    """The value at a one-based ``position`` (an expression over ``n_total``) per group."""
-    ranked = value_ranks(df, groups, value).withColumn("_pos", position)
-    hit = (F.col("n_cum") - F.col("n") < F.col("_pos")) & (F.col("_pos") <= F.col("n_cum"))
-    return ranked.filter(hit).select(*groups, F.col(value).alias(out), "n_total")
+    """The value at a one-based ``position`` (an expression over ``n_total``) per group; none beyond its ends."""
+    found = located(df, groups, value, [Target("_x", F.greatest(F.lit(0), F.least(F.col("n_total"), position) - 1))])
+    return found.filter((position >= 1) & (position <= F.col("n_total"))).select(*groups, F.col("_x_at").alias(out), "n_total")
 
 
 def upper_tail_means(
     df: DataFrame, groups: Sequence[str], value: str, alpha: float, out: str = "cvar"
 ) -> DataFrame:
     """Mean of the largest ``max(1, ceil((1 - alpha) * n))`` values per group."""
-    taken = _tail_taken(alpha)
-    return value_ranks(df, groups, value).groupBy(*groups).agg(
-        (F.sum(F.col(value) * taken) / F.sum(taken)).alias(out), F.sum(taken).alias("tail_count")
-    )
+    target, mean, tail = _tail(alpha)
+    return located(df, groups, value, [target]).select(*groups, mean.alias(out), tail.alias("tail_count"))
 
 
 def minimum_cvar(df: DataFrame, groups: Sequence[str], value: str, alpha: float, out: str = "cvar") -> DataFrame:

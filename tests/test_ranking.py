@@ -18,10 +18,12 @@ def skewed(spark):
     return frame, spark.createDataFrame(frame).repartition(7)
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 64, 256])
-def test_quantiles_equal_numpy(skewed, buckets):
+@pytest.mark.parametrize("held,sketch,slack", [(50_000, 4096, 0.003), (40, 64, 0.08), (10, 16, 0.3), (100_000, 16, 0.0)])
+def test_quantiles_equal_numpy(skewed, held, sketch, slack, monkeypatch):
+    """Also with brackets that are narrowed several times, and with ones so narrow that positions fall outside and are ranked in full."""
     frame, df = skewed
-    got = ranking.exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.995, 1.0], ["a", "b", "c", "d", "e"], buckets).toPandas().set_index("g")
+    monkeypatch.setattr(ranking.located, "__defaults__", (held, sketch, slack))
+    got = ranking.exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.995, 1.0], ["a", "b", "c", "d", "e"]).toPandas().set_index("g")
     want = frame.groupby("g")["v"].quantile([0.0, 0.1, 0.5, 0.995, 1.0]).unstack()
     np.testing.assert_allclose(got.loc[want.index, list("abcde")].to_numpy(), want.to_numpy(), atol=1e-9)
 
@@ -101,3 +103,28 @@ def test_result_does_not_depend_on_partitioning(spark, skewed, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     reference = ranking.exact_quantiles(df, ["g"], "v", [0.37], ["q"]).orderBy("g").collect()
     assert rows == reference
+
+
+def test_a_value_with_most_copies_does_not_hold_up_the_search(spark, monkeypatch):
+    values = np.concatenate([np.full(9000, 5.0), np.linspace(5.0, 6.0, 3000), np.linspace(-1, 5.0, 500)])
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": values})).repartition(5)
+    monkeypatch.setattr(ranking.located, "__defaults__", (60, 64, 0.05))
+    monkeypatch.setattr(ranking, "SMALL", 20)
+    levels = [0.01, 0.3, 0.77, 0.9, 0.999]
+    got = ranking.exact_quantiles(df, ["g"], "v", levels, list("abcde")).first()
+    np.testing.assert_allclose([got[c] for c in "abcde"], np.quantile(values, levels))
+    tail = ranking.upper_tail_means(df, ["g"], "v", 0.5).first()
+    assert tail["cvar"] == pytest.approx(np.sort(values)[-tail["tail_count"]:].mean())
+
+
+def test_two_exchanges_per_quantile(spark):
+    """The sketches and the counts are exchanged once each, whatever the number of levels."""
+    df = spark.range(20_000).selectExpr("id % 3 as g", "cast(id * 7919 % 10007 as double) as v")
+    seen = []
+    settled = ranking._settled
+    try:
+        ranking._settled = lambda d: seen.append(d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or settled(d)
+        ranking.exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], ["a", "b", "c"]).collect()
+    finally:
+        ranking._settled = settled
+    assert len(seen) == 2 and seen[0] == 1 and seen[1] <= 2
