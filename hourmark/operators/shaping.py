@@ -57,8 +57,24 @@ def coarse_steps(df: DataFrame, keys: Sequence[str], ts: str, step_hours: int =
 
 
 def outer_on_time(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
-    """Full outer join of all sources on the same key (one partitioning for all)."""
-    return reduce(lambda a, b: a.join(b, list(key), "full_outer"), frames)
+    """Full outer join of sources that are each unique on the key, as one keyed aggregation.
+
+    The sources go into one tagged union, so all share a single exchange however
+    many they are. A key that a source holds twice stops the query.
+    """
+    keys = list(key)
+    own = [[c for c in f.columns if c not in keys] for f in frames]
+    kinds = [dict(f.dtypes) for f in frames]
+    rows = []
+    for i, f in enumerate(frames):
+        columns = [F.col(c) if i == j else F.lit(None).cast(kinds[j][c]).alias(c) for j, names in enumerate(own) for c in names]
+        rows.append(f.select(*keys, F.lit(i).alias("_source"), *columns))
+    counts = [F.count_if(F.col("_source") == i) for i in range(len(frames))]
+    merged = reduce(DataFrame.unionAll, rows).groupBy(*keys).agg(
+        F.greatest(F.lit(0), *counts).alias("_most"), *[F.first(c, ignorenulls=True).alias(c) for names in own for c in names]
+    )
+    single = F.when(F.col("_most") <= 1, F.lit(True)).otherwise(F.raise_error(F.lit("a source holds a key twice")))
+    return merged.filter(single).drop("_most")
 
 
 def override_status(df: DataFrame, day: str, dates: Sequence[str], status: str, replacement: str) -> DataFrame:

@@ -213,6 +213,91 @@ def standardise_residuals(
     )
 
 
+def ordinal_moments(
+    targets: DataFrame, library: DataFrame, day: str, hour: str, hours: Sequence[int], values: Sequence[str], source: str = "source_day"
+) -> DataFrame:
+    """What each target day knows per clock hour and calendar ordinal: ``n`` and, per value, ``value_s`` and ``value_q``.
+
+    Counts, sums and sums of squares of the library days before the target run
+    along the days of each (hour, ordinal), so no target meets a library day; a
+    target has ``len(hours) * 366`` rows at most, however long the library is.
+    """
+    own = library.select(F.col(source).alias("_d"), hour, calendar_ordinal(F.col(source)).alias("ordinal"), F.lit(1).alias("_lib"), *values)
+    asked = targets.select(F.col(day).alias("_d")).distinct().withColumn(hour, F.explode(F.array(*[F.lit(h) for h in hours])))
+    asked = asked.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.lit(366))))
+    asked = asked.select("_d", hour, "ordinal", F.lit(0).alias("_lib"), *[F.lit(None).cast("double").alias(v) for v in values])
+    # a target sorts before a library day of the same date, so it knows earlier days only
+    upto = Window.partitionBy(hour, "ordinal").orderBy("_d", "_lib").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [c for v in values for c in (F.sum(v).over(upto).alias(f"{v}_s"), F.sum(F.col(v) * F.col(v)).over(upto).alias(f"{v}_q"))]
+    known = own.unionByName(asked).select(F.col("_d").alias(day), hour, "ordinal", "_lib", F.sum("_lib").over(upto).alias("n"), *sums)
+    return known.filter((F.col("_lib") == 0) & (F.col("n") > 0)).drop("_lib")
+
+
+def seasonal_adjustments(
+    moments: DataFrame, weights: DataFrame, day: str, hour: str, values: Sequence[str], standardised: Sequence[str], bandwidth: float, mixture: float
+) -> tuple[DataFrame, DataFrame]:
+    """Centres and scales of each target day from the moments of the ordinals alone.
+
+    Returns ``(day, hour, value_mean, ...)`` with the probability-weighted mean of
+    every value and, for standardised ones, ``value_centre`` and ``value_target``;
+    and ``(day, hour, ordinal, value_scale)`` with the scale around each ordinal.
+    ``weights`` are ``ordinal_weights``.
+    """
+    p = F.col("probability")
+    weighted = moments.join(weights.select(day, "ordinal", "probability"), [day, "ordinal"])
+    near = moments.select(day, hour, F.col("ordinal").alias("_near"), F.col("n").alias("_n"), *[F.col(f"{v}_{k}").alias(f"_{v}_{k}") for v in standardised for k in "sq"])
+    z = circular_distance(F.col("_near"), F.col("ordinal")) / F.lit(float(bandwidth))
+    met = moments.select(day, hour, "ordinal").join(near, [day, hour]).withColumn("_k", F.exp(z * z * -0.5))  # ordinals meet ordinals: 366 at most on either side
+
+    def deviation(mean: Column, square: Column) -> Column:
+        return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+
+    def mixed(column: str) -> Column:
+        return F.sum(F.col("_k") * F.col(column)) / F.sum(F.col("_k") * F.col("_n")) * (1.0 - mixture) + F.sum(column) / F.sum("_n") * mixture
+
+    scales = met.groupBy(day, hour, "ordinal").agg(*[
+        floored_scale(deviation(mixed(f"_{v}_s"), mixed(f"_{v}_q")), deviation(F.sum(f"_{v}_s") / F.sum("_n"), F.sum(f"_{v}_q") / F.sum("_n"))).alias(f"{v}_scale") for v in standardised
+    ])
+    total = F.sum(p * F.col("n"))
+    stats = []
+    for v in values:
+        s, q = F.col(f"{v}_s"), F.col(f"{v}_q")
+        mean = F.sum(p * s) / total
+        stats.append(mean.alias(f"{v}_mean"))
+        if v in standardised:
+            overall = deviation(F.sum(s) / F.sum("n"), F.sum(q) / F.sum("n"))
+            stats += [
+                F.sum(p * s / F.col(f"{v}_scale")).alias(f"{v}_centre"),
+                floored_scale(deviation(mean, F.sum(p * q) / total), overall).alias(f"{v}_target"),
+            ]
+    return weighted.join(scales, [day, hour, "ordinal"]).groupBy(day, hour).agg(*stats), scales
+
+
+def seasonal_scenarios(
+    points: DataFrame, library: DataFrame, day: str, hour: str, hours: Sequence[int], targets: Mapping[str, tuple[str, str]], standardised: Sequence[str],
+    scenarios: int, seed: int, bandwidth: float, mixture: float, bounds: Mapping[str, tuple[float | None, float | None]] | None = None, source: str = "source_day",
+) -> DataFrame:
+    """Joint scenarios: seasonal draw of a library day, weighted centring of every target, season-to-season scaling of some.
+
+    ``targets`` maps an output to ``(point column, residual column)``; residual
+    columns named in ``standardised`` are divided by the scale of their own
+    season, centred, and scaled to the target's. All of it is known before the
+    target day. No (target, library day) pair is ever listed.
+    """
+    residuals = [r for _, r in targets.values()]
+    weights = ordinal_weights(points, library, day, bandwidth, mixture, source)
+    draws = sample_ordinals(weights, library, day, scenarios, seed, source)
+    moments = ordinal_moments(points, library, day, hour, hours, residuals, source)
+    stats, scales = seasonal_adjustments(moments, weights, day, hour, residuals, standardised, bandwidth, mixture)
+    rows = draws.join(library.select(source, hour, *residuals), source).withColumn("ordinal", calendar_ordinal(F.col(source)))
+    rows = rows.join(points, [day, hour]).join(stats, [day, hour]).join(scales, [day, hour, "ordinal"])
+    out = []
+    for name, (point, r) in targets.items():
+        moved = (F.col(r) / F.col(f"{r}_scale") - F.col(f"{r}_centre")) * F.col(f"{r}_target") if r in standardised else F.col(r) - F.col(f"{r}_mean")
+        out.append(clip(F.col(point) + moved, *((bounds or {}).get(name, (None, None)))).alias(name))
+    return rows.select(day, "scenario_id", hour, source, *out)
+
+
 def residual_library(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Actual minus prediction for each target."""
     return df.select(*keys, *[(F.col(a) - F.col(p)).alias(name) for name, (a, p) in pairs.items()])

@@ -65,6 +65,8 @@ SQL_VIEWS: dict[str, str] = {}
 
 def sql_view(name: str, body: str) -> None:
     """Name a reusable SQL subquery; statements that mention it get it as a CTE."""
+    if name in SQL_VIEWS:
+        raise ValueError(f"SQL subquery {name} is named twice")
     SQL_VIEWS[name] = body
 
 

@@ -152,15 +152,15 @@ def spatial_price(spark: SparkSession, path: str) -> DataFrame:
 
 
 @query(
-    "dataset_spatial_weather", "valid_time_utc:t as_of_utc:t " + " ".join(f"spatial_{s}_temperature_2m:f spatial_{s}_lead_hours:i" for s in ("click", "view")),
-    "WITH w AS (SELECT m.valid_time_utc, " + to_utc("(m.delivery_date_local - 1)::TIMESTAMP + INTERVAL 11 HOUR") + " AS as_of_utc, a.site_id, a.value AS v1, b.value AS v2 FROM market m JOIN site_hours a ON a.valid_time_utc = m.valid_time_utc - INTERVAL 24 HOUR JOIN site_hours b ON b.site_id = a.site_id AND b.valid_time_utc = m.valid_time_utc - INTERVAL 48 HOUR WHERE a.site_id IN ('click', 'view')),"
+    "dataset_spatial_weather", "valid_time_utc:t as_of_utc:t " + " ".join(f"spatial_{s}_temperature_2m:f spatial_{s}_lead_hours:i" for s in S.SITES),
+    "WITH w AS (SELECT m.valid_time_utc, " + to_utc("(m.delivery_date_local - 1)::TIMESTAMP + INTERVAL 11 HOUR") + " AS as_of_utc, a.site_id, a.value AS v1, b.value AS v2 FROM market m JOIN site_hours a ON a.valid_time_utc = m.valid_time_utc - INTERVAL 24 HOUR JOIN site_hours b ON b.site_id = a.site_id AND b.valid_time_utc = m.valid_time_utc - INTERVAL 48 HOUR),"
     " c AS (SELECT *, CASE WHEN valid_time_utc - INTERVAL 24 HOUR <= as_of_utc THEN 24 WHEN valid_time_utc - INTERVAL 48 HOUR <= as_of_utc THEN 48 END AS lead FROM w)"
-    " SELECT valid_time_utc, as_of_utc, " + ", ".join(f"max(CASE lead WHEN 24 THEN v1 WHEN 48 THEN v2 END) FILTER (WHERE site_id = '{s}') AS spatial_{s}_temperature_2m, max(lead) FILTER (WHERE site_id = '{s}') AS spatial_{s}_lead_hours" for s in ("click", "view"))
-    + " FROM c GROUP BY 1, 2 HAVING spatial_click_temperature_2m IS NOT NULL AND spatial_view_temperature_2m IS NOT NULL",
+    " SELECT valid_time_utc, as_of_utc, " + ", ".join(f"max(CASE lead WHEN 24 THEN v1 WHEN 48 THEN v2 END) FILTER (WHERE site_id = '{s}') AS spatial_{s}_temperature_2m, max(lead) FILTER (WHERE site_id = '{s}') AS spatial_{s}_lead_hours" for s in S.SITES)
+    + " FROM c GROUP BY 1, 2 HAVING " + " AND ".join(f"spatial_{s}_temperature_2m IS NOT NULL" for s in S.SITES),
 )
 def spatial_weather(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-lead layers of each location as columns, chosen at D-1 11:00."""
-    hourly = S.settle(S.site_hours(spark, path).filter(F.col("site_id").isin("click", "view")))
+    hourly = S.settle(S.site_hours(spark, path))
     parts = [
         hourly.select(F.col("site_id").alias("location_id"), (F.col("valid_time_utc") + C.hours(h)).alias("valid_time_utc"), F.col("value").alias(f"weather_fcst{h}_temperature_2m"))
         for h in (24, 48)
@@ -170,7 +170,7 @@ def spatial_weather(spark: SparkSession, path: str) -> DataFrame:
         {"weather_fcst24_available_at_utc": t - C.hours(24), "weather_fcst48_available_at_utc": t - C.hours(48)}
     )
     rows = S.market(spark, path).select("valid_time_utc", C.decision_time(F.col("delivery_date_local")).alias("as_of_utc"))
-    return D.with_spatial_weather(rows, weather, ["click", "view"], ["temperature_2m"])
+    return D.with_spatial_weather(rows, weather, list(S.SITES), ["temperature_2m"])
 
 
 @query(

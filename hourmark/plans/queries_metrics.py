@@ -323,9 +323,9 @@ def quantile_crossing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ensemble(spark: SparkSession, path: str) -> DataFrame:
-    """Fifty reproducible members around each price point."""
+    """Five hundred reproducible members around each price point."""
     rows = pts(spark, path).select("delivery_date_local", "hour_local", "da_price", "da_price_point")
-    rows = rows.withColumn("scenario_id", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    rows = rows.withColumn("scenario_id", F.explode(F.sequence(F.lit(0), F.lit(499))))
     noise = N.draw_uniform(F.col("scenario_id"), uncertainty.day_number(F.col("delivery_date_local")) * 24 + F.col("hour_local"), 7)
     return rows.withColumn("value", F.col("da_price_point") + (noise - 0.5) * 80.0)
 
@@ -345,7 +345,7 @@ def day_number_sql(day: str) -> str:
 
 sql_view(
     "ensemble",
-    f"SELECT delivery_date_local, hour_local, da_price, s AS scenario_id, da_price_point + ({draw_sql('s', day_number_sql('delivery_date_local') + ' * 24 + hour_local', 7)} / {N.DRAW_PRIME}.0 - 0.5) * 80 AS value FROM points, range(50) AS r(s)",
+    f"SELECT delivery_date_local, hour_local, da_price, s AS scenario_id, da_price_point + ({draw_sql('s', day_number_sql('delivery_date_local') + ' * 24 + hour_local', 7)} / {N.DRAW_PRIME}.0 - 0.5) * 80 AS value FROM points, range(500) AS r(s)",
 )
 
 
@@ -414,12 +414,12 @@ def cross_target_summary(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "e31_dependence_audit", "pairs:i correlation_rmse:f correlation_max_abs_error:f",
-    f"""WITH smp AS (SELECT l.* EXCLUDE (source_day), s AS source_day FROM range(200) AS r(s) JOIN (SELECT *, dense_rank() OVER (ORDER BY source_day) - 1 AS pos FROM long_residuals) l ON l.pos = {draw_sql('s', '0', 3)} % (SELECT nullif(count(DISTINCT source_day), 0) FROM long_residuals)),
+    f"""WITH smp AS (SELECT l.* EXCLUDE (source_day), s AS source_day FROM range(500) AS r(s) JOIN (SELECT *, dense_rank() OVER (ORDER BY source_day) - 1 AS pos FROM long_residuals) l ON l.pos = {draw_sql('s', '0', 3)} % (SELECT nullif(count(DISTINCT source_day), 0) FROM long_residuals)),
       a AS ({_CORR_SQL.format(v='value', t='long_residuals')}), b AS ({_CORR_SQL.format(v='value', t='smp')})
       SELECT count(*) AS pairs, sqrt(avg((a.correlation - b.correlation) ^ 2)) AS correlation_rmse, max(abs(a.correlation - b.correlation)) AS correlation_max_abs_error FROM a JOIN b USING (variable_i, variable_j)""",
 )
 def dependence_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Correlations of 200 sampled days against the library's."""
+    """Correlations of 500 sampled days against the library's."""
     lib = S.settle(_long_residuals(S.residuals(pts(spark, path))))
     target = spark.range(1).select(F.lit("1970-01-01").cast("date").alias("anchor"))
     # the anchor lies after no library day, so positions are taken over the whole library
@@ -428,7 +428,7 @@ def dependence_audit(spark: SparkSession, path: str) -> DataFrame:
         F.col("_d").alias("source_day"), F.col("n_eligible").alias("pos")
     )
     total = days.agg(F.count(F.lit(1))).scalar()
-    draws = spark.range(200).select(F.col("id").alias("scenario_id")).withColumn("pos", N.draw_index(F.col("scenario_id"), F.lit(0), 3, total))
+    draws = spark.range(500).select(F.col("id").alias("scenario_id")).withColumn("pos", N.draw_index(F.col("scenario_id"), F.lit(0), 3, total))
     sampled = draws.join(positions, "pos").join(lib, "source_day").drop("source_day").withColumnRenamed("scenario_id", "source_day")
     return metrics.dependence_error(
         metrics.correlation_matrix(lib, "source_day", "variable", "value"), metrics.correlation_matrix(sampled, "source_day", "variable", "value")

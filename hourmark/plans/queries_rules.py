@@ -242,18 +242,18 @@ def common_complete_days(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "c16_coverage_reasons", "day:d status:s",
-    """WITH sp AS (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day),
+    """WITH sp AS (SELECT CAST(unnest(generate_series(min(valid_time_utc)::DATE - 2, max(valid_time_utc)::DATE + 3, INTERVAL 1 DAY)) AS DATE) AS day FROM pooled_hours),
         full_days AS (SELECT CAST(valid_time_utc AS DATE) AS day FROM pooled_hours GROUP BY 1 HAVING count(*) = 24),
         v AS (SELECT CAST(valid_time_utc AS DATE) AS day FROM site_hours WHERE site_id = 'view' GROUP BY 1 HAVING count(*) = 24), p AS (SELECT CAST(valid_time_utc AS DATE) AS day FROM site_hours WHERE site_id = 'purchase' GROUP BY 1 HAVING count(*) >= 23)
       SELECT day, CASE WHEN day NOT IN (SELECT day FROM full_days) THEN 'non_regular_day' WHEN day NOT IN (SELECT day FROM v) THEN 'missing_pv' WHEN day NOT IN (SELECT day FROM p) THEN 'missing_price' ELSE 'used' END AS status FROM sp""",
 )
 def coverage_reasons(spark: SparkSession, path: str) -> DataFrame:
-    """First missing reason of every calendar day."""
+    """First missing reason of every calendar day, from two days before the first reading to three after the last."""
     rows = S.settle(S.site_hours(spark, path).select("site_id", "valid_time_utc", F.to_date("valid_time_utc").alias("day")))
     hours = rows.groupBy("day").agg(
         F.count_distinct("valid_time_utc").alias("pooled"), F.count_if(F.col("site_id") == "view").alias("view"), F.count_if(F.col("site_id") == "purchase").alias("purchase")
     )
-    spine = spark.range(1).select(F.explode(F.sequence(F.lit("2023-12-30").cast("date"), F.lit("2024-02-02").cast("date"))).alias("day"))
+    spine = rows.agg(F.date_sub(F.min("day"), 2).alias("a"), F.date_add(F.max("day"), 3).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     return shaping.coverage_reasons(
         spine, "day",
         [("non_regular_day", hours.filter("pooled = 24")), ("missing_pv", hours.filter("view = 24")), ("missing_price", hours.filter("purchase >= 23"))],
@@ -286,14 +286,13 @@ def frozen_points(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "c19_site_contract", "rule:s violations:i",
-    """WITH e AS (SELECT * FROM site_hours WHERE site_id IN ('click', 'purchase', 'view'))
-      SELECT 'null_value' AS rule, count(*) FILTER (WHERE value IS NULL) AS violations FROM e UNION ALL SELECT 'unknown_site', 0 UNION ALL SELECT 'thin_hour', count(*) FILTER (WHERE n < 2) FROM e
+    """WITH e AS (SELECT * FROM site_hours)
+      SELECT 'null_value' AS rule, count(*) FILTER (WHERE value IS NULL) AS violations FROM e UNION ALL SELECT 'unknown_site', count(*) FILTER (WHERE site_id NOT IN ('click', 'purchase', 'view')) FROM e UNION ALL SELECT 'thin_hour', count(*) FILTER (WHERE n < 2) FROM e
       UNION ALL SELECT 'duplicate_site_id_valid_time_utc', count(*) FROM (SELECT 1 FROM e GROUP BY site_id, valid_time_utc HAVING count(*) > 1)""",
 )
 def site_contract(spark: SparkSession, path: str) -> DataFrame:
-    """Eligible sites only, no null target, enough readings, unique rows."""
+    """Rows of sites that are not eligible, null targets, thin hours, repeated rows: counted over all sites."""
     eligible = ["click", "purchase", "view"]
-    rows = S.readings(spark, path).filter(F.col("site_id").isin(eligible))
-    hourly = S.settle(rows.groupBy("site_id", F.date_trunc("hour", "ts").alias("valid_time_utc")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")))
+    hourly = S.settle(S.site_hours(spark, path))
     rules = {"null_value": F.col("value").isNull(), "unknown_site": ~F.col("site_id").isin(eligible), "thin_hour": F.col("n") < 2}
     return contracts.rule_counts(hourly, rules).unionByName(contracts.duplicate_count(hourly, ["site_id", "valid_time_utc"]))

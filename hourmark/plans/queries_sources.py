@@ -54,23 +54,23 @@ def _hour_arrays(fields: dict[str, F.Column]) -> F.Column:
 
 
 @query(
-    "a04_run_archive_json", "run_init_utc:t available_at_utc:t valid_time_utc:t forecast_value:f",
-    "SELECT run_init_utc, available_at_utc, valid_time_utc, forecast AS forecast_value FROM forecast_archive"
-    " WHERE location_id = 'view' AND hour(run_init_utc) <> 18",
+    "a04_run_archive_json", "location_id:s run_init_utc:t available_at_utc:t valid_time_utc:t forecast_value:f",
+    "SELECT location_id, run_init_utc, available_at_utc, valid_time_utc, forecast AS forecast_value FROM forecast_archive"
+    " WHERE hour(run_init_utc) <> 18",
 )
 def run_archive_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON record per run, unavailable runs skipped, hours inlined."""
+    """One JSON record per location and run, unavailable runs skipped, hours inlined."""
     out = S.scratch(spark)
-    runs = S.forecast_archive(spark, path).filter(F.col("location_id") == "view").groupBy("run_init_utc", "available_at_utc").agg(
+    runs = S.forecast_archive(spark, path).groupBy("location_id", "run_init_utc", "available_at_utc").agg(
         _hour_arrays({"time": _iso("valid_time_utc"), "value": F.col("forecast")}).alias("hourly")
     )
     runs.select(
-        _iso("run_init_utc").alias("run_init_utc"), _iso("available_at_utc").alias("available_at_utc"),
+        "location_id", _iso("run_init_utc").alias("run_init_utc"), _iso("available_at_utc").alias("available_at_utc"),
         F.when(F.hour("run_init_utc") == 18, "unavailable").otherwise("available").alias("status"),
         F.struct("hourly").alias("response"),
     ).write.json(out)
-    records = spark.read.schema(payloads.run_record_schema(["value"])).json(out)
-    return payloads.run_rows(records, ["value"], prefix="forecast_")
+    records = spark.read.schema(payloads.run_record_schema(["value"]).add("location_id", "string")).json(out)
+    return payloads.run_rows(records, ["value"], prefix="forecast_", keep=["location_id"])
 
 
 @query(
@@ -180,17 +180,19 @@ def missing_runs(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "a10_run_status_counts", "window_start:d window_end:d status:s runs:i",
-    """WITH s AS (SELECT d + to_hours(h) AS run FROM (SELECT unnest(generate_series(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 1 DAY)) AS d), (VALUES (0), (12)) AS r(h)),
-       c AS (SELECT run, CASE WHEN run IN (SELECT date_trunc('hour', ts) FROM events) THEN 'cached' ELSE 'missing' END AS status FROM s)
-       SELECT greatest(date_trunc('month', run)::DATE, DATE '2024-01-05') AS window_start, least(last_day(run::DATE), DATE '2024-02-10') AS window_end, status, count(*) AS runs
+    """WITH b AS (SELECT min(ts)::DATE + 4 AS first, max(ts)::DATE + 11 AS last FROM events), s AS (SELECT d + to_hours(h) AS run, first, last FROM (SELECT unnest(generate_series(first, last, INTERVAL 1 DAY)) AS d, first, last FROM b), (VALUES (0), (12)) AS r(h)),
+       c AS (SELECT run, first, last, CASE WHEN run IN (SELECT date_trunc('hour', ts) FROM events) THEN 'cached' ELSE 'missing' END AS status FROM s)
+       SELECT greatest(date_trunc('month', run)::DATE, first) AS window_start, least(last_day(run::DATE), last) AS window_end, status, count(*) AS runs
        FROM c GROUP BY ALL""",
 )
 def run_status_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Requested runs per calendar-month window and status."""
-    requested = sinks.requested_runs("2024-01-05", "2024-02-10", (0, 12), spark)
-    have = S.pooled_hours(spark, path).select(F.col("valid_time_utc").alias("run_init_utc"), F.lit("cached").alias("status"))
+    """Requested runs per calendar-month window and status, from the fifth day of the readings to eleven days after the last."""
+    hourly = S.settle(S.pooled_hours(spark, path).select("valid_time_utc"))
+    bounds = hourly.agg(F.date_add(F.to_date(F.min("valid_time_utc")), 4).cast("string"), F.date_add(F.to_date(F.max("valid_time_utc")), 11).cast("string")).first()
+    requested = sinks.requested_runs(bounds[0], bounds[1], (0, 12), spark)
+    have = hourly.select(F.col("valid_time_utc").alias("run_init_utc"), F.lit("cached").alias("status"))
     labelled = requested.join(have, "run_init_utc", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    windows = sinks.month_windows("2024-01-05", "2024-02-10", spark).withColumn("month", F.trunc("window_start", "month"))
+    windows = sinks.month_windows(bounds[0], bounds[1], spark).withColumn("month", F.trunc("window_start", "month"))
     monthly = labelled.withColumn("month", F.trunc(F.to_date("run_init_utc"), "month")).join(windows, "month")
     return monthly.groupBy("window_start", "window_end", "status").agg(F.count(F.lit(1)).alias("runs"))
 

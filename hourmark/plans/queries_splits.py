@@ -75,14 +75,18 @@ def rolling_rows(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "i04_expanding_months", "refit_month:d part:s rows:i value:f",
-    """WITH m AS (SELECT CAST(unnest(generate_series(DATE '1995-02-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS refit_month)
+    """WITH m AS (SELECT CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)) + INTERVAL 1 MONTH, date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS DATE) AS refit_month FROM orders)
       SELECT refit_month, CASE WHEN o_orderdate < refit_month THEN 'train' ELSE 'test' END AS part, count(*) AS rows, avg(o_totalprice / 1000) AS value FROM orders JOIN m ON o_orderdate < refit_month + INTERVAL 1 MONTH GROUP BY 1, 2""",
 )
 def expanding_months(spark: SparkSession, path: str) -> DataFrame:
-    """Refit every month on everything before it, test on the month."""
+    """Refit every month of the table but the first on everything before it, test on the month."""
     rows = S.table(spark, path, "orders", "o_orderdate", "o_totalprice").withColumn("day", F.to_date("o_orderdate"))
     daily = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice") / 1000.0).alias("s"))
-    parts = splits.expanding_months(daily, "day", "1995-02-01", "2001-08-01")
+    daily = S.settle(daily.dropna(subset=["day"]))
+    bounds = daily.agg(F.add_months(F.trunc(F.min("day"), "month"), 1).cast("string"), F.trunc(F.max("day"), "month").cast("string")).first()
+    if bounds[0] is None or bounds[0] > bounds[1]:
+        return daily.limit(0).select(F.col("day").alias("refit_month"), F.lit("").alias("part"), F.col("n").alias("rows"), F.col("s").alias("value"))
+    parts = splits.expanding_months(daily, "day", bounds[0], bounds[1])
     return parts.groupBy("refit_month", "part").agg(F.sum("n").alias("rows"), (F.sum("s") / F.sum("n")).alias("value"))
 
 

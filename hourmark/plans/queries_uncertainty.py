@@ -154,16 +154,23 @@ def sampling_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     return uncertainty.ordinal_diagnostics(uncertainty.ordinal_weights(points, library, DAY, BANDWIDTH, MIXTURE), DAY)
 
 
+sql_view(
+    "seasonal_draws",
+    f"""SELECT g.day, scenario_id, source_day FROM (SELECT day, s AS scenario_id, {draw_sql('s', day_number_sql('day'), 5)} / {N.DRAW_PRIME}.0 AS u FROM target_days, range({N_SCENARIOS}) AS r(s)) g JOIN (
+        SELECT day, source_day, sum(probability) OVER w AS cum, sum(probability) OVER w - probability AS prev, row_number() OVER (PARTITION BY day ORDER BY o DESC, source_day DESC) AS last
+        FROM (SELECT *, dayofyear(make_date(2000, month(source_day), day(source_day))) AS o FROM season_weights) WINDOW w AS (PARTITION BY day ORDER BY o, source_day ROWS UNBOUNDED PRECEDING)) c
+      ON c.day = g.day AND u >= prev AND (u < cum OR last = 1)""",
+)
+
+
 @query(
     "j05_weighted_sampling", f"{DAY}:d scenario_id:i source_day:d",
-    f"""WITH c AS (SELECT day, source_day, sum(probability) OVER w AS cum, sum(probability) OVER w - probability AS prev, row_number() OVER (PARTITION BY day ORDER BY o DESC, source_day DESC) AS last FROM (SELECT *, dayofyear(make_date(2000, month(source_day), day(source_day))) AS o FROM season_weights) WINDOW w AS (PARTITION BY day ORDER BY o, source_day ROWS UNBOUNDED PRECEDING)),
-      g AS (SELECT day, s AS scenario_id, {draw_sql('s', day_number_sql('day'), 5)} / {N.DRAW_PRIME}.0 AS u FROM target_days, range(60) AS r(s))
-      SELECT g.day AS delivery_date_local, scenario_id, source_day FROM g JOIN c ON c.day = g.day AND u >= prev AND (u < cum OR last = 1)""",
+    "SELECT day AS delivery_date_local, scenario_id, source_day FROM seasonal_draws",
 )
 def weighted_sampling(spark: SparkSession, path: str) -> DataFrame:
     """Draws with replacement by seasonal probability: the ordinal, then one of its days."""
     points, library = _inputs(spark, path)
-    return uncertainty.sample_ordinals(uncertainty.ordinal_weights(points, library, DAY, BANDWIDTH, MIXTURE), library, DAY, 60, 5)
+    return uncertainty.sample_ordinals(uncertainty.ordinal_weights(points, library, DAY, BANDWIDTH, MIXTURE), library, DAY, N_SCENARIOS, 5)
 
 
 _ORDINAL = "dayofyear(make_date(2000, month({c}), day({c})))"
@@ -171,8 +178,8 @@ _APART = f"abs({_ORDINAL.format(c='v.source_day')} - {_ORDINAL.format(c='w.sourc
 _SCALE = "greatest(sqrt(greatest(sum(p * pv_residual ^ 2) / sum(p) - (sum(p * pv_residual) / sum(p)) ^ 2, 0)), 0.1 * stddev_pop(pv_residual), 1e-6)"
 
 
-@query(
-    "j06_standardised_residuals", f"{DAY}:d source_day:d {HOUR}:i standardised:f adjusted:f",
+sql_view(
+    "adjusted_pv",
     f"""WITH near AS (SELECT w.day, w.source_day, v.source_day AS other, exp(-0.5 * (least({_APART}, 366 - {_APART}) / {BANDWIDTH!r}) ^ 2) AS k FROM season_weights w JOIN season_weights v ON v.day = w.day),
       own AS (SELECT day, source_day, other, {1 - MIXTURE!r} * k / sum(k) OVER (PARTITION BY day, source_day) + {MIXTURE!r} / count(*) OVER (PARTITION BY day, source_day) AS p FROM near),
       sc AS (SELECT day, own.source_day, hour_local, {_SCALE} AS scale FROM own JOIN residuals r ON r.source_day = own.other GROUP BY 1, 2, 3),
@@ -181,12 +188,38 @@ _SCALE = "greatest(sqrt(greatest(sum(p * pv_residual ^ 2) / sum(p) - (sum(p * pv
       c AS (SELECT day, hour_local, sum(probability * z) AS centre FROM u GROUP BY 1, 2)
       SELECT u.day AS delivery_date_local, source_day, u.hour_local, z AS standardised, (z - centre) * ts.scale AS adjusted FROM u JOIN c USING (day, hour_local) JOIN ts USING (day, hour_local)""",
 )
+
+
+@query(
+    "j06_standardised_residuals", f"{DAY}:d source_day:d {HOUR}:i standardised:f adjusted:f",
+    "SELECT * FROM adjusted_pv",
+)
 def standardised_residuals(spark: SparkSession, path: str) -> DataFrame:
     """PV residuals divided by their own season's scale, centred and rescaled to the target's season, from days before the target."""
     points, library = _inputs(spark, path)
     return uncertainty.standardise_residuals(library, _weights(points, library), DAY, HOUR, "pv_residual", BANDWIDTH, MIXTURE)
 
 
+sql_view(
+    "seasonal_scenarios",
+    """SELECT p.delivery_date_local, d.scenario_id, p.hour_local, d.source_day, least(greatest(p.pv_kwh_point + a.adjusted, 0), 8) AS pv, p.da_price_point + r.price_residual - m.price_c AS price, p.spread_point + r.spread_residual - m.spread_c AS spread
+    FROM seasonal_draws d JOIN working_points p ON p.delivery_date_local = d.day JOIN residuals r ON r.source_day = d.source_day AND r.hour_local = p.hour_local
+    JOIN adjusted_pv a ON a.delivery_date_local = d.day AND a.source_day = d.source_day AND a.hour_local = p.hour_local
+    JOIN (SELECT day, hour_local, sum(probability * price_residual) AS price_c, sum(probability * spread_residual) AS spread_c FROM season_weights JOIN residuals USING (source_day) GROUP BY 1, 2) m ON m.day = d.day AND m.hour_local = p.hour_local""",
+)
+
+
+def composed(points: DataFrame, library: DataFrame) -> DataFrame:
+    """Three targets: seasonal draws, weighted centring, PV scaled from its own season to the target's and kept within the plant's range."""
+    return uncertainty.seasonal_scenarios(points, library, DAY, HOUR, S.WORKING, TARGETS, ["pv_residual"], N_SCENARIOS, 5, BANDWIDTH, MIXTURE, {"pv": (0.0, 8.0)})
+
+
+@query("j03_composed_three_target", SCENARIO_SPEC + " spread:f", "SELECT * FROM seasonal_scenarios")
+def composed_three_target(spark: SparkSession, path: str) -> DataFrame:
+    """Seasonal draws, standardisation and weighted centring in one generator."""
+    return composed(*_inputs(spark, path))
+
+
 @query("j07_copula_library", f"source_day:d {HOUR}:i target:s u:f", "SELECT source_day, hour_local, target, u FROM rank_library")
 def copula_library(spark: SparkSession, path: str) -> DataFrame:
     long = _long_residuals(S.settle(S.residuals(pts(spark, path))))
@@ -194,12 +227,13 @@ def copula_library(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _price_quantiles(points: DataFrame) -> DataFrame:
-    """Price and spread marginals of each target hour as arrays on the nine levels."""
+    """Price, spread and PV marginals of each target hour as arrays on the nine levels."""
     q = N.sorted_quantiles(list(S.Q_COLUMNS))
     rows = S.quantile_forecasts(points)
     marginals = F.array(
         F.struct(F.lit("price_residual").alias("target"), q.alias("q")),
         F.struct(F.lit("spread_residual").alias("target"), F.transform(q, lambda v: v / 4.0).alias("q")),
+        F.struct(F.lit("pv_residual").alias("target"), F.transform(q, lambda v: v / 10.0).alias("q")),
     )
     return rows.select(DAY, HOUR, F.inline(marginals))
 
@@ -207,16 +241,16 @@ def _price_quantiles(points: DataFrame) -> DataFrame:
 @query(
     "j08_copula_sampling", f"{DAY}:d scenario_id:i {HOUR}:i target:s source_day:d u:f value:f",
     f"""WITH q AS (SELECT f.delivery_date_local, f.hour_local, list_sort([{', '.join(S.Q_COLUMNS)}]) AS q FROM quantile_forecasts f JOIN working_points USING (delivery_date_local, hour_local)),
-      s AS (SELECT d.day AS delivery_date_local, d.scenario_id, k.hour_local, k.target, d.source_day, k.u, CASE WHEN k.target = 'price_residual' THEN q.q ELSE list_transform(q.q, lambda z: z / 4) END AS qq
-        FROM draws d JOIN rank_library k ON k.source_day = d.source_day AND k.target <> 'pv_residual' JOIN q ON q.delivery_date_local = d.day AND q.hour_local = k.hour_local)
-      SELECT delivery_date_local, scenario_id, hour_local, target, source_day, u, CASE WHEN target = 'spread_residual' THEN greatest({inverse_sql('u', 'qq')}, -10) ELSE {inverse_sql('u', 'qq')} END AS value FROM s""",
+      s AS (SELECT d.day AS delivery_date_local, d.scenario_id, k.hour_local, k.target, d.source_day, k.u, CASE k.target WHEN 'price_residual' THEN q.q WHEN 'pv_residual' THEN list_transform(q.q, lambda z: z / 10) ELSE list_transform(q.q, lambda z: z / 4) END AS qq
+        FROM draws d JOIN rank_library k ON k.source_day = d.source_day JOIN q ON q.delivery_date_local = d.day AND q.hour_local = k.hour_local)
+      SELECT delivery_date_local, scenario_id, hour_local, target, source_day, u, CASE target WHEN 'spread_residual' THEN greatest({inverse_sql('u', 'qq')}, -10) WHEN 'pv_residual' THEN least(greatest({inverse_sql('u', 'qq')}, 0), 8) ELSE {inverse_sql('u', 'qq')} END AS value FROM s""",
 )
 def copula_sampling(spark: SparkSession, path: str) -> DataFrame:
     """Joint ranks of one library day inverted through the target day's marginals."""
     points, library = _inputs(spark, path)
     ranks = S.settle(uncertainty.copula_ranks(_long_residuals(library), "source_day", HOUR, "target", "value"))
     draws = uncertainty.sample_source_days(points, library, DAY, N_SCENARIOS, SEED)
-    return uncertainty.copula_scenarios(draws, ranks, _price_quantiles(points), DAY, HOUR, "target", QUANTILE_LEVELS, {"spread_residual": (-10.0, None)})
+    return uncertainty.copula_scenarios(draws, ranks, _price_quantiles(points), DAY, HOUR, "target", QUANTILE_LEVELS, {"spread_residual": (-10.0, None), "pv_residual": (0.0, 8.0)})
 
 
 LEVELS = list(QUANTILE_LEVELS)
@@ -330,3 +364,26 @@ def scenario_evaluation(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_ACTUALS = {"pv": "pv_kwh", "price": "da_price", "spread": "spread"}
+_SCORE_SQL = """SELECT '{g}' AS generator, '{t}' AS target, count(*) AS rows, avg(abs(mean - y)) AS scenario_mean_mae, avg((y BETWEEN p10 AND p90)::INT) AS coverage, avg(p90 - p10) AS mean_width, avg(crps) AS crps FROM (
+  SELECT delivery_date_local, hour_local, max(y) AS y, avg(x) AS mean, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90, avg(abs(x - y)) - sum((2 * i - n + 1) * x) / (max(n) * max(n)) AS crps
+  FROM (SELECT s.delivery_date_local, s.hour_local, s.{t} AS x, p.{a} AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s.delivery_date_local, s.hour_local) AS n FROM {v} s JOIN working_points p USING (delivery_date_local, hour_local) WINDOW w AS (PARTITION BY s.delivery_date_local, s.hour_local ORDER BY s.{t})) GROUP BY 1, 2) HAVING count(*) > 0"""
+
+
+@query("j12_target_evaluation", "generator:s target:s rows:i scenario_mean_mae:f coverage:f mean_width:f crps:f",
+       " UNION ALL ".join(_SCORE_SQL.format(g=g, v=v, t=t, a=a) for g, v in (("raw", "raw_scenarios"), ("seasonal", "seasonal_scenarios")) for t, a in _ACTUALS.items()))
+def target_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """Bands, coverage and CRPS of every target under the plain and the composed generator."""
+    points, library = _inputs(spark, path)
+    draws = S.settle(uncertainty.sample_source_days(points, library, DAY, N_SCENARIOS, SEED))
+    raw = uncertainty.bootstrap_scenarios(points, library, draws, DAY, HOUR, TARGETS, False, {"pv": (0.0, 8.0)})
+    both = raw.withColumn("generator", F.lit("raw")).unionByName(composed(points, library).withColumn("generator", F.lit("seasonal")))
+    long = both.unpivot([DAY, HOUR, "generator"], list(TARGETS), "target", "x")
+    actual = points.select(DAY, HOUR, *[F.col(a).alias(t) for t, a in _ACTUALS.items()]).unpivot([DAY, HOUR], list(_ACTUALS), "target", "y")
+    rows = long.join(actual, [DAY, HOUR, "target"])
+    keys = ["generator", "target", DAY, HOUR]
+    scores = metrics.ensemble_crps(rows, keys, "x", "y").join(metrics.scenario_bands(rows, keys, "x"), keys)
+    return scores.groupBy("generator", "target").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(F.abs(F.col("mean") - F.col("y"))).alias("scenario_mean_mae"),
+        F.avg(F.col("y").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage"), F.avg(F.col("p90") - F.col("p10")).alias("mean_width"), F.avg("crps").alias("crps"),
+    )

@@ -43,13 +43,13 @@ def _hours(hourly: Column, variables: Sequence[str], rename: Mapping[str, str])
     )
 
 
-def run_rows(records: DataFrame, variables: Sequence[str], prefix: str = "weather_forecast_") -> DataFrame:
-    """Archive records of one location to one row per run and valid hour."""
+def run_rows(records: DataFrame, variables: Sequence[str], prefix: str = "weather_forecast_", keep: Sequence[str] = ()) -> DataFrame:
+    """Archive records of one location each to one row per run and valid hour; ``keep`` names columns to carry along."""
     rename = {v: prefix + v for v in variables}
     available = records.filter(F.coalesce("status", F.lit("available")) == "available")
-    rows = available.select("run_init_utc", "available_at_utc", F.inline(_hours(F.col("response.hourly"), variables, rename)))
+    rows = available.select(*keep, "run_init_utc", "available_at_utc", F.inline(_hours(F.col("response.hourly"), variables, rename)))
     return rows.select(
-        parse_utc(F.col("run_init_utc")).alias("run_init_utc"), parse_utc(F.col("available_at_utc")).alias("available_at_utc"),
+        *keep, parse_utc(F.col("run_init_utc")).alias("run_init_utc"), parse_utc(F.col("available_at_utc")).alias("available_at_utc"),
         parse_utc(F.col("time")).alias("valid_time_utc"), *rename.values(),
     )
 
