@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,58 @@ def common_stamps(frames: Sequence[DataFrame], ts: str) -> DataFrame:
     return out.distinct().agg(F.count(F.lit(1)).alias("common"), F.min(ts).alias("first_time"), F.max(ts).alias("last_time"))
 
 
+def file_manifest(spark: SparkSession, folder: str, ts: str, groups: int = 64) -> DataFrame:
+    """One row per Parquet file below ``folder``: size, time of change, SHA-256, rows and time bounds.
+
+    Bytes are hashed where they lie; rows and bounds are counted per file from the
+    one column ``ts``. ``part`` deals the files to the groups of the tree above.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    stored = files.select(F.col("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    counted = spark.read.option("recursiveFileLookup", "true").parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_time"), F.max(ts).alias("last_time")
+    )
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    both = stored.withColumn("path", plain("path")).join(counted.withColumn("path", plain("path")), "path", "left")
+    return both.withColumns({"rows": F.coalesce("rows", F.lit(0)), "part": F.pmod(F.xxhash64("path"), F.lit(groups)).cast("int")})
+
+
+def manifest_tree(files: DataFrame) -> DataFrame:
+    """Digests of the groups of a file manifest, and of all groups as part -1.
+
+    A group's digest covers its files by path, the top one the groups by number:
+    equal tops mean equal files, and unequal groups say where to look. Groups
+    hold a share of the files; their number is fixed, so the top stays small.
+    """
+    line = F.concat_ws(" ", "path", "sha256", F.col("rows").cast("string"))
+    groups = files.groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda g: g["digest"]), "\n")
+    top = groups.agg(F.lit(-1).alias("part"), F.sum("files").alias("files"), F.sum("rows").alias("rows"), F.sha2(joined, 256).alias("digest"))
+    return groups.unionByName(top)
+
+
+def changed_files(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
+    """``(path, change)`` of files that were altered, added or removed since the manifest.
+
+    The listing alone settles files whose size and time of change are as recorded;
+    only the others are read and hashed.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    listed = found.select(F.col("path").alias("_where"), plain("path").alias("path"), F.col("length"), F.col("modificationTime"))
+    both = listed.join(known.select("path", "bytes", "modified", "sha256"), "path", "full_outer")
+    touched = both.filter(F.col("_where").isNotNull() & F.col("bytes").isNotNull() & ((F.col("length") != F.col("bytes")) | (F.col("modificationTime") != F.col("modified"))))
+    suspects = [r["_where"] for r in touched.select("_where").collect()]  # paths of touched files only
+    gone = both.filter(F.col("_where").isNull()).select("path", F.lit("removed").alias("change"))
+    new = both.filter(F.col("bytes").isNull()).select("path", F.lit("added").alias("change"))
+    out = gone.unionByName(new)
+    if suspects:
+        again = spark.read.format("binaryFile").load(suspects).select(plain("path").alias("path"), F.sha2("content", 256).alias("now"))
+        altered = again.join(known.select("path", "sha256"), "path").filter("now <> sha256")
+        out = out.unionByName(altered.select("path", F.lit("altered").alias("change")))
+    return out
+
+
 def manifest(df: DataFrame, ts: str, name: str) -> DataFrame:
     """Lineage row: rows, columns, time bounds and an order-free content hash."""
     columns = sorted(df.columns)

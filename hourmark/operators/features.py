@@ -35,6 +35,18 @@ def hour_lags(
     return df.join(shifted, [*keys, ts], "left")
 
 
+def clock_lags(table: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], days: Sequence[int], names: str = "{value}_lag_{day}d") -> DataFrame:
+    """Values of the same clock hour some days back, from a table stored by ``save_clock_table``.
+
+    The series of one clock hour has one row per day; an exact range of elapsed
+    seconds picks the lag, so a gap yields null. On the stored buckets neither an
+    exchange nor a join is needed.
+    """
+    series = Window.partitionBy(*keys, "clock_hour").orderBy(F.unix_seconds(ts))
+    exact = lambda k: series.rangeBetween(-k * 86400, -k * 86400)
+    return table.select("*", *[F.first(v).over(exact(k)).alias(names.format(value=v, day=k)) for v in values for k in days])
+
+
 def same_clock_history(
     targets: DataFrame,
     history: DataFrame,

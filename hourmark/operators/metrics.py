@@ -182,13 +182,16 @@ def residual_diagnostics(df: DataFrame, groups: Sequence[str], residual: str) ->
 def correlation_matrix(df: DataFrame, day: str, variable: str, value: str) -> DataFrame:
     """Pearson correlation of every ordered variable pair over common days.
 
-    Long form, joined on the day: variables per day are a fixed label set
-    (hours times targets), so the pairs per day are bounded. Upper triangle is
-    computed and mirrored.
+    A day becomes one vector; its outer product (the upper triangle, a block per
+    variable) is summed over the days with partial aggregation, so no
+    row is joined. Variables are a fixed label set (hours times targets), which
+    bounds a vector. The lower triangle is mirrored.
     """
-    left = df.select(day, F.col(variable).alias("variable_i"), F.col(value).alias("_x"))
-    right = df.select(day, F.col(variable).alias("variable_j"), F.col(value).alias("_y"))
-    pairs = left.join(right, day).filter(F.col("variable_i") <= F.col("variable_j"))
+    vectors = df.groupBy(day).agg(F.sort_array(F.collect_list(F.struct(F.col(variable).alias("v"), F.col(value).alias("x")))).alias("_d"))
+    place = F.sequence(F.lit(1), F.size("_d"))
+    block = F.transform(place, lambda i: F.struct(F.element_at("_d", i).alias("a"), F.slice("_d", i, F.size("_d")).alias("b")))
+    rows = vectors.select(F.explode(block).alias("_k")).select("_k.a", F.explode("_k.b").alias("b"))
+    pairs = rows.select(F.col("a.v").alias("variable_i"), F.col("b.v").alias("variable_j"), F.col("a.x").alias("_x"), F.col("b.x").alias("_y"))
     upper = pairs.groupBy("variable_i", "variable_j").agg(F.corr("_x", "_y").alias("correlation"), F.count(F.lit(1)).alias("days"))
     mirrored = upper.filter(F.col("variable_i") != F.col("variable_j")).select(
         F.col("variable_j").alias("variable_i"), F.col("variable_i").alias("variable_j"), "correlation", "days"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourmark.functions.calendar import hours
-from hourmark.operators import audit, contracts
+from hourmark.operators import audit, contracts, features
 from hourmark.operators.pointintime import run_schedule
 from hourmark.plans import series as S
 from hourmark.plans.catalog import query
@@ -235,6 +237,29 @@ def sql_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.sql("SELECT site_id, count(*) AS hours, max(value) AS peak FROM hourmark_site_hours GROUP BY site_id")
 
 
+@query(
+    "a14_bucketed_lags", "site_id:s valid_time_utc:t value:f value_lag_1d:f value_lag_7d:f value_lag_14d:f",
+    "SELECT s.site_id, s.valid_time_utc, s.value, " + ", ".join(f"l{k}.value AS value_lag_{k}d" for k in (1, 7, 14)) + " FROM site_hours s "
+    + " ".join(f"LEFT JOIN site_hours l{k} ON l{k}.site_id = s.site_id AND l{k}.valid_time_utc = s.valid_time_utc - INTERVAL {k} DAY" for k in (1, 7, 14)),
+)
+def bucketed_lags(spark: SparkSession, path: str) -> DataFrame:
+    """The hourly series stored as a table bucketed by site and clock hour; its daily lags need no exchange."""
+    name = f"hourmark_hours_{uuid.uuid4().hex}"
+    stored = sinks.save_clock_table(S.site_hours(spark, path), name, ["site_id"], "valid_time_utc", 8, S.scratch(spark))
+    return features.clock_lags(stored, ["site_id"], "valid_time_utc", ["value"], [1, 7, 14])
+
+
+@query(
+    "a15_file_manifest", "part:i files:i rows:i",
+    "SELECT -1 AS part, count(DISTINCT CAST(valid_time_utc AS DATE)) AS files, count(*) AS rows FROM site_hours",
+)
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The hourly series written as a file per day; the top of its manifest tree counts every file and row."""
+    out = S.scratch(spark)
+    S.site_hours(spark, path).withColumn("day", F.to_date("valid_time_utc")).repartition("day").write.partitionBy("day").parquet(out)
+    return audit.manifest_tree(audit.file_manifest(spark, out, "valid_time_utc")).filter("part = -1")
+
+
 @query(
     "a15_manifest", "dataset:s columns:i rows:i first_time:t last_time:t",
     "SELECT 'site_hours' AS dataset, 4 AS columns, count(*) AS rows, min(valid_time_utc) AS first_time, max(valid_time_utc) AS last_time FROM site_hours",

@@ -23,12 +23,24 @@ def register(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def save_table(df: DataFrame, name: str, buckets: int | None = None, keys: Sequence[str] = ()) -> None:
-    """Managed table; bucketing on the series key lets later lag joins skip the shuffle."""
-    writer = df.write.mode("overwrite").format("parquet")
+def save_table(df: DataFrame, name: str, buckets: int | None = None, keys: Sequence[str] = (), order: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Table in the session's catalogue, managed or below ``path``; read back, so plans see its buckets.
+
+    Bucketing on a key lets later joins and windows on it skip the shuffle. Each
+    bucket is one file, sorted by ``keys`` and ``order``.
+    """
+    writer = (df.repartition(buckets, *keys) if buckets else df).write.mode("overwrite").format("parquet")
     if buckets:
-        writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+        writer = writer.bucketBy(buckets, *keys).sortBy(*keys, *order)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def save_clock_table(df: DataFrame, name: str, keys: Sequence[str], ts: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Hourly series bucketed by key and clock hour: lags of whole days stay within a bucket."""
+    return save_table(df.withColumn("clock_hour", F.hour(ts)), name, buckets, [*keys, "clock_hour"], [ts], path)
 
 
 def compact_archive(rows: DataFrame, path: str, keys: Sequence[str] = ("run_init_utc", "valid_time_utc")) -> None:

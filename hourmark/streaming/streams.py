@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_parquet_stream(spark: SparkSession, folder: str, like: str, pattern: str) -> DataFrame:
+def read_parquet_stream(spark: SparkSession, folder: str, like: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
     """File stream over ``folder`` restricted to ``pattern``; schema taken from one file's footer."""
     schema = spark.read.parquet(like).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def hourly_stream(readings: DataFrame, keys: list[str], ts: str, value: str, delay: str = "1 hour") -> DataFrame:
@@ -25,6 +31,61 @@ def deduplicated_stream(records: DataFrame, keys: list[str], ts: str, delay: str
     return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def keep_last_stream(records: DataFrame, keys: list[str], ts: str, delay: str = "1 hour", hold_seconds: int = 3600) -> DataFrame:
+    """Last record per key, the batch rule on a stream: emitted once no newer one can come.
+
+    State holds one record per open key, the newest by ``ts`` (ties: by the other
+    columns in order). It is handed on and forgotten when the watermark is
+    ``hold_seconds`` past it; a key seen again after that is a new one. Records
+    behind the watermark are dropped before they get here.
+    """
+    rest = [c for c in records.columns if c not in (*keys, ts)]
+    schema = T.StructType([f for f in records.schema if f.name in keys] + [records.schema[ts]] + [records.schema[c] for c in rest])
+    state_schema = T.StructType([records.schema[ts]] + [records.schema[c] for c in rest])
+    names = [ts, *rest]
+
+    def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            held = state.get
+            state.remove()
+            yield pd.DataFrame([[*key, *held]], columns=[*keys, *names])
+            return
+        best = tuple(state.get) if state.exists else None
+        for part in parts:
+            for row in part[names].itertuples(index=False, name=None):
+                row = tuple(None if v is None or v is pd.NaT or v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row)
+                if best is None or _order(row) > _order(best):
+                    best = row
+        state.update(best)
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(best[0]).timestamp() * 1000) + hold_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return records.withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(newest, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout).select(*records.columns)
+
+
+def _order(row: tuple) -> tuple:
+    return tuple((v is not None, v) if v is not None else (False, 0) for v in row)
+
+
+def joined_error_stream(
+    actuals: DataFrame, forecasts: DataFrame, keys: list[str], actual_ts: str, forecast_ts: str, actual: str, forecast: str,
+    apart: str = "1 hour", window: str = "1 day", delay: str = "1 hour",
+) -> DataFrame:
+    """Absolute forecast error per window from two streams: rows and mean.
+
+    Both sides have a watermark and stamps may lie ``apart`` at most, so either
+    side keeps only what a partner may still come for.
+    """
+    span = F.expr(f"INTERVAL {apart}")
+    left = actuals.withWatermark(actual_ts, delay).select(*keys, F.col(actual_ts).alias("_t"), F.col(actual).alias("_a"))
+    right = forecasts.withWatermark(forecast_ts, delay).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(forecast_ts).alias("_u"), F.col(forecast).alias("_f"))
+    same = (F.col("_u") >= F.col("_t") - span) & (F.col("_u") <= F.col("_t") + span)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    scored = left.join(right, same)
+    out = scored.groupBy(F.window("_t", window).alias("_w")).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs(F.col("_a") - F.col("_f"))).alias("mae"))
+    return out.select(F.col("_w.start").alias("window_start"), "rows", "mae")
+
+
 def error_stream(actuals: DataFrame, predictions: DataFrame, join: list[str], ts: str, actual: str, prediction: str,
                  window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Stream-static join of actuals to predictions, absolute error averaged per window."""
