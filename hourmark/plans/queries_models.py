@@ -36,7 +36,8 @@ def frame(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cut = F.lit("2024-01-20").cast("date")
+    """Earlier two thirds of the days against the rest."""
+    cut = S.cut_day(df, "delivery_date_local", (2, 3))
     return df.filter(F.col("delivery_date_local") <= cut), df.filter(F.col("delivery_date_local") > cut)
 
 

@@ -143,12 +143,12 @@ def blend_grid(spark: SparkSession, path: str) -> DataFrame:
 
 @query(
     "i16_standardised", "valid_time_utc:t z_price:f z_pv:f",
-    "WITH t AS (SELECT avg(da_price) AS m, stddev_pop(da_price) AS s, avg(pv_kwh) AS mp, stddev_pop(pv_kwh) AS sp FROM market WHERE delivery_date_local <= DATE '2024-01-20') SELECT valid_time_utc, (da_price - m) / s AS z_price, (pv_kwh - mp) / sp AS z_pv FROM market, t",
+    f"WITH t AS (SELECT avg(da_price) AS m, stddev_pop(da_price) AS s, avg(pv_kwh) AS mp, stddev_pop(pv_kwh) AS sp FROM market WHERE delivery_date_local <= {S.cut_day_sql('market', (2, 3))}) SELECT valid_time_utc, (da_price - m) / s AS z_price, (pv_kwh - mp) / sp AS z_pv FROM market, t",
 )
 def standardised(spark: SparkSession, path: str) -> DataFrame:
     """Scaling fitted on training rows only, applied to all."""
     hourly = S.settle(S.market(spark, path))
-    train = hourly.filter(F.col("delivery_date_local") <= "2024-01-20")
+    train = hourly.filter(F.col("delivery_date_local") <= S.cut_day(hourly, "delivery_date_local", (2, 3)))
     m = train.agg(F.struct(F.avg("da_price").alias("m"), F.stddev_pop("da_price").alias("s"), F.avg("pv_kwh").alias("mp"), F.stddev_pop("pv_kwh").alias("sp")).alias("x")).scalar()
     rows = hourly.withColumn("_m", m)
     return rows.select(

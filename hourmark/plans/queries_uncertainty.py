@@ -255,11 +255,12 @@ def copula_sampling(spark: SparkSession, path: str) -> DataFrame:
 
 LEVELS = list(QUANTILE_LEVELS)
 PAIRS = uncertainty.central_pairs(LEVELS)
+sql_view("fit_cut", f"SELECT {S.cut_day_sql('quantile_forecasts', (3, 5))} AS day")
 sql_view("sorted_quantiles", f"SELECT delivery_date_local, hour_local, hour_local // 6 AS grp, da_price, list_sort([{', '.join(S.Q_COLUMNS)}]) AS q FROM quantile_forecasts")
 sql_view(
     "conformal_scores",
     " UNION ALL ".join(
-        f"SELECT grp, {LEVELS[i]} AS lo, {LEVELS[j]} AS hi, {i} AS pair, greatest(q[{i + 1}] - da_price, da_price - q[{j + 1}], 0) AS score, (da_price BETWEEN q[{i + 1}] AND q[{j + 1}])::INT AS inside FROM sorted_quantiles WHERE delivery_date_local <= DATE '2024-01-18'"
+        f"SELECT grp, {LEVELS[i]} AS lo, {LEVELS[j]} AS hi, {i} AS pair, greatest(q[{i + 1}] - da_price, da_price - q[{j + 1}], 0) AS score, (da_price BETWEEN q[{i + 1}] AND q[{j + 1}])::INT AS inside FROM sorted_quantiles WHERE delivery_date_local <= (SELECT day FROM fit_cut)"
         for i, j in PAIRS
     ),
 )
@@ -273,7 +274,7 @@ sql_view(
 
 def _conformal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = S.settle(S.quantile_forecasts(pts(spark, path)).withColumn("grp", F.floor(F.col(HOUR) / 6)))
-    fitted = uncertainty.conformal_fit(rows.filter(F.col(DAY) <= "2024-01-18"), "grp", "da_price", list(S.Q_COLUMNS), LEVELS)
+    fitted = uncertainty.conformal_fit(rows.filter(F.col(DAY) <= S.cut_day(rows, DAY, (3, 5))), "grp", "da_price", list(S.Q_COLUMNS), LEVELS)
     return rows, fitted
 
 
@@ -298,20 +299,20 @@ sql_view(
 
 
 @query("j10_conformal_apply", f"{DAY}:d {HOUR}:i " + " ".join(f"{c}:f" for c in S.Q_COLUMNS),
-       "SELECT delivery_date_local, hour_local, " + ", ".join(f"least(greatest(z[{i + 1}], -60), 120) AS {c}" for i, c in enumerate(S.Q_COLUMNS)) + " FROM calibrated WHERE delivery_date_local > DATE '2024-01-18'")
+       "SELECT delivery_date_local, hour_local, " + ", ".join(f"least(greatest(z[{i + 1}], -60), 120) AS {c}" for i, c in enumerate(S.Q_COLUMNS)) + " FROM calibrated WHERE delivery_date_local > (SELECT day FROM fit_cut)")
 def conformal_apply(spark: SparkSession, path: str) -> DataFrame:
     """Widened, re-sorted, clipped quantiles of the later days."""
     rows, fitted = _conformal(spark, path)
-    return uncertainty.conformal_apply(rows.filter(F.col(DAY) > "2024-01-18"), fitted, "grp", list(S.Q_COLUMNS), LEVELS, -60.0, 120.0)
+    return uncertainty.conformal_apply(rows.filter(F.col(DAY) > S.cut_day(rows, DAY, (3, 5))), fitted, "grp", list(S.Q_COLUMNS), LEVELS, -60.0, 120.0)
 
 
 @query("j10_calibrated_coverage", "kind:s rows:i coverage:f mean_width:f",
-       "SELECT 'raw' AS kind, count(*) AS rows, avg((da_price BETWEEN q[2] AND q[8])::INT) AS coverage, avg(q[8] - q[2]) AS mean_width FROM sorted_quantiles WHERE delivery_date_local > DATE '2024-01-18'"
-       " UNION ALL SELECT 'calibrated', count(*), avg((da_price BETWEEN z[2] AND z[8])::INT), avg(z[8] - z[2]) FROM calibrated WHERE delivery_date_local > DATE '2024-01-18'")
+       "SELECT 'raw' AS kind, count(*) AS rows, avg((da_price BETWEEN q[2] AND q[8])::INT) AS coverage, avg(q[8] - q[2]) AS mean_width FROM sorted_quantiles WHERE delivery_date_local > (SELECT day FROM fit_cut)"
+       " UNION ALL SELECT 'calibrated', count(*), avg((da_price BETWEEN z[2] AND z[8])::INT), avg(z[8] - z[2]) FROM calibrated WHERE delivery_date_local > (SELECT day FROM fit_cut)")
 def calibrated_coverage(spark: SparkSession, path: str) -> DataFrame:
     """P10-P90 coverage before and after calibration."""
     rows, fitted = _conformal(spark, path)
-    later = rows.filter(F.col(DAY) > "2024-01-18")
+    later = rows.filter(F.col(DAY) > S.cut_day(rows, DAY, (3, 5)))
     repaired = later.withColumn("_q", N.sorted_quantiles(list(S.Q_COLUMNS))).withColumns({"price_q10": F.col("_q")[1], "price_q90": F.col("_q")[7]})
     calibrated = uncertainty.conformal_apply(later, S.settle(fitted), "grp", list(S.Q_COLUMNS), LEVELS)
     both = [

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourmark.functions.calendar import hours, local_date, local_hour
@@ -42,6 +42,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_day(df: DataFrame, day: str, share: tuple[int, int]) -> Column:
+    """The day that lies ``share`` (a fraction) of the way from the first to the last one, as a scalar."""
+    first, last = F.min(day), F.max(day)
+    return df.agg(F.date_add(first, F.floor(F.datediff(last, first) * F.lit(share[0]) / F.lit(share[1])).cast("int")).alias("cut")).scalar()
+
+
+def cut_day_sql(source: str, share: tuple[int, int], day: str = "delivery_date_local") -> str:
+    return f"(SELECT min({day}) + CAST((max({day}) - min({day})) * {share[0]} // {share[1]} AS INTEGER) FROM {source})"
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the shared checkpoint folder for written tables."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
