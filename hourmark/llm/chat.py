@@ -65,10 +65,12 @@ def render(role: str, text: str) -> str:
     return rendered
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
-    """``(conv_id, nth, formatted)``: every turn rendered, in conversation order.
+def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """``(conv_id, nth, formatted, mask_begin, mask_end)``: every turn rendered, in conversation order.
 
-    The formatted conversation is the concatenation of its parts by ``nth``. Rows
+    The formatted conversation is the concatenation of its parts by ``nth``. The loss
+    mask goes with it: of turns whose role is ``loss_role`` the code points ``mask_begin``
+    to ``mask_end`` of the whole conversation, their text as shown; null for others. Rows
     are ordered by turn, then role, then text (nulls first), so ties and repeated
     rows have one order and stay. A null role or text is empty; a null conv_id is
     a conversation of its own. An empty table gives no rows; other columns are not
@@ -77,27 +79,33 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, nth = object(), 0
+        current, nth, at = object(), 0, 0
         for batch in batches:
-            ids, numbers, out = batch.column(0).to_pylist(), [], []
+            ids, numbers, out, begins, ends = batch.column(0).to_pylist(), [], [], [], []
             for conv, role, text in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                nth = nth + 1 if conv == current else 0
+                nth, at = (nth + 1, at + len(out[-1] if out else last)) if conv == current else (0, 0)
                 current = conv
                 numbers.append(nth)
-                out.append(render(role or "", text or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(out, pa.string())], names=["conv_id", "nth", "formatted"])
+                out.append(last := render(role or "", text or ""))
+                shown = _TURN.match(last).span(2) if (role or "") == loss_role else None
+                begins.append(at + shown[0] if shown else None)
+                ends.append(at + shown[1] if shown else None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(out, pa.string()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())],
+                names=["conv_id", "nth", "formatted", "mask_begin", "mask_end"],
+            )
 
     named = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").alias("text"))
     dealt = named.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").transform(in_arrow, run, "conv_id bigint, nth bigint, formatted string")
+    return dealt.select("conv_id", "role", "text").transform(in_arrow, run, "conv_id bigint, nth bigint, formatted string, mask_begin bigint, mask_end bigint")
 
 
-def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
+def read_back(formatted: DataFrame) -> DataFrame:
     """Digests per conversation, parsed from the rendered parts of ``format_chats``.
 
     Expects the parts of a conversation together and in order, as that function
-    leaves them; keeps running hashes only. The loss mask covers the text of
-    turns whose role is ``loss_role``.
+    leaves them; keeps running hashes only. What counts for the loss is read off the
+    mask, not the roles. A conversation stays in one task, as its digests run along it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +118,7 @@ def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv, nth, part in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for conv, nth, part, begin, end in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if nth == 0:
                     if state:
                         done.append(row())
@@ -118,9 +126,10 @@ def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
                 for role, text in parse(part):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-                    if role == loss_role:
-                        state[2] += len(text)
-                        state[3].update(text.encode("utf-8", "replace"))
+                if begin is not None:
+                    masked = unescape(part[begin - state[4] : end - state[4]])
+                    state[2] += len(masked)
+                    state[3].update(masked.encode("utf-8", "replace"))
                 state[4] += len(part)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
