@@ -1,55 +1,5 @@
 """Corpus pipeline: quality rules, exact and near de-duplication, repeated passages, packing."""
 
-from __future__ import annotations
+from hourmark.llm.pipeline import ORACLE_SQL, STAGES, good_text, packed, run, without_copies, without_near_copies, without_passages
 
-from pyspark.sql import DataFrame, SparkSession
-
-from hourmark.llm import exactdedup, nearcopies, packing, quality, suffixes
-from hourmark.llm.common import shared_path, table
-
-
-def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return exactdedup.keep_first(docs)
-
-
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingle sets 0.8 or more alike) stays: that with the smallest id."""
-    return nearcopies.keep_one(docs)
-
-
-def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and passages of over 50 words that occur elsewhere too are cut out of the texts."""
-    return suffixes.without_repeats(docs, words=51)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining texts as pieces of token sequences."""
-    return packing.pack_documents(docs)
-
-
-STAGES = [
-    ("quality rules", good_text),
-    ("exact dedup", without_copies),
-    ("SimHash near-dedup", without_near_copies),
-    ("suffix-array dedup", without_passages),
-    ("packing", packed),
-]
-
-#: SQL states neither the quality model nor the tokens of the packed result.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = shared_path(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "good_text", "packed", "run", "without_copies", "without_near_copies", "without_passages"]
