@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -174,3 +175,46 @@ def test_loser_tree_merges_with_prefixes():
         got = list(tree)
         assert [g[1] for g in got] == sorted(x for r in runs for x in r)
         assert [g[2] for g in got[1:]] == [suffixes.common_prefix(a[1], b[1]) for a, b in zip(got, got[1:])]
+
+
+def test_passage_words_equal_brute_force(make_docs):
+    """Windows of 12 equal words, in copies, near copies, repeats within a text, and periodic texts."""
+    rng = random.Random(9)
+    words = lambda n: rng.choices(["a", "b", "cc", "Ä", "."], k=n)
+    passages = [words(30) for _ in range(4)]
+    texts = []
+    for _ in range(40):
+        parts = words(rng.randint(0, 20))
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            a, b = sorted(rng.sample(range(len(p) + 1), 2))
+            parts += p[a:b] + words(rng.randint(0, 15))
+        texts.append(rng.choice([" ", "\n", "  "]).join(parts))
+    texts += [texts[0], texts[1], texts[1] + " tail", "x " * 60, "x y " * 30, " ".join(passages[0] * 3), None, "", "short one"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[2])]
+    seen = Counter(tuple(w[i : i + 12]) for _, t in rows if (w := (t or "").split()) for i in range(len(w) - 11))
+    want = []
+    for doc_id, t in rows:
+        w = (t or "").split()
+        covered = {i + k for i in range(len(w) - 11) if seen[tuple(w[i : i + 12])] > 1 for k in range(12)}
+        want.append((str(doc_id), len(covered)))
+    got = suffixes.repeat_report(make_docs(rows, "th,spans,h,x,y,n"), length=40, seed=12, words=12).collect()
+    assert sorted((str(r["doc_id"]), r["passage_words"]) for r in got) == sorted(want) and any(n for _, n in want)
+
+
+def test_the_directory_decides_what_is_found(make_docs, monkeypatch):
+    """Rows are looked up through the directory: without one of its buckets their groups are gone."""
+    docs = make_docs([(k, f"text {k % 150}") for k in range(300)])
+    whole = exactdedup.exact_groups(docs, 20).collect()
+    assert len(whole) == 300 and {r["group_size"] for r in whole} == {2} and sum(r["kept"] for r in whole) == 150
+    index, buckets = exactdedup.hash_index(docs, 20)
+    assert index.count() == 150 and buckets.count() > 4 and index.groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 20
+    plain = exactdedup.directory
+
+    def broken(keys, capacity):
+        found = plain(keys, capacity)
+        first = found.orderBy("depth", "prefix").first()
+        return found.where(f"NOT (depth = {first['depth']} AND prefix = {first['prefix']})")
+
+    monkeypatch.setattr(exactdedup, "directory", broken)
+    assert exactdedup.exact_groups(docs, 20).count() < 300
