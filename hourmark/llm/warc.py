@@ -26,6 +26,8 @@ from hourmark.llm.common import arrow_rows, in_arrow, shared_path
 DICTIONARY_FRAME, PLAIN_FRAME = 0x184D2A5D, 0x184D2A50
 #: Closes a row; the writer's line feed is the frame's content.
 LINE_FRAME = struct.pack("<II", PLAIN_FRAME, 1)
+#: Bytes after which a task begins a new archive.
+ARCHIVE_BYTES = 256 << 20
 #: Records buffered to build a dictionary, their bytes, and the dictionary's size.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 4 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -111,6 +113,26 @@ def pack_rows(records: Iterator[bytes], level: int = 6) -> Iterator[bytes]:
         yield from (compressor.compress(r) + LINE_FRAME for r in held)
 
 
+def rolled_rows(records: Iterator[bytes], most: int) -> Iterator[tuple[int, int, bytes]]:
+    """(archive, place, row) of as many archives as it takes: a new one, with a dictionary of its own, once one has ``most`` bytes."""
+    archive, ahead = 0, next(records, None)
+    while ahead is not None:
+        size = 0
+
+        def some() -> Iterator[bytes]:
+            record = ahead
+            while record is not None:
+                yield record
+                if size >= most:
+                    return
+                record = next(records, None)
+
+        for place, row in enumerate(pack_rows(some())):
+            size += len(row)
+            yield archive, place, row
+        archive, ahead = archive + 1, next(records, None)
+
+
 def _frame_end(data: memoryview, at: int) -> int:
     """Where the Zstandard frame at ``at`` ends: its header, blocks and checksum."""
     end = at + zstandard.frame_header_size(data[at : at + 18])
@@ -138,9 +160,12 @@ def unpack(archive: bytes) -> Iterator[bytes]:
         at = end
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record per row of ``pages(page_id, url, html)`` to archives below ``path``.
 
+    A task begins a new archive once one has ``archive_bytes``, so a file stays small
+    enough to be read as one value, however many pages a task has.
+
     Of the records with equal payloads of ``least_bytes`` or more, that with the
     largest page_id is a response and the others revisit it; rows tied at that id
     are all responses. Shorter payloads are all responses. A null html is an empty
@@ -163,17 +188,19 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                         revisit = latest_id is not None and page_id != latest_id
                         yield make_record(page_id, url, html.encode("utf-8", "replace"), latest_id, revisit)
 
+        kinds, names = [pa.int32(), pa.int64(), pa.binary()], ["archive", "place", "frame"]
         held, size = [], 0
-        for row in pack_rows(records()):
+        for row in rolled_rows(records(), archive_bytes):
             held.append(row)
-            size += len(row)
+            size += len(row[2])
             if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
-    placed.transform(in_arrow, pack, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    frames = placed.transform(in_arrow, pack, "archive int, place bigint, frame binary").sortWithinPartitions("archive", "place")
+    frames.select(F.col("frame").cast("string").alias("value"), "archive").write.partitionBy("archive").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import glob
 import hashlib
+import os
 import random
 import zlib
 
@@ -40,11 +41,31 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_and_read(df.where("page_id < 0")).count() == 0
 
 
+def test_archives_roll_by_bytes(spark, monkeypatch):
+    rng = random.Random(5)
+    records = ["".join(rng.choices("abcdefghij <>", k=4000)).encode() for _ in range(120)]
+    monkeypatch.setattr(warc, "SAMPLE_RECORDS", 10)
+    found = {}
+    for archive, place, row in warc.rolled_rows(iter(records), 50_000):
+        assert place == len(found.setdefault(archive, []))
+        found[archive].append(row)
+    assert list(found) == list(range(len(found))) and len(found) > 3
+    whole = [b"".join(r + b"\n" for r in found[k]) for k in found]  # the text writer ends rows so
+    assert [r for data in whole for r in warc.unpack(data)] == records and max(map(len, whole)) < 50_000 + 40_000 + warc.DICTIONARY_BYTES
+    assert list(warc.rolled_rows(iter([]), 10)) == [] and [r[0] for r in warc.rolled_rows(iter(records[:1]), 1)] == [0, 0]
+    # many archives of a task are read as one
+    path = shared_path(spark, "rolled")
+    df = spark.createDataFrame([(k, f"http://h/{k}", records[k % 120].decode() + str(k)) for k in range(2500)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(df, path, archive_bytes=50_000)
+    assert len(glob.glob(path.removeprefix("file://") + "/archive=*/part-*")) >= 3
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).select("page_id").collect()) == list(range(2500))
+
+
 def test_archive_is_a_zstd_stream(spark):
     path = shared_path(spark, "stream")
     df = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k} some words of a page</p>" * 20) for k in range(60)], "page_id bigint, url string, html string").coalesce(1)
     warc.write_archives(df, path)
-    data = [open(f, "rb").read() for f in glob.glob(path.removeprefix("file://") + "/part-*")]
+    data = [open(f, "rb").read() for f in glob.glob(path.removeprefix("file://") + "/archive=*/part-*")]
     data = next(d for d in data if d)
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME
     words = data[8 : 8 + int.from_bytes(data[4:8], "little")]
