@@ -94,7 +94,7 @@ def last_six_stats(spark: SparkSession, path: str) -> DataFrame:
     f"""SELECT a.as_of_utc, list_median(a.w) AS p_median, list_aggregate(a.w, 'quantile_cont', 0.75) - list_aggregate(a.w, 'quantile_cont', 0.25) AS p_iqr,
       (abs(w[2] - w[1]) + abs(w[3] - w[2]) + abs(w[4] - w[3]) + abs(w[5] - w[4]) + abs(w[6] - w[5])) / 5 AS p_abs_change_mean,
       (-2.5 * w[1] - 1.5 * w[2] - 0.5 * w[3] + 0.5 * w[4] + 1.5 * w[5] + 2.5 * w[6]) / 17.5 AS p_slope, w[6] - list_avg(w) AS p_last_minus_mean,
-      list_avg(w) / m7 AS ratio_d7, 1 AS ratio_d7_valid FROM ({_window_sql()}) a JOIN (SELECT as_of_utc, list_avg(w) AS m7 FROM ({_window_sql(7)})) b USING (as_of_utc)""",
+      list_avg(w) / m7 AS ratio_d7, (abs(m7) > 1e-8)::INT AS ratio_d7_valid FROM ({_window_sql()}) a JOIN (SELECT as_of_utc, list_avg(w) AS m7 FROM ({_window_sql(7)})) b USING (as_of_utc)""",
 )
 def enriched_last_six(spark: SparkSession, path: str) -> DataFrame:
     hourly = S.settle(S.market(spark, path))
