@@ -29,7 +29,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._stored_at = path
+    return kept
+
+
+def forget(*tables: DataFrame, shuffles: bool = True) -> None:
+    """Remove the folders of ``stored`` tables that nothing reads any more, and the shuffles of what wrote them.
+
+    Only for tables whose readers are stored themselves. The shuffle files go when
+    the driver drops its references to their plans, hence the collection; ``shuffles`` off leaves them to Spark.
+    """
+    spark = tables[0].sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for t in tables:
+        where = jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        where.getFileSystem(conf).delete(where, True)
+    if shuffles:
+        jvm.System.gc()
+
+
+def repeated_rows(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, counts)``: the rows of a stored table whose keys occur more than once, and ``counts(keys, n)`` of those keys.
+
+    A key with at least a fourth of a task's share of all rows is hot; there are at most four
+    per task, whatever the data, so their list is broadcast and their rows stay where
+    they are. All others are joined by key. Null keys are left out.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name)
+    share = rows.count() / (4 * tasks)
+    hot = F.broadcast(counted.where(F.col("n") >= share).select(*keys))
+    rest = counted.where(F.col("n") < share).select(*keys)
+    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(rest, keys, "left_semi")), counted
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -101,6 +133,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         # a star forest in which no node points to a node that points on is final
         moving = after.alias("x").join(after.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").limit(1).count()
         several = after.groupBy("u").count().where("count > 1").limit(1).count() if not moving else 1
+        forget(now, shuffles=False)
         now = after
         if not moving and not several:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

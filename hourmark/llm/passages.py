@@ -1,8 +1,11 @@
 """Passages of equal words that occur more than once, whatever blanks stand between the words.
 
 In every window of ``words`` words the ``SEED`` words with the smallest hash are its
-anchor, so equal windows have equal anchors. Windows whose anchor occurs once in all
-documents drop out; the others are counted by a 128-bit hash of their words.
+anchor, so equal windows have equal anchors; the windows around one anchor form a
+block. Blocks whose anchor occurs once in all documents drop out. Of the others,
+blocks found twice as a whole are repeated as a whole and need no closer look;
+one copy of each different block of an anchor is taken apart, and its windows are
+counted. Blocks and windows are equal when a 128-bit hash of their words is.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.common import in_arrow, stored
+from hourmark.llm.common import forget, in_arrow, repeated_rows, stored
 from hourmark.llm.suffixes import _DOWN, _FACTOR, _INVERSE, _UP, _powers, window_minima
 
 WORDS, SEED = 51, 8
@@ -54,49 +57,94 @@ def anchors_of(data: bytes, words: int = WORDS, seed: int = SEED) -> tuple[np.nd
     return h[anchor[new]], new, np.append(new[1:], len(anchor)) - 1
 
 
-def _anchors(docs: DataFrame, words: int) -> DataFrame:
+def _hash_pair(words: bytes) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(words)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+def _blocks(docs: DataFrame, words: int) -> DataFrame:
+    """Every block: its anchor's hash, two hashes of its words, first and last window, first byte and the byte after the last."""
+    names = ["doc_id", "th", "h", "x", "y", "a", "b", "begin", "end"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                found = [anchors_of(t.encode("utf-8", "replace"), words) for t in part.column(2).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                h, a, b = (np.concatenate([f[i] for f in found]) for i in range(3))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(h.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
-                    names=["doc_id", "th", "h", "a", "b"],
-                )
-
-    return docs.select("doc_id", "th", "text").transform(in_arrow, run, "doc_id bigint, th bigint, h bigint, a int, b int")
+                owner, columns = [], [[] for _ in names[2:]]
+                for n, text in enumerate(part.column(2).to_pylist()):
+                    data = text.encode("utf-8", "replace")
+                    h, a, b = anchors_of(data, words)
+                    if not len(h):
+                        continue
+                    begins, ends = word_bounds(data)
+                    flat = b" ".join(data.split())
+                    stop = np.cumsum(ends - begins + 1) - 1
+                    start = stop - (ends - begins)
+                    pairs = [_hash_pair(flat[u:v]) for u, v in zip(start[a].tolist(), stop[b + words - 1].tolist())]
+                    owner += [n] * len(h)
+                    for column, values in zip(columns, (h.view(np.int64).tolist(), *zip(*pairs), a.tolist(), b.tolist(), begins[a].tolist(), ends[b + words - 1].tolist())):
+                        column += values
+                rows = pa.array(owner, pa.int64())
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=names)
+
+    return docs.select("doc_id", "th", "text").transform(in_arrow, run, "doc_id bigint, th bigint, h bigint, x bigint, y bigint, a int, b int, begin int, end int")
 
 
 def _windows(texts: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, th, x, y, begin, end)``: the listed windows with two hashes of their words and their bytes in the text."""
+    """``(doc_id, th, x, y, begin, end, at, lone)``: the windows of the listed blocks; lone where the block is found once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
         for batch in batches:
-            for doc_id, th, text, runs in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for doc_id, th, text, blocks in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = text.encode("utf-8", "replace")
                 begins, ends = (v.tolist() for v in word_bounds(data))
                 flat = b" ".join(data.split())
                 stop = (np.cumsum(np.array(ends) - np.array(begins) + 1) - 1).tolist()
                 rows = []
-                for i in sorted({i for r in runs for i in range(r["a"], r["b"] + 1)}):
-                    digest = xxhash.xxh3_128_digest(flat[stop[i - 1] + 1 if i else 0 : stop[i + words - 1]])
-                    rows.append((doc_id, th, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), begins[i], ends[i + words - 1]))
+                for block in blocks:
+                    for i in range(block["a"], block["b"] + 1):
+                        pair = _hash_pair(flat[stop[i - 1] + 1 if i else 0 : stop[i + words - 1]])
+                        rows.append((doc_id, th, *pair, begins[i], ends[i + words - 1], i, block["n"] == 1))
                 for k in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), kinds)], names=["doc_id", "th", "x", "y", "begin", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), kinds)], names=["doc_id", "th", "x", "y", "begin", "end", "at", "lone"])
 
-    return texts.transform(in_arrow, run, "doc_id bigint, th bigint, x bigint, y bigint, begin int, end int")
+    return texts.transform(in_arrow, run, "doc_id bigint, th bigint, x bigint, y bigint, begin int, end int, at int, lone boolean")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, th, spans)``: the byte ranges of ``docs(doc_id, th, text)`` that cover every window of ``words`` words found elsewhere too."""
-    anchors = stored(_anchors(docs, words), "word-anchors")
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    runs = anchors.join(twice, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "runs")
-    texts = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("doc_id", "th", "text", "runs")
+    """``(doc_id, th, spans)``: what covers the windows of ``words`` words of ``docs(doc_id, th, text)`` that are found elsewhere too.
+
+    A span has its bytes (``begin`` to ``end``) and its words (``at`` to ``upto``); spans may overlap.
+    """
+    every = stored(_blocks(docs, words), "word-blocks")
+    chosen, seeds = repeated_rows(every, ["h"], "word-seeds")
+    blocks = stored(chosen, "repeated-seeds")
+    forget(every, seeds)
+    different = stored(blocks.groupBy("h", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "a", "b")).alias("r")), "different-blocks")
+    several, seeds = repeated_rows(different, ["h"], "several-blocks")
+    listed = several.groupBy(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th")).agg(F.collect_list(F.struct("r.a", "r.b", "n")).alias("blocks"))
+    texts = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("doc_id", "th", "text", "blocks")
+    # rows equal in doc_id and text give their windows twice, but none of those is lone
     windows = stored(_windows(texts, words), "word-windows")
-    again = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-    return windows.join(again, ["x", "y"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("begin"), F.col("end"))).alias("spans"))
+    del texts, listed, several
+    forget(different, seeds)
+    again, windowed = repeated_rows(windows, ["x", "y"], "window-counts")
+    copied, counted = repeated_rows(blocks, ["h", "x", "y"], "block-counts")
+    single = again.where("lone").select("doc_id", "th", F.struct("begin", "end", "at", (F.col("at") + words).alias("upto")).alias("s"))
+    whole = copied.select("doc_id", "th", F.struct("begin", "end", F.col("a").alias("at"), (F.col("b") + words).alias("upto")).alias("s"))
+    spans = stored(single.unionByName(whole).groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans")), "passage-spans")
+    forget(windows, windowed, blocks, counted)
+    return spans
+
+
+def covered_words(passages: DataFrame) -> DataFrame:
+    """``(doc_id, th, passage_words)``: words of each text that lie in a span of ``repeated_passages``."""
+    ranges = F.array_sort(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["upto"].alias("upto"))))
+    begin = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("until"))
+    # each range adds what reaches beyond those before it
+    total = F.aggregate(ranges, begin, lambda acc, s: F.struct(
+        (acc["n"] + F.greatest(F.lit(0), s["upto"] - F.greatest(s["at"], acc["until"]))).cast("bigint").alias("n"), F.greatest(acc["until"], s["upto"]).alias("until")
+    ))["n"]
+    return passages.select("doc_id", "th", total.alias("passage_words"))

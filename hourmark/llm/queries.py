@@ -40,8 +40,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the strings of 400 bytes that occur elsewhere too."""
-    return suffixes.repeat_report(table(spark, sf_dir, "documents"))
+    """Every document without the strings of 400 bytes that occur elsewhere too, and its words in repeated passages of over 50."""
+    return suffixes.repeat_report(table(spark, sf_dir, "documents"), words=51)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

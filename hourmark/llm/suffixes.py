@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.common import in_arrow, stored
+from hourmark.llm.common import forget, in_arrow, repeated_rows, stored
 
 LENGTH, SEED = 400, 128
 #: Bytes of text anchored together; positions fit 20 bits of the sort key.
@@ -251,12 +251,6 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return docs.transform(in_arrow, run, "doc_id bigint, th bigint, h bigint, bh bigint, a int, b int, p int")
 
 
-def _repeated(anchors: DataFrame) -> DataFrame:
-    """The blocks whose seed occurs more than once."""
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return anchors.join(twice, "h")
-
-
 def _with_blocks(texts: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each text with the lists of its blocks; texts without one drop out."""
     lists = blocks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "bh", "a", "b", "p")).alias("blocks")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "blocks")
@@ -380,20 +374,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_
     ``length`` bytes; ranges may overlap.
     """
     anchors = stored(_anchors(docs, length, seed), "anchors")
-    repeated = stored(_repeated(anchors), "blocks")
+    chosen, counted = repeated_rows(anchors, ["h"], "seeds")  # blocks whose seed occurs more than once
+    repeated = stored(chosen, "blocks")
+    forget(anchors, counted)
     texts = stored(_with_blocks(docs, repeated).select("doc_id", "th", "text"), "texts")
     # a seed with very many different blocks would meet in one task: its windows are dealt one by one
     hot = stored(repeated.groupBy("h").agg(F.approx_count_distinct("bh").alias("n")).where(F.col("n") > hot_seed).select("h"), "hot")
     if hot.limit(1).count():
-        single = _repeated(stored(_single_windows(texts, repeated.join(hot, "h", "left_semi"), length), "windows"))
-        repeated = stored(repeated.join(hot, "h", "left_anti").unionByName(single), "refined")
+        windows = stored(_single_windows(texts, repeated.join(hot, "h", "left_semi"), length), "windows")
+        single, counted = repeated_rows(windows, ["h"], "window-counts")
+        refined = stored(repeated.join(hot, "h", "left_anti").unionByName(single), "refined")
+        forget(repeated, windows, counted)
+        repeated = refined
     count = repeated.count()
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // OWNED))
     runs = _runs(_with_blocks(texts, repeated), buckets, length)
-    decided = runs.groupBy("bucket").applyInArrow(lambda table: _merged(table, length), "h bigint, bh bigint, first int, last int")
-    ranges = stored(decided, "ranges")
-    spans = repeated.join(ranges, ["h", "bh"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct((F.col("a") + F.col("first")).alias("begin"), (F.col("a") + F.col("last") + length).alias("end"))).alias("spans"))
-    return texts, stored(spans, "spans")
+    ranges = stored(runs.groupBy("bucket").applyInArrow(lambda table: _merged(table, length), "h bigint, bh bigint, first int, last int"), "ranges")
+    del runs
+    forget(hot)
+    spans = stored(repeated.join(ranges, ["h", "bh"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct((F.col("a") + F.col("first")).alias("begin"), (F.col("a") + F.col("last") + length).alias("end"))).alias("spans")), "spans")
+    forget(repeated, ranges)
+    return texts, spans
 
 
 def kept_ranges(spans: list[dict], size: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -420,12 +421,17 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed:
     With ``words``, passages of that many equal words are cut as well.
     """
     texts, spans = repeated_spans(_keyed(docs), length, seed, hot_seed)
+    held = texts
     if words:
         from hourmark.llm.passages import repeated_passages
 
         texts = _keyed(docs)
-        both = spans.unionByName(repeated_passages(texts, words))
-        spans = stored(both.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "both-spans")
+        passages = repeated_passages(texts, words)
+        ranges = F.transform("spans", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end")))
+        both = spans.unionByName(passages.withColumn("spans", ranges))
+        joined = stored(both.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "both-spans")
+        forget(spans, passages, *([] if texts is held else [held]))
+        spans = joined
     lists = spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
     whole = texts.dropDuplicates(["doc_id", "th"]).join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("doc_id", "th", "text", "spans")
 
@@ -445,21 +451,30 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed:
     return whole.transform(in_arrow, run, "doc_id bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
-def repeat_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed: int = HOT_SEED) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def repeat_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot_seed: int = HOT_SEED, words: int = 0) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``words`` passage_words as well.
 
     A byte is removed when a string of ``length`` bytes that covers it starts
     anywhere else too, in the same text or another; strings are judged on the
-    input and never cross texts. A null or empty text has no bytes. Rows that
+    input and never cross texts. ``passage_words`` counts the words that lie in a
+    passage of ``words`` equal words found elsewhere too, however few bytes it has.
+    A null or empty text has no bytes and no words. Rows that
     repeat another's text lose all of it when it is long enough. Repeated rows
     and null doc_ids are kept, a row per input row. An empty table gives no rows.
     Other columns are not read. ``length`` exceeds ``seed``.
     """
     cut = cut_texts(docs, length, seed, hot_seed).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n_removed", "n_spans", "kept_sha256")
     own = _keyed(docs).select("doc_id", "th", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("whole"))
-    joined = own.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    joined = own.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").drop("__id", "__th")
     none = F.lit(0).cast("bigint")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    shown = ["doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")]
+    if words:
+        from hourmark.llm.passages import covered_words, repeated_passages
+
+        passages = covered_words(repeated_passages(_keyed(docs), words)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "passage_words")
+        joined = joined.join(passages, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+        shown.append(F.coalesce("passage_words", none).alias("passage_words"))
+    return joined.select(*shown)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, words: int = 0) -> DataFrame:
