@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Groups that the keys of ``keep_last_stream`` are dealt to; part of its state, so it stays as it is.
+BUCKETS = 256
+
 
 def read_parquet_stream(spark: SparkSession, folder: str, like: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
     """File stream over ``folder`` restricted to ``pattern``; schema taken from one file's footer."""
@@ -35,35 +42,59 @@ def keep_last_stream(records: DataFrame, keys: list[str], ts: str, delay: str =
     """Last record per key, the batch rule on a stream: emitted once no newer one can come.
 
     State holds one record per open key, the newest by ``ts`` (ties: by the other
-    columns in order). It is handed on and forgotten when the watermark is
+    columns in order, nulls first). It is handed on and forgotten when the watermark is
     ``hold_seconds`` past it; a key seen again after that is a new one. Records
-    behind the watermark are dropped before they get here.
+    behind the watermark are dropped before they get here, those without ``ts`` too.
+
+    Keys are dealt to ``BUCKETS`` groups by hash, and a group's open records are one
+    Arrow table: a call and a state entry per group, not per key.
     """
     rest = [c for c in records.columns if c not in (*keys, ts)]
-    schema = T.StructType([f for f in records.schema if f.name in keys] + [records.schema[ts]] + [records.schema[c] for c in rest])
-    state_schema = T.StructType([records.schema[ts]] + [records.schema[c] for c in rest])
-    names = [ts, *rest]
+    shown = [*keys, ts, *rest]
+    kinds = {c: records.schema[c].dataType for c in shown}
+    stamps = [c for c in shown if isinstance(kinds[c], T.TimestampType)]  # travel as microseconds, so no time zone touches them
+    schema = T.StructType([T.StructField(c, T.LongType() if c in stamps else kinds[c]) for c in shown])
+    arrow = to_arrow_schema(schema)
+    hold = hold_seconds * 1000
 
     def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            held = state.get
+        tables = [pa.ipc.open_stream(state.get[0]).read_all()] if state.exists else []
+        if not state.hasTimedOut:
+            tables += [pa.Table.from_pandas(part[shown], schema=arrow, preserve_index=False) for part in parts]
+        table = _last_of_key(pa.concat_tables(tables), keys, [ts, *rest])
+        due = np.floor_divide(table.column(ts).to_numpy(), 1000) + hold
+        closed = due < state.getCurrentWatermarkMs()
+        out, open_ = table.filter(pa.array(closed)), table.filter(pa.array(~closed))
+        if open_.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, arrow, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                writer.write_table(open_)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(int(due[~closed].min()), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([[*key, *held]], columns=[*keys, *names])
-            return
-        best = tuple(state.get) if state.exists else None
-        for part in parts:
-            for row in part[names].itertuples(index=False, name=None):
-                row = tuple(None if v is None or v is pd.NaT or v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row)
-                if best is None or _order(row) > _order(best):
-                    best = row
-        state.update(best)
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(best[0]).timestamp() * 1000) + hold_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return records.withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(newest, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout).select(*records.columns)
-
-
-def _order(row: tuple) -> tuple:
-    return tuple((v is not None, v) if v is not None else (False, 0) for v in row)
+        for k in range(0, out.num_rows, 10_000):
+            yield out.slice(k, 10_000).to_pandas(integer_object_nulls=True)
+
+    dealt = records.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(
+        F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"), F.col(ts).alias("_at"), *[F.unix_micros(c).alias(c) if c in stamps else F.col(c) for c in shown]
+    )
+    last = dealt.groupBy("_bucket").applyInPandasWithState(newest, schema, "open binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return last.select(*[F.timestamp_micros(c).alias(c) if c in stamps else F.col(c) for c in records.columns])
+
+
+def _last_of_key(table: pa.Table, keys: list[str], order: list[str]) -> pa.Table:
+    """The last row of each key in ascending ``order``; nulls come first, and null keys are equal."""
+    table = table.take(pc.sort_indices(table, [(c, "ascending") for c in (*keys, *order)], null_placement="at_start")).combine_chunks()
+    n = table.num_rows
+    last = np.ones(n, bool)
+    if n > 1:
+        last[:-1] = False
+        for c in keys:
+            here, after = table.column(c).slice(0, n - 1), table.column(c).slice(1)
+            other = pc.coalesce(pc.not_equal(here, after), pc.xor(pc.is_null(here), pc.is_null(after)))
+            last[:-1] |= other.to_numpy()
+    return table.filter(pa.array(last))
 
 
 def joined_error_stream(
