@@ -1,4 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filter join.
+"""Near copies: SimHash links by BK-trees, checked by exact Jaccard similarity, and a prefix-filter join for what lies further apart.
+
+SimHash fingerprints of all texts go through the BK-trees of ``simhash``; what they
+link and is ``4/5`` alike is one component. Fingerprints of texts that are 4/5 alike
+can differ in more bits than any radius that shards well, so the remaining links
+between these components are found by a prefix-filter join, and none is lost.
 
 Two sets are ``4/5`` alike only if each has at most a fifth of its shingles
 outside the other. So a text with more than a fifth of its shingles found in no
@@ -6,7 +11,7 @@ other text has no near copy and drops out at once; that is counted on the third
 of the shingles with the smallest hashes, which can only count too few. For the
 rest, shingles are ordered from rare to common; near copies share one of the
 first ``n - ceil(4n/5) + 1``, and at the first one they share, enough shingles must be
-left after it on either side. Texts are compared with one leader per shingle
+left after it on either side. Texts are compared with one leader each
 first, and then only across the components found so far, so a large group of
 near copies is not compared all with all. Every pair that could still join two
 components is compared, so the components are those of all pairs.
@@ -14,6 +19,7 @@ components is compared, so the components are those of all pairs.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourmark.llm import simhash
 from hourmark.llm.common import components, forget, in_arrow, stored
 
 SHINGLE = 5
+#: Bits in which linked fingerprints may differ.
+RADIUS = 4
 #: Leader rounds before all open pairs are listed, and open pairs per listed shingle at which that is done sooner.
 ROUNDS, OPEN = 10, 0.5
 #: A third of the hashes: those below it as unsigned numbers.
 THIRD = (1 << 64) // 3
+#: A sixth: pairs are compared on these hashes first.
+SIXTH = (1 << 64) // 6
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -44,15 +55,15 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter([digest(flat[a:b]) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64, len(starts)))
 
 
-def _listed(docs: DataFrame, size: int, below: int | None) -> DataFrame:
-    """``(node, n, h)``: a row per distinct shingle of a text (with a hash under ``below``), and the number of all of them."""
+def _low(docs: DataFrame, size: int) -> DataFrame:
+    """``(node, n, h)``: a row per distinct shingle of a text with a hash under ``THIRD``, and the number of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 sets = [shingles(t, size) for t in part.column(1).to_pylist()]
-                used = sets if below is None else [s[: np.searchsorted(s, np.uint64(below))] for s in sets]
+                used = [s[: np.searchsorted(s, np.uint64(THIRD))] for s in sets]
                 counts = [len(u) for u in used]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -65,11 +76,43 @@ def _listed(docs: DataFrame, size: int, below: int | None) -> DataFrame:
     return docs.select("node", "text").transform(in_arrow, run, "node bigint, n int, h bigint")
 
 
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """``(node, n, few, hs)``: the shingles of each text, their number, and those under ``SIXTH``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int64())
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                sets = [shingles(t, size) for t in part.column(1).to_pylist()]
+                few = [s[: np.searchsorted(s, np.uint64(SIXTH))].view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(few, lists), pa.array([s.view(np.int64) for s in sets], lists)], names=["node", "n", "few", "hs"]
+                )
+
+    return docs.select("node", "text").transform(in_arrow, run, "node bigint, n int, few array<bigint>, hs array<bigint>")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are at least 4/5 alike."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("hs").alias(f"h{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
-    return both.where(5 * F.col("common") >= 4 * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b")
+    """The pairs ``(a, b)`` whose sets are at least 4/5 alike; 4/9 of both sizes must be in common.
+
+    A sixth of the hashes is compared first: all others could be in common, so no pair is lost.
+    """
+    side = lambda k, c: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col(c).alias(f"h{k}"))
+    both = lambda of, c: of.join(side("a", c), "a").join(side("b", c), "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+    enough = lambda most: 9 * most >= 4 * (F.col("na") + F.col("nb"))
+    rest = F.least(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+    may = both(pairs, "few").where(enough(F.col("common") + rest)).select("a", "b")
+    return both(may, "hs").where(enough(F.col("common"))).select("a", "b")
+
+
+def simhash_pairs(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs ``(a, b)`` that join all rows of ``marks(node, fp)`` linked by fingerprints at most ``radius`` bits apart."""
+    lead = stored(marks.groupBy("fp").agg(F.min("node").alias("lead")), "fp-leaders")
+    links = simhash.near_links(lead.select("fp"), radius).distinct()
+    of = lambda k: lead.select(F.col("fp").alias(f"f{k}"), F.col("lead").alias(k))
+    across = links.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of("a"), "fa").join(of("b"), "fb").select("a", "b")
+    return marks.join(lead, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(across)
 
 
 def _may_link(n: Column, at: Column, m: Column, to: Column) -> Column:
@@ -82,23 +125,37 @@ def _may_link(n: Column, at: Column, m: Column, to: Column) -> Column:
 
 def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links ``(a, b)`` that join the same components as all pairs of ``docs(node, text)`` that are 4/5 alike."""
-    lone = _listed(docs, size, THIRD).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.first("node").alias("node"), F.first("n").alias("n")).where("df = 1")
+    named = docs.select(F.col("node").alias("doc_id"), "text")
+    prints = stored(simhash.fingerprints(named, size).select(F.col("doc_id").alias("node"), "fp"), "fingerprints")
+    lone = _low(docs, size).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.min("n").alias("n")).where("node = last")
     out = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"), F.max("n").alias("n")).where("5 * lone > n").select("node")
     lonely = stored(out, "lone")
+    twice = stored(prints.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node"), "repeated-rows")
+    marks = stored(prints.distinct().join(lonely, "node", "left_anti"), "marks")
+    del lone, out, named
+    forget(prints)
     left = docs.join(lonely, "node", "left_anti")
-    listed = stored(_listed(left, size, None).distinct(), "shingles")
-    sets = stored(listed.groupBy("node").agg(F.collect_list("h").alias("hs")), "sets")
+    left = left.join(twice, "node", "left_anti").unionByName(left.join(twice, "node", "left_semi").dropDuplicates(["node"]))
+    sets = stored(_sets(left, size), "sets")
+    del left
+    forget(lonely, twice)
+    links = stored(_alike(simhash_pairs(marks), sets), "links")
+    forget(marks)
+    listed = sets.select("node", "n", F.explode("hs").alias("h"))
     counted = listed.join(listed.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
     ordered = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all"))
     first = ordered.select("node", "n", F.posexplode(F.expr("slice(all, 1, n - (4 * n + 4) div 5 + 1)")).alias("i", "x"))
     postings = first.where("x.df > 1").select("node", "n", "i", F.col("x.h").alias("h"))
     shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     postings = stored(postings.join(shared, "h"), "postings")
-    del counted, ordered, first, shared
-    forget(listed, lonely)
+    del counted, ordered, first, shared, listed
+    gc.collect()
+    docs.sparkSession._jvm.System.gc()  # the shuffles of these tables go
     total = postings.count()
-    links, label = None, postings.select("node", F.col("node").alias("root")).distinct()
+    label = postings.select("node").distinct()
     for k in range(ROUNDS + 1):
+        roots = components(links, "near")
+        label = stored(label.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
         held = stored(postings.join(label, "node"), "labelled")
         of_root = held.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
         group = of_root.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root"))["root"].alias("main")).where("m * m > same")
@@ -116,15 +173,17 @@ def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         else:
             lead = held.groupBy("h").agg(F.min_by(F.struct("node", "n", "root", "i"), F.xxhash64("node", F.lit(k))).alias("l"))
             pairs = now.join(lead, "h").where((F.col("l.root") != F.col("root")) & _may_link(F.col("l.n"), F.col("l.i"), F.col("n"), F.col("i"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+            # of its leaders a text meets the one that it shares most with
+            pairs = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a"))
         found = _alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-        more = stored(found if links is None else links.unionByName(found), "links")
-        forget(held, group, *([] if links is None else [links]))
+        more = stored(links.unionByName(found), "links")
+        del now, of_root, pairs, found
+        gc.collect()
+        forget(held, group, links)
         links = more
         if last:
             break
-        roots = components(links, "near")
-        label = stored(label.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-    return postings.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
+    return links
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
