@@ -15,7 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourmark.llm.common import BLANKS, arrow_rows, in_arrow, stored
@@ -72,20 +72,37 @@ class Model:
         return float(self.ratio[buckets(words)].mean()) if words else 0.0
 
 
+def _half(doc_id: Column) -> Column:
+    """Which half of the trusted ones a document is in (0: fitted); that depends on its id alone."""
+    return F.pmod(F.xxhash64(doc_id.cast("bigint"), F.lit(1)), F.lit(2))
+
+
 def _roles(labels: DataFrame) -> DataFrame:
-    """``(__id, __role)`` of every labelled document; which half a trusted one is in depends on its id alone."""
+    """``(__id, __role)`` of every labelled document."""
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__quality"))
-    half = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2))
-    return named.select("__id", F.when(F.col("__quality") != 1, UNTRUSTED).when(half == 0, FITTED).otherwise(HELD_OUT).alias("__role"))
+    return named.select("__id", F.when(F.col("__quality") != 1, UNTRUSTED).when(_half(F.col("__id")) == 0, FITTED).otherwise(HELD_OUT).alias("__role"))
+
+
+def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(text, __role)`` of every row of ``docs``, with the role ``FITTED`` where it is that.
+
+    The half that is never fitted to is told by its ids and stays where it is
+    read. Only the texts of the other half meet their labels, in one exchange by
+    id; labels are not broadcast, since they grow with the documents.
+    """
+    texts = docs.select("doc_id", "text")
+    may_fit = F.coalesce(_half(F.col("doc_id")) == 0, F.lit(False)) & F.col("doc_id").isNotNull()
+    fitted = _roles(labels).where(F.col("__role") == FITTED).hint("shuffle_hash")
+    met = texts.where(may_fit).join(fitted, F.col("doc_id") == F.col("__id"), "left").select("text", "__role")
+    return texts.where(~may_fit).select("text", F.lit(UNTRUSTED).alias("__role")).unionByName(met)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Count all documents, half of the trusted ones apart; every score passes as yet.
 
-    Labels are joined by id; where they are too many to be broadcast, each text
-    goes through one exchange. What comes to the driver is two count vectors.
+    Each text is counted once. What comes to the driver is two count vectors.
     """
-    marked = docs.select("doc_id", "text").join(_roles(labels).where(F.col("__role") == FITTED), F.col("doc_id") == F.col("__id"), "left").select("text", "__role")
+    marked = _marked(docs, labels)
     size = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
