@@ -10,7 +10,7 @@ counted. Blocks and windows are equal when a 128-bit hash of their words is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,18 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
 
 
-def anchors_of(data: bytes, words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays (seed hash, first window, last window) of every run of windows with one anchor; windows by their first word."""
+def _spaced(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """First and after-last bytes of the words, the words with one blank between them, and where each begins and ends there."""
     begins, ends = word_bounds(data)
-    if len(begins) < words:
-        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2
-    flat = np.frombuffer(b" ".join(data.split()), np.uint8)
     stop = np.cumsum(ends - begins + 1) - 1
-    start = stop - (ends - begins)
+    return begins, ends, b" ".join(data.split()), stop - (ends - begins), stop
+
+
+def _runs_of_windows(spaced: bytes, start: np.ndarray, stop: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors_of`` a text whose words are found already."""
+    if len(start) < words:
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2
+    flat = np.frombuffer(spaced, np.uint8)
     long = len(flat) > len(_UP)
     up, down = (_powers(_FACTOR, len(flat)), _powers(_INVERSE, len(flat))) if long else (_UP, _DOWN)
     sums = np.zeros(len(flat) + 1, np.uint64)
@@ -57,58 +61,79 @@ def anchors_of(data: bytes, words: int = WORDS, seed: int = SEED) -> tuple[np.nd
     return h[anchor[new]], new, np.append(new[1:], len(anchor)) - 1
 
 
-def _hash_pair(words: bytes) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_digest(words)
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+def anchors_of(data: bytes, words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays (seed hash, first window, last window) of every run of windows with one anchor; windows by their first word."""
+    return _runs_of_windows(*_spaced(data)[2:], words, seed)
+
+
+def _hash_pairs(pieces: Iterable[bytes]) -> np.ndarray:
+    """A row per piece: the two halves of its 128-bit hash as signed longs."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _rows(ids: pa.RecordBatch, owner: list[np.ndarray], columns: list[list[np.ndarray]], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """The columns, with the first two of ``ids`` at the rows that own them."""
+    rows = pa.array(np.concatenate(owner))
+    return pa.RecordBatch.from_arrays([ids.column(0).take(rows), ids.column(1).take(rows), *[pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, kinds)]], names=names)
+
+
+_BLOCK = {"doc_id": pa.int64(), "th": pa.int64(), "h": pa.int64(), "x": pa.int64(), "y": pa.int64(), "a": pa.int32(), "b": pa.int32(), "begin": pa.int32(), "end": pa.int32()}
+
+
+def _blocks_of(part: pa.RecordBatch, words: int) -> pa.RecordBatch | None:
+    """The blocks of some texts; each text is taken apart into words once."""
+    kinds = list(_BLOCK.values())[2:]
+    owner, columns = [], [[] for _ in kinds]
+    for n, text in enumerate(part.column(2).to_pylist()):
+        begins, ends, flat, start, stop = _spaced(text.encode("utf-8", "replace"))
+        h, a, b = _runs_of_windows(flat, start, stop, words, SEED)
+        if not len(h):
+            continue
+        last = b + words - 1
+        pairs = _hash_pairs(flat[u:v] for u, v in zip(start[a].tolist(), stop[last].tolist()))
+        owner.append(np.full(len(h), n))
+        for column, values in zip(columns, (h.view(np.int64), pairs[:, 0], pairs[:, 1], a, b, begins[a], ends[last])):
+            column.append(values)
+    return _rows(part, owner, columns, kinds, list(_BLOCK)) if owner else None
 
 
 def _blocks(docs: DataFrame, words: int) -> DataFrame:
     """Every block: its anchor's hash, two hashes of its words, first and last window, first byte and the byte after the last."""
-    names = ["doc_id", "th", "h", "x", "y", "a", "b", "begin", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                owner, columns = [], [[] for _ in names[2:]]
-                for n, text in enumerate(part.column(2).to_pylist()):
-                    data = text.encode("utf-8", "replace")
-                    h, a, b = anchors_of(data, words)
-                    if not len(h):
-                        continue
-                    begins, ends = word_bounds(data)
-                    flat = b" ".join(data.split())
-                    stop = np.cumsum(ends - begins + 1) - 1
-                    start = stop - (ends - begins)
-                    pairs = [_hash_pair(flat[u:v]) for u, v in zip(start[a].tolist(), stop[b + words - 1].tolist())]
-                    owner += [n] * len(h)
-                    for column, values in zip(columns, (h.view(np.int64).tolist(), *zip(*pairs), a.tolist(), b.tolist(), begins[a].tolist(), ends[b + words - 1].tolist())):
-                        column += values
-                rows = pa.array(owner, pa.int64())
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=names)
+                if (found := _blocks_of(batch.slice(k, 128), words)) is not None:
+                    yield found
 
     return docs.select("doc_id", "th", "text").transform(in_arrow, run, "doc_id bigint, th bigint, h bigint, x bigint, y bigint, a int, b int, begin int, end int")
 
 
 def _windows(texts: DataFrame, words: int) -> DataFrame:
     """``(doc_id, th, x, y, begin, end, at, lone)``: the windows of the listed blocks; lone where the block is found once."""
+    names = ["doc_id", "th", "x", "y", "begin", "end", "at", "lone"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
+        kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.bool_()]
         for batch in batches:
-            for doc_id, th, text, blocks in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = text.encode("utf-8", "replace")
-                begins, ends = (v.tolist() for v in word_bounds(data))
-                flat = b" ".join(data.split())
-                stop = (np.cumsum(np.array(ends) - np.array(begins) + 1) - 1).tolist()
-                rows = []
-                for block in blocks:
-                    for i in range(block["a"], block["b"] + 1):
-                        pair = _hash_pair(flat[stop[i - 1] + 1 if i else 0 : stop[i + words - 1]])
-                        rows.append((doc_id, th, *pair, begins[i], ends[i + words - 1], i, block["n"] == 1))
-                for k in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), kinds)], names=["doc_id", "th", "x", "y", "begin", "end", "at", "lone"])
+            owner, columns, held = [], [[] for _ in kinds], 0
+            for n, (text, blocks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                begins, ends, flat, start, stop = _spaced(text.encode("utf-8", "replace"))
+                every = np.concatenate([np.arange(x["a"], x["b"] + 1) for x in blocks])
+                single = np.repeat([x["n"] == 1 for x in blocks], [x["b"] + 1 - x["a"] for x in blocks])
+                for k in range(0, len(every), 20_000):  # a long text in several pieces
+                    at, lone = every[k : k + 20_000], single[k : k + 20_000]
+                    last = at + words - 1
+                    pairs = _hash_pairs(flat[u:v] for u, v in zip(start[at].tolist(), stop[last].tolist()))
+                    owner.append(np.full(len(at), n))
+                    for column, values in zip(columns, (pairs[:, 0], pairs[:, 1], begins[at], ends[last], at, lone)):
+                        column.append(values)
+                    held += len(at)
+                    if held >= 20_000:
+                        yield _rows(batch, owner, columns, kinds, names)
+                        owner, columns, held = [], [[] for _ in kinds], 0
+            if owner:
+                yield _rows(batch, owner, columns, kinds, names)
 
     return texts.transform(in_arrow, run, "doc_id bigint, th bigint, x bigint, y bigint, begin int, end int, at int, lone boolean")
 
