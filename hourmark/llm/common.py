@@ -117,25 +117,27 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges no longer change.
     Each round is written to the shared folder, so lineage stays short. Hubs are
-    kept as rows, never as one array.
+    kept as rows, never as one array. Both sides of its joins grow with the data,
+    so none is broadcast from the driver.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least_small = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least_small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(least_small.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least_small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         after = stored(small, name)
-        # a star forest in which no node points to a node that points on is final
-        moving = after.alias("x").join(after.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").limit(1).count()
-        several = after.groupBy("u").count().where("count > 1").limit(1).count() if not moving else 1
+        # a star forest, in which no node points to a node that points on, is final
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("hit")).union(after.select("v", F.lit(0), F.lit(1)))
+        unsettled = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("hit").alias("hit")).where("points > 1 OR points = 1 AND hit = 1")
+        final = unsettled.isEmpty()
         forget(now, shuffles=False)
         now = after
-        if not moving and not several:
+        if final:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )

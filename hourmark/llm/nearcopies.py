@@ -98,7 +98,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A sixth of the hashes is compared first: all others could be in common, so no pair is lost.
     """
-    side = lambda k, c: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col(c).alias(f"h{k}"))
+    side = lambda k, c: sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col(c).alias(f"h{k}")).hint("merge")
     both = lambda of, c: of.join(side("a", c), "a").join(side("b", c), "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
     enough = lambda most: 9 * most >= 4 * (F.col("na") + F.col("nb"))
     rest = F.least(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
@@ -130,15 +130,15 @@ def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     lone = _low(docs, size).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.min("n").alias("n")).where("node = last")
     out = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"), F.max("n").alias("n")).where("5 * lone > n").select("node")
     lonely = stored(out, "lone")
-    twice = stored(prints.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node"), "repeated-rows")
-    marks = stored(prints.distinct().join(lonely, "node", "left_anti"), "marks")
+    marks = stored(prints.groupBy("node", "fp").agg(F.count(F.lit(1)).alias("c")).join(lonely.hint("merge"), "node", "left_anti"), "marks")  # tables by node grow with the texts: none goes through the driver
     del lone, out, named
     forget(prints)
-    left = docs.join(lonely, "node", "left_anti")
+    left = docs.join(lonely.hint("merge"), "node", "left_anti")
+    twice = marks.where("c > 1").select("node").hint("merge")
     left = left.join(twice, "node", "left_anti").unionByName(left.join(twice, "node", "left_semi").dropDuplicates(["node"]))
     sets = stored(_sets(left, size), "sets")
-    del left
-    forget(lonely, twice)
+    del left, twice
+    forget(lonely)
     links = stored(_alike(simhash_pairs(marks), sets), "links")
     forget(marks)
     listed = sets.select("node", "n", F.explode("hs").alias("h"))
@@ -155,8 +155,8 @@ def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     label = postings.select("node").distinct()
     for k in range(ROUNDS + 1):
         roots = components(links, "near")
-        label = stored(label.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-        held = stored(postings.join(label, "node"), "labelled")
+        label = stored(label.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+        held = stored(postings.join(label.hint("merge"), "node"), "labelled")
         of_root = held.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
         group = of_root.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root"))["root"].alias("main")).where("m * m > same")
         group = stored(group, "groups")
@@ -197,7 +197,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     node = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     links = near_links(docs.select(node.alias("node"), "text"), size)
     roots = stored(components(links, "near"), "near-roots")
-    named = docs.select(node.alias("node"), "doc_id").join(roots, "node").select("root", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node").alias("key"))
+    named = docs.select(node.alias("node"), "doc_id").join(roots.hint("merge"), "node").select("root", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node").alias("key"))
     first = named.groupBy("root").agg(F.min("key")["node"].alias("kept"))
     lost = roots.join(first, "root").where("node <> kept").select(F.col("node").alias("__lost"))
     return docs.join(lost, node == lost["__lost"], "left_anti")
