@@ -112,32 +112,39 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return kept.join(F.broadcast(offsets), "__pid").withColumn("__rank", F.col("__before") + F.col("__nth")).drop("__pid", "__nth", "__before")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """``(node, root)`` of every node of ``edges(a, b)``; root is the smallest node of its component.
+def stars(edges: DataFrame, name: str) -> DataFrame:
+    """``(node, root)`` of every node of ``edges(a, b)`` that is not the smallest of its component; root is that smallest node.
 
     Alternates large-star and small-star steps until the edges no longer change.
-    Each round is written to the shared folder, so lineage stays short. Hubs are
-    kept as rows, never as one array. Both sides of its joins grow with the data,
-    so none is broadcast from the driver.
+    A round is one query of three exchanges, written to the shared folder, so lineage
+    stays short; its rows tell whether they moved, so the end is seen by a scan. The driver's
+    memory grows with queries and exchanges, hence few of both. Hubs are kept as rows that
+    can spill, never as one array. Tables grow with the data, so none is broadcast.
+    A ``stored`` table of edges is read as it is, and left.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    now = edges if hasattr(edges, "_stored_at") else stored(edges.select("a", "b"), name)
+    own = None if now is edges else now
+    now = now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    by_node = Window.partitionBy("u").orderBy("v", "moved")
     while True:
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least_small = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least_small.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least_small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
-        after = stored(small, name)
-        # a star forest, in which no node points to a node that points on, is final
-        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("hit")).union(after.select("v", F.lit(0), F.lit(1)))
-        unsettled = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("hit").alias("hit")).where("points > 1 OR points = 1 AND hit = 1")
-        final = unsettled.isEmpty()
-        forget(now, shuffles=False)
-        now = after
-        if final:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+        # a node's smaller neighbours take the larger ones over; edges point from larger to smaller nodes
+        least = now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        large = now.select("u", "v").join(least.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        placed = large.select("u", "v", "moved", F.row_number().over(by_node).alias("nth"), F.first("v").over(by_node.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("m"))
+        hooked = F.col("v") != F.col("m")
+        small = placed.where((F.col("nth") == 1) | hooked).select(F.when(hooked, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"), (hooked | F.col("moved")).alias("moved"))
+        now = stored(small, name)
+        if own is not None:
+            forget(own, shuffles=False)
+        own = now
+        # without a move every node had one smaller neighbour left, which had none
+        if now.where("moved").isEmpty():
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._stored_at = now._stored_at
+            return out
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """``(node, root)`` of every node of ``edges(a, b)``; root is the smallest node of its component."""
+    below = stars(edges, name)
+    return below.union(below.select(F.col("root").alias("node"), "root").distinct())

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourmark.llm import simhash
-from hourmark.llm.common import components, forget, in_arrow, stored
+from hourmark.llm.common import components, forget, in_arrow, stars, stored
 
 SHINGLE = 5
 #: Bits in which linked fingerprints may differ.
@@ -152,11 +152,11 @@ def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     gc.collect()
     docs.sparkSession._jvm.System.gc()  # the shuffles of these tables go
     total = postings.count()
-    label = postings.select("node").distinct()
     for k in range(ROUNDS + 1):
-        roots = components(links, "near")
-        label = stored(label.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-        held = stored(postings.join(label.hint("merge"), "node"), "labelled")
+        roots = stars(links, "near")  # all that earlier links joined
+        forget(links, shuffles=False)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        held = stored(postings.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
         of_root = held.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
         group = of_root.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root"))["root"].alias("main")).where("m * m > same")
         group = stored(group, "groups")
@@ -170,16 +170,16 @@ def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             one = now.where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("i").alias("ia"))
             other = now.select("h", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
             pairs = one.join(other, "h").where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             lead = held.groupBy("h").agg(F.min_by(F.struct("node", "n", "root", "i"), F.xxhash64("node", F.lit(k))).alias("l"))
             pairs = now.join(lead, "h").where((F.col("l.root") != F.col("root")) & _may_link(F.col("l.n"), F.col("l.i"), F.col("n"), F.col("i"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
             # of its leaders a text meets the one that it shares most with
             pairs = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a"))
-        found = _alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-        more = stored(links.unionByName(found), "links")
-        del now, of_root, pairs, found
+        more = stored(links.unionByName(_alike(pairs.select("a", "b"), sets)), "links")
+        del now, of_root, pairs
         gc.collect()
-        forget(held, group, links)
+        forget(held, group, roots)
         links = more
         if last:
             break
