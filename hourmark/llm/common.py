@@ -135,7 +135,7 @@ def stars(edges: DataFrame, name: str) -> DataFrame:
         small = placed.where((F.col("nth") == 1) | hooked).select(F.when(hooked, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"), (hooked | F.col("moved")).alias("moved"))
         now = stored(small, name)
         if own is not None:
-            forget(own, shuffles=False)
+            forget(own)  # garbage of past rounds would widen the driver's heap
         own = now
         # without a move every node had one smaller neighbour left, which had none
         if now.where("moved").isEmpty():
