@@ -11,10 +11,10 @@ other text has no near copy and drops out at once; that is counted on the third
 of the shingles with the smallest hashes, which can only count too few. For the
 rest, shingles are ordered from rare to common; near copies share one of the
 first ``n - ceil(4n/5) + 1``, and at the first one they share, enough shingles must be
-left after it on either side. Texts are compared with one leader each
-first, and then only across the components found so far, so a large group of
-near copies is not compared all with all. Every pair that could still join two
-components is compared, so the components are those of all pairs.
+left after it on either side. A large group of near copies is not compared all
+with all: first texts meet their neighbours in sorted min-hash sketches, most of
+which are links, so the group is one component before any shingle is joined. Then every pair
+that could still join two components is compared, so the components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark.llm import simhash
@@ -34,8 +34,10 @@ from hourmark.llm.common import components, forget, in_arrow, stars, stored
 SHINGLE = 5
 #: Bits in which linked fingerprints may differ.
 RADIUS = 4
-#: Leader rounds before all open pairs are listed, and open pairs per listed shingle at which that is done sooner.
+#: Rounds of neighbours before all open pairs are listed, and open pairs per listed shingle at which that is done sooner.
 ROUNDS, OPEN = 10, 0.5
+#: Sketches of a text in a round, and neighbours it meets in each.
+BANDS, NEIGHBOURS = 20, 3
 #: A third of the hashes: those below it as unsigned numbers.
 THIRD = (1 << 64) // 3
 #: A sixth: pairs are compared on these hashes first.
@@ -93,6 +95,38 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "text").transform(in_arrow, run, "node bigint, n int, few array<bigint>, hs array<bigint>")
 
 
+def _sketches(sets: DataFrame, k: int) -> DataFrame:
+    """``(node, n, band, x)``: the bytes of ``x`` are from the least of the shingles under eight hash functions, other ones for each band and ``k``."""
+    factors = np.random.default_rng(k).integers(0, 1 << 63, 8 * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(hs: np.ndarray) -> np.ndarray:
+        least = np.full(len(factors), ~np.uint64(0))
+        for start in range(0, len(hs), 1024):
+            least = np.minimum(least, (hs.view(np.uint64)[start : start + 1024, None] * factors).min(axis=0))
+        return least.astype(np.uint8).view(">i8").astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                xs = [sketch(hs) for hs in part.column(2).to_numpy(zero_copy_only=False)]
+                node, n = (np.repeat(part.column(c).to_numpy(), BANDS) for c in (0, 1))
+                bands = np.tile(np.arange(BANDS, dtype=np.int32), len(xs))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(bands), pa.array(np.concatenate(xs))], names=["node", "n", "band", "x"])
+
+    return sets.select("node", "n", "hs").transform(in_arrow, run, "node bigint, n int, band int, x bigint")
+
+
+def _neighbours(sets: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different roots that are ``NEIGHBOURS`` or fewer places apart in a band, agree in half of its sketch and could be 4/5 alike by size."""
+    rows = _sketches(sets, k).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by = Window.partitionBy("band", F.shiftrightunsigned("x", 32)).orderBy("x", "node")
+    near = F.array(*(F.lag(F.struct("node", "n", "root"), d).over(by) for d in range(1, NEIGHBOURS + 1)))
+    may = lambda o: (o["root"] != F.col("root")) & (5 * F.least(o["n"], F.col("n")) >= 4 * F.greatest(o["n"], F.col("n")))
+    found = rows.withColumn("near", near).select("node", F.explode(F.filter("near", may)["node"]).alias("other"))
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are at least 4/5 alike; 4/9 of both sizes must be in common.
 
@@ -123,6 +157,22 @@ def _may_link(n: Column, at: Column, m: Column, to: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - to) >= 4 * (n + m))
 
 
+def _early(n: Column, i: Column) -> Column:
+    """Whether the smaller of two texts that may link can have its shared shingle there; by ``_may_link`` it is in the first ninth."""
+    return 9 * i <= n
+
+
+def _open_pairs(held: DataFrame, group: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different roots that may link at a shingle of ``held(node, n, i, h, root)``, once for each; ``group(h, main)`` has the largest root."""
+    now = held.join(group, "h").withColumn("early", _early(F.col("n"), F.col("i")))
+    # of two components one is not the largest of its shingle, and of two texts one is early
+    meets = F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    one = now.where("root <> main").select("h", F.explode(meets).alias("early"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    other = now.select("h", "early", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    pairs = one.join(other, ["h", "early"]).where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links ``(a, b)`` that join the same components as all pairs of ``docs(node, text)`` that are 4/5 alike."""
     named = docs.select(F.col("node").alias("doc_id"), "text")
@@ -146,40 +196,37 @@ def near_links(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     ordered = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all"))
     first = ordered.select("node", "n", F.posexplode(F.expr("slice(all, 1, n - (4 * n + 4) div 5 + 1)")).alias("i", "x"))
     postings = first.where("x.df > 1").select("node", "n", "i", F.col("x.h").alias("h"))
-    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(_early(F.col("n"), F.col("i"))).alias("early")).where("m > 1 AND early").select("h")
     postings = stored(postings.join(shared, "h"), "postings")
     del counted, ordered, first, shared, listed
     gc.collect()
     docs.sparkSession._jvm.System.gc()  # the shuffles of these tables go
     total = postings.count()
+    before = None
     for k in range(ROUNDS + 1):
         roots = stars(links, "near")  # all that earlier links joined
         forget(links, shuffles=False)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        held = stored(postings.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-        of_root = held.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-        group = of_root.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root"))["root"].alias("main")).where("m * m > same")
-        group = stored(group, "groups")
-        open_ = group.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0
-        if not open_:
-            break
-        last = k == ROUNDS or open_ <= OPEN * total
-        now = held.join(group.select("h", "main"), "h")
-        if last:
-            # of two components one is not the largest of its shingle
-            one = now.where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("i").alias("ia"))
-            other = now.select("h", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-            pairs = one.join(other, "h").where((F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            lead = held.groupBy("h").agg(F.min_by(F.struct("node", "n", "root", "i"), F.xxhash64("node", F.lit(k))).alias("l"))
-            pairs = now.join(lead, "h").where((F.col("l.root") != F.col("root")) & _may_link(F.col("l.n"), F.col("l.i"), F.col("n"), F.col("i"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-            # of its leaders a text meets the one that it shares most with
-            pairs = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a"))
-        more = stored(links.unionByName(_alike(pairs.select("a", "b"), sets)), "links")
-        del now, of_root, pairs
+        last, read = k == ROUNDS, [roots]
+        if k or last:
+            held = stored(postings.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+            of_root = held.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+            group = of_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("roots > 1").select("h", "main")
+            group = stored(group, "groups")
+            read += [held, group]
+            pairs = _open_pairs(held, group)
+            open_ = pairs.count()
+            if not open_:
+                break
+            # listed when few, or when a round no longer makes them fewer
+            last = last or open_ <= OPEN * total or (before is not None and 10 * open_ > 9 * before)
+            before = open_
+            del of_root, held, group
+        pairs = pairs.distinct() if last else _neighbours(sets, roots, k)
+        more = stored(links.unionByName(_alike(pairs, sets)), "links")
+        del pairs
         gc.collect()
-        forget(held, group, roots)
+        forget(*read)
         links = more
         if last:
             break
