@@ -23,10 +23,12 @@ def test_large_group_needs_few_rounds_and_few_listed_pairs(spark, make_docs, mon
     calls, alike = [], nearcopies._alike
     monkeypatch.setattr(nearcopies, "_alike", lambda pairs, sets: calls.append(pairs.count()) or alike(pairs, sets))
     group, halves = _texts()
-    rows = list(enumerate(group + halves))
+    common = " ".join(f"c{k}" for k in range(88))
+    late = [f"{common} " + " ".join(f"own{k}x{i}" for i in range(16)) for k in range(40)]  # 84 of 100 shingles shared, too late in the order to link
+    rows = list(enumerate(group + halves + late))
     kept = corpus_pipeline.without_near_copies(spark, make_docs(rows), "")
     want = _kept(rows)
-    assert len(halves) < len(want) < len(halves) + 10 and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert len(halves + late) < len(want) < len(halves + late) + 10 and sorted(r["doc_id"] for r in kept.collect()) == want
     # SimHash, two rounds of neighbours, one listing: of 36 texts, 180 pairs share a half
     assert len(calls) <= 4 and calls[-1] <= 180 + 10 * len(group)
 
